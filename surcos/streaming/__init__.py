@@ -1,0 +1 @@
+"""Intentionally empty: none of the analyses this library covers reads a stream."""
