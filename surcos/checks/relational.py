@@ -148,7 +148,7 @@ def loan_right_join(spark, sf):
   SELECT * FROM di LEFT JOIN ln ON acl_id = account_id""")
 def loan_left_join(spark, sf):
     b = bank(spark, sf)
-    return skew.salted_join(credit.disp_part(b), credit.loan_part(b), "account_id", "acl_id", "left")
+    return joins.with_dimension(credit.disp_part(b), credit.loan_part(b), "account_id", "acl_id")
 
 
 @query("minable_short", f"""WITH {BANK_SQL}

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from surcos.operators.aggregate import distribution
 from surcos.operators.ranking import global_rank
-from surcos.operators.skew import SHARE, salted_join
 
 MAX_COLUMNS = 2_000
 
@@ -39,14 +38,10 @@ def string_index(
     unknown or null are dropped ('skip'), get null ('keep') or fail ('error').
     """
     labels = (category_index(df, column) if fitted is None else fitted).select(
-        F.col("value").alias("_value"), F.col("index").alias(output), F.col("n").alias("_n")
+        F.col("value").alias("_value"), F.col("index").alias(output)
     )
-    # Counted already: the frequent categories are the hot keys of this join.
-    total = labels.agg(F.sum("_n")).first()[0] or 0
-    top = labels.where(F.col("_n") >= SHARE * total).select("_value").limit(int(1 / SHARE))
-    hot = [r[0] for r in top.collect()]
     how = "inner" if unseen == "skip" else "left"
-    joined = salted_join(df, labels.drop("_n"), column, "_value", how, hot).drop("_value")
+    joined = df.join(labels, F.col(column) == F.col("_value"), how).drop("_value")
     if unseen != "error":
         return joined
     checked = F.coalesce(

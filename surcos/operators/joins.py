@@ -2,8 +2,8 @@
 
 Dimension sides carry no broadcast hint: Catalyst broadcasts them when their size
 is below ``spark.sql.autoBroadcastJoinThreshold`` (adaptive execution checks the
-real size again) and sorts and merges otherwise. Fact sides go through the salted
-joins. Each function takes DataFrames whose column names do not clash.
+real size again) and sorts and merges otherwise, where adaptive execution splits
+skewed partitions. Each function takes DataFrames whose column names do not clash.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from surcos.operators.skew import hot_keys, salted_join
 
 
 def with_dimension(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
-    """Left outer join to a dimension with one row per key."""
+    """Left outer join; every fact is kept."""
     return facts.join(dim, F.col(key) == F.col(dim_key), "left")
 
 
@@ -32,12 +32,8 @@ def through_link(
     target_key: str,
 ) -> DataFrame:
     """Inner join of two tables through a link table; one row per link."""
-    linked = salted_join(
-        link, entities, link_entity, entity_key, hot=hot_keys(link, link_entity)
-    )
-    joined = salted_join(
-        linked, targets, link_target, target_key, hot=hot_keys(link, link_target)
-    )
+    linked = link.join(entities, F.col(link_entity) == F.col(entity_key))
+    joined = linked.join(targets, F.col(link_target) == F.col(target_key))
     return joined.select(*entities.columns, *link.columns, *targets.columns)
 
 
@@ -63,13 +59,8 @@ def minable_table(
     of them are shuffled once, by account. The dispositions, which may repeat an
     account without bound, meet them in a single salted join.
     """
-    holders = salted_join(
-        disp,
-        with_dimension(client, district, "district_id", "districtid"),
-        "c_id",
-        "client_id",
-        hot=hot_keys(disp, "c_id"),
-    )
+    people = with_dimension(client, district, "district_id", "districtid")
+    holders = disp.join(people, F.col("c_id") == F.col("client_id"))
     hot = hot_keys(disp, "account_id")
     accounts = account
     if summary is not None:
@@ -110,12 +101,10 @@ def fan_out(
     return with_product.join(moves, F.col(move) == F.col(sale), "left")
 
 
-def _weighted(
-    sales: DataFrame,
+def _per_product(
     products: DataFrame,
     moves: DataFrame,
     *,
-    sale: str,
     product: str,
     move: str,
     stock: str,
@@ -123,7 +112,7 @@ def _weighted(
     moved: str,
     target: str,
 ) -> DataFrame:
-    """Each sale once, with what its fan-out would contribute."""
+    """One row per product: what one sale of it would contribute to the fan-out."""
     p = products.groupBy(F.col(product).alias("_p")).agg(
         F.count("*").alias("_p_rows"),
         F.sum(stock).alias("_stock_sum"),
@@ -135,26 +124,29 @@ def _weighted(
         F.sum(moved).alias("_moved_sum"),
         F.max(target).alias("_target"),
     )
-    # Both are unique per product: one full join makes them a single side.
-    side = p.join(m, F.col("_p") == F.col("_m"), "full").withColumn("_key", F.coalesce("_p", "_m"))
-    joined = salted_join(sales, side, sale, "_key", "left")
     per_product = F.coalesce("_p_rows", F.lit(1))
     per_move = F.coalesce("_m_rows", F.lit(1))
-    return joined.withColumns(
-        {
-            "_w": per_product * per_move,
-            "_moved": F.col("_moved_sum") * per_product,
-            "_stock": F.col("_stock_sum") * per_move,
-            "_stocks": F.col("_stock_n") * per_move,
-        }
+    return p.join(m, F.col("_p") == F.col("_m"), "full").select(
+        F.coalesce("_p", "_m").alias("_key"),
+        (per_product * per_move).alias("_rows"),
+        (F.col("_moved_sum") * per_product).alias("_moved"),
+        (F.col("_stock_sum") * per_move).alias("_stock"),
+        (F.col("_stock_n") * per_move).alias("_stocks"),
+        "_label",
+        "_target",
     )
 
 
-def fan_out_size(sales: DataFrame, products: DataFrame, moves: DataFrame, **keys: str) -> DataFrame:
+def fan_out_size(
+    sales: DataFrame, products: DataFrame, moves: DataFrame, *, sale: str, **roles: str
+) -> DataFrame:
     """Per product: rows and moved quantity of the fan-out, without building it."""
-    w = _weighted(sales, products, moves, **keys)
-    return w.groupBy(keys["sale"]).agg(
-        F.sum("_w").alias("view_rows"), F.sum("_moved").alias("moved_qty")
+    sold = sales.groupBy(sale).agg(F.count("*").alias("_sold"))
+    side = _per_product(products, moves, **roles)
+    return sold.join(side, F.col(sale) == F.col("_key"), "left").select(
+        sale,
+        (F.col("_sold") * F.coalesce("_rows", F.lit(1))).alias("view_rows"),
+        (F.col("_sold") * F.col("_moved")).alias("moved_qty"),
     )
 
 
@@ -169,9 +161,10 @@ def client_totals(
     moves: DataFrame,
     *,
     client: str,
+    sale: str,
     averages: dict[str, str],
     names: Sequence[str] = ("Nombre", "stock", "prod_mov", "prod_dest", "cantidad_compras"),
-    **keys: str,
+    **roles: str,
 ) -> DataFrame:
     """Per-client summary over the fan-out, computed without the fan-out.
 
@@ -180,7 +173,10 @@ def client_totals(
     ``averages`` maps a sale measure to the name of its mean; ``names`` are the
     largest label, mean stock, moved quantity, largest target and row count.
     """
-    w = _weighted(sales, products, moves, **keys)
+    side = _per_product(products, moves, **roles)
+    w = sales.join(side, F.col(sale) == F.col("_key"), "left").withColumn(
+        "_w", F.coalesce("_rows", F.lit(1))
+    )
     label, stock, moved, target, count = names
     return w.groupBy(client).agg(
         F.max("_label").alias(label),

@@ -1,12 +1,10 @@
 """Joins that stay balanced when a few keys hold most of the rows.
 
-Adaptive execution splits a skewed partition only if both join inputs come
-straight from a shuffle and the result need not keep its partitioning. In a chain
-of joins on one key, or when the side to keep is the other one, it cannot. The
-functions here do not depend on it: keys that hold a noticeable share of the rows
-are found by a frequent-items sketch (one narrow scan), their rows are spread
-over all reducers by a salt, and the matching rows of the other side are repeated
-per salt value. Only physical placement changes, never the result.
+Where both inputs of a join come straight from a shuffle and the result is shuffled
+anew or written, adaptive execution splits a partition that one key has swollen, and
+the operators leave it to that. It cannot when an input is already partitioned by the
+key from an earlier join, nor when the side to keep is the other one. The functions
+here cover these two cases. Only physical placement changes, never the result.
 """
 
 from __future__ import annotations
@@ -16,23 +14,24 @@ from pyspark.sql import functions as F
 
 from surcos.session import shuffle_width
 
-SHARE = 0.01  # a key with at least this share of the rows is spread
+MAX_HOT = 1_000
 _SALT, _SIDE = "_salt", "_salt_side"
 
 
-def hot_keys(df: DataFrame, key: str, share: float = SHARE) -> list:
-    """Keys of ``df`` that hold at least ``share`` of its rows: at most 1/share values.
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys with more rows than an average shuffle partition: at most 1,000 values.
 
-    None is among them when that many rows have no key.
+    A frequent-items sketch finds them in one narrow scan. None is among them when
+    that many rows have no key.
     """
+    share = max(1 / shuffle_width(df.sparkSession), 1 / MAX_HOT)
+    k = int(1 / share) + 1
     top, keyed, total = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {int(100 / share)})"),
-        F.count(key),
-        F.count("*"),
+        F.expr(f"approx_top_k(`{key}`, {k}, {10 * MAX_HOT})"), F.count(key), F.count("*")
     ).first()
     least = share * total
-    hot = [t["item"] for t in top or [] if t["item"] is not None and t["count"] >= least]
-    return hot + ([None] if total and total - keyed >= least else [])
+    hot = [t["item"] for t in top or [] if t["item"] is not None and t["count"] > least]
+    return hot + ([None] if total - keyed > least else [])
 
 
 def salted_join(
@@ -43,10 +42,12 @@ def salted_join(
     how: str = "inner",
     hot: list | None = None,
 ) -> DataFrame:
-    """Equi-join, inner or left, whose fact side may have hot keys.
+    """Equi-join, inner or left, that spreads the hot keys of ``facts``.
 
-    ``hot`` can be handed in when it was counted on a cheaper table; ``side`` is
-    expected to have few rows per key. Column names must not clash.
+    Rows of a hot key are dealt out over all reducers by a salt, and the matching
+    rows of ``side``, which should be few per key, are repeated per salt value.
+    Without hot keys this is the plain join. ``hot`` can be handed in when it was
+    counted on a cheaper table. Column names must not clash.
     """
     if how not in ("inner", "left"):
         raise ValueError("the fact side must be the preserved one: inner or left")
@@ -67,21 +68,15 @@ def salted_join(
     return left.join(right, same & (F.col(_SALT) == F.col(_SIDE)), how).drop(_SALT, _SIDE)
 
 
-def keep_right_join(
-    facts: DataFrame,
-    kept: DataFrame,
-    key: str,
-    kept_key: str,
-    hot: list | None = None,
-) -> DataFrame:
+def keep_right_join(facts: DataFrame, kept: DataFrame, key: str, kept_key: str) -> DataFrame:
     """Right outer join: every row of ``kept``, with nulls where no fact matches.
 
-    A right join cannot spread a hot fact key, because each copy of a kept row
-    would have to know whether the other copies matched. So the matched rows come
-    from a salted inner join and the unmatched ones from an anti join against the
+    A right join pins all facts of a key to one task, because a split part cannot
+    tell whether another part matched. So the matched rows come from an inner join,
+    which can be split, and the unmatched ones from an anti join against the
     distinct fact keys, which are reduced before they are shuffled.
     """
-    matched = salted_join(facts, kept, key, kept_key, "inner", hot)
+    matched = facts.join(kept, F.col(key) == F.col(kept_key))
     keys = facts.select(F.col(key).alias("_key")).distinct()
     alone = kept.join(keys, F.col(kept_key) == F.col("_key"), "left_anti")
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema]
