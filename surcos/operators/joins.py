@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surcos.operators.skew import hot_keys, salted_join
+from surcos.operators.skew import hot_keys, salt, salted_join
 
 
 def with_dimension(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
@@ -60,8 +60,8 @@ def minable_table(
     account without bound, meet them in a single salted join.
     """
     people = with_dimension(client, district, "district_id", "districtid")
-    holders = disp.join(people, F.col("c_id") == F.col("client_id"))
     hot = hot_keys(disp, "account_id")
+    holders = salt(disp, "account_id", hot).join(people, F.col("c_id") == F.col("client_id"))
     accounts = account
     if summary is not None:
         accounts = accounts.join(summary, F.col("ac_id") == F.col("act_id"), "left")
@@ -69,10 +69,11 @@ def minable_table(
     columns = [c for part in order for c in part.columns]
     if not keep_loans:
         accounts = accounts.join(loan, F.col("ac_id") == F.col("acl_id"), "left")
-        return salted_join(holders, accounts, "account_id", "ac_id", hot=hot).select(*columns)
+        joined = salted_join(holders, accounts, "account_id", "ac_id", "inner", hot)
+        return joined.select(*columns)
 
     known = loan.join(accounts, F.col("acl_id") == F.col("ac_id"), "inner")
-    matched = salted_join(holders, known, "account_id", "ac_id", hot=hot)
+    matched = salted_join(holders, known, "account_id", "ac_id", "inner", hot)
     held = (
         disp.join(client, F.col("c_id") == F.col("client_id"), "left_semi")
         .select(F.col("account_id").alias("_held"))

@@ -34,38 +34,40 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return hot + ([None] if total - keyed > least else [])
 
 
+def salt(facts: DataFrame, key: str, hot: list) -> DataFrame:
+    """Mark the rows of hot keys with the number of the task that holds them.
+
+    Such a salt needs no further column, differs between equal rows and is the same
+    when a task is repeated. Rows with a null key match nothing, so any salt is
+    right for them. Salt a table before joining it to others: filters on their
+    columns then still reach them.
+    """
+    ways = shuffle_width(facts.sparkSession)
+    keys = [k for k in hot if k is not None]
+    spread = F.col(key).isin(keys) | F.col(key).isNull()
+    task = F.pmod(F.spark_partition_id(), F.lit(ways))
+    return facts.withColumn(_SALT, F.when(spread, task).otherwise(0)) if hot else facts
+
+
 def salted_join(
-    facts: DataFrame,
-    side: DataFrame,
-    key: str,
-    side_key: str,
-    how: str = "inner",
-    hot: list | None = None,
+    facts: DataFrame, side: DataFrame, key: str, side_key: str, how: str, hot: list
 ) -> DataFrame:
-    """Equi-join, inner or left, that spreads the hot keys of ``facts``.
+    """Equi-join, inner or left, of facts that went through :func:`salt`.
 
-    Rows of a hot key are dealt out over all reducers by a salt, and the matching
-    rows of ``side``, which should be few per key, are repeated per salt value.
-    Without hot keys this is the plain join. ``hot`` can be handed in when it was
-    counted on a cheaper table. Column names must not clash.
+    Rows of a hot key are dealt out over all reducers, and the matching rows of
+    ``side``, which should be few per key, are repeated per salt value. Without hot
+    keys this is the plain join. Column names must not clash.
     """
     if how not in ("inner", "left"):
         raise ValueError("the fact side must be the preserved one: inner or left")
-    hot = hot_keys(facts, key) if hot is None else hot
     same = F.col(key) == F.col(side_key)
     if not hot:
         return facts.join(side, same, how)
     ways = shuffle_width(facts.sparkSession)
     keys = [k for k in hot if k is not None]
-    # The salt is the number of the task that holds the row: it needs no further
-    # column, differs between equal rows and is the same when a task is repeated.
-    # Rows with a null key match nothing, so any salt is right for them.
-    spread = F.col(key).isin(keys) | F.col(key).isNull()
-    salt = F.pmod(F.spark_partition_id(), F.lit(ways))
-    left = facts.withColumn(_SALT, F.when(spread, salt).otherwise(0))
     copies = F.when(F.col(side_key).isin(keys), F.sequence(F.lit(0), F.lit(ways - 1)))
     right = side.withColumn(_SIDE, F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-    return left.join(right, same & (F.col(_SALT) == F.col(_SIDE)), how).drop(_SALT, _SIDE)
+    return facts.join(right, same & (F.col(_SALT) == F.col(_SIDE)), how).drop(_SALT, _SIDE)
 
 
 def keep_right_join(facts: DataFrame, kept: DataFrame, key: str, kept_key: str) -> DataFrame:
