@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from surcos.checks.registry import query
-from surcos.checks.standins import calls, load
+from surcos.checks.standins import CALLS_SQL, calls, load
 from surcos.operators import clean
 from surcos.plans import telecom
 from surcos.sources import delimited, tables
@@ -68,7 +68,9 @@ def csv_inferred(spark, sf):
     return df.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
-@query("csv_calls")
+@query("csv_calls", f"""WITH {CALLS_SQL}
+  SELECT {", ".join(c for c in telecom.CATEGORIES if c not in ("account", "phone_number"))},
+         {", ".join(telecom.MEASURES)}, churn FROM calls""")
 def csv_calls(spark, sf):
     """The 21-column call table with a dotted header, read with its declared schema."""
     path = delimited.write_delimited(calls(spark, sf), scratch_path(spark, "calls"))
@@ -147,7 +149,9 @@ def empty_typed_table(spark, sf):
     return tables.create_empty(spark, tables.fresh_name(spark, "empty"), schema)
 
 
-@query("describe_table")
+@query("describe_table", """SELECT column_name AS col_name, CASE column_type WHEN 'VARCHAR' THEN 'string'
+    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS data_type
+  FROM (DESCRIBE orders)""")
 def describe_table(spark, sf):
     name = tables.fresh_name(spark, "described")
     tables.replace_table(load(spark, sf, "orders"), name)
