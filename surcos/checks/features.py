@@ -11,6 +11,7 @@ from surcos.operators import features, metrics
 from surcos.operators.aggregate import distribution, value_counts
 from surcos.operators.split import hash_sample
 from surcos.plans import telecom
+from surcos.sources.scratch import materialise
 
 
 def rank_sql(table: str, column: str) -> str:
@@ -140,6 +141,7 @@ clustered AS (
 def clustered(spark, sf):
     """Customers by the nearest of their market segments' mean points."""
     df = telecom.cleaned(calls(spark, sf)).select("account", "area_code", *CLUSTER_COLUMNS)
+    df = materialise(df, "points")
     centres = metrics.group_centres(df, "area_code", CLUSTER_COLUMNS)
     return metrics.nearest_centre(df.drop("area_code"), CLUSTER_COLUMNS, centres)
 

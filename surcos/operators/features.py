@@ -110,15 +110,17 @@ def encoder_stages(
     The feature vector holds the one-hot slots first, then the numbers. Indexers
     keep their categories on the driver; they are for category columns, not keys.
     """
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid=unseen) for c in categories
-    ]
-    encoders = [
-        OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_vec") for c in categories
-    ]
-    labels = [StringIndexer(inputCol=label, outputCol="label")] if label else []
-    inputs = [f"{c}_vec" for c in categories] + list(numerics)
-    return [*indexers, *encoders, *labels, VectorAssembler(inputCols=inputs, outputCol="features")]
+    indexed, vectors = [f"{c}_index" for c in categories], [f"{c}_vec" for c in categories]
+    stages = []
+    if categories:
+        # One stage for all columns counts their categories in one pass.
+        stages = [
+            StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid=unseen),
+            OneHotEncoder(inputCols=indexed, outputCols=vectors),
+        ]
+    if label:
+        stages.append(StringIndexer(inputCol=label, outputCol="label"))
+    return [*stages, VectorAssembler(inputCols=[*vectors, *numerics], outputCol="features")]
 
 
 def fitted_pipeline(train: DataFrame, stages: Sequence):

@@ -61,43 +61,53 @@ class Trained:
         return sum(self.auc) / len(self.auc)
 
 
-def train_rounds(
+def compare_models(
     df: DataFrame,
     stages: Sequence,
-    estimator: Estimator,
+    estimators: Mapping[str, Estimator],
     key: str,
-    *,
     rounds: int = 3,
     keep: str = "best",
-) -> Trained:
-    """Fit and test in ``rounds`` independent hold-outs; keep the best or last model.
+) -> tuple[dict[str, Trained], DataFrame]:
+    """Fit and test all estimators on the same ``rounds`` hold-outs.
 
-    ``df`` is read several times per round: hand in a written table. Of equal
-    rounds the first is kept, and a model is returned whatever its score.
+    Gives the kept model of each estimator (the best or the last round) and a table
+    (model, round, auc). Of equal rounds the first is kept, and a model is returned
+    whatever its score. ``df`` is read several times: hand in a written table. The
+    encoding stages are fitted once per round, on its training part.
     """
-    kept, scores = None, []
+    kept: dict[str, tuple] = {}
+    scores: dict[str, list[float]] = {name: [] for name in estimators}
     for r in range(rounds):
         parts = hash_split(df, key, salt=f"#{r}")
         train = parts.where(F.col("split") == "train").drop("split")
         test = parts.where(F.col("split") == "test").drop("split")
-        model = Pipeline(stages=[*stages, estimator]).fit(train)
-        results = model.transform(test)
-        score = balanced_accuracy(results, "label", "prediction").first()["auc"] or 0.0
-        if kept is None or keep == "last" or score > max(scores):
-            kept = (model, results)
-        scores.append(score)
-    return Trained(*kept, scores)
+        encoder = Pipeline(stages=list(stages)).fit(train)
+        train, test = encoder.transform(train), encoder.transform(test)
+        for name, estimator in estimators.items():
+            model = estimator.fit(train)
+            results = model.transform(test)
+            score = balanced_accuracy(results, "label", "prediction").first()["auc"] or 0.0
+            if not scores[name] or keep == "last" or score > max(scores[name]):
+                kept[name] = (PipelineModel([*encoder.stages, model]), results)
+            scores[name].append(float(score))
+    trained = {name: Trained(*kept[name], scores[name]) for name in estimators}
+    rows = [(name, r, auc) for name, t in trained.items() for r, auc in enumerate(t.auc)]
+    return trained, df.sparkSession.createDataFrame(rows, "model string, round int, auc double")
 
 
-def compare_models(
-    df: DataFrame, stages: Sequence, estimators: Mapping[str, Estimator], key: str, rounds: int = 3
-) -> tuple[dict[str, Trained], DataFrame]:
-    """All estimators on the same hold-outs: fitted models and (model, round, auc)."""
-    trained = {
-        name: train_rounds(df, stages, est, key, rounds=rounds) for name, est in estimators.items()
-    }
-    table = [(n, r, float(a)) for n, t in trained.items() for r, a in enumerate(t.auc)]
-    return trained, df.sparkSession.createDataFrame(table, "model string, round int, auc double")
+def train_rounds(
+    df: DataFrame,
+    stages: Sequence,
+    estimator: Estimator,
+    key: str,
+    *,
+    rounds: int = 3,
+    keep: str = "best",
+) -> Trained:
+    """One estimator through ``rounds`` independent hold-outs."""
+    trained, _ = compare_models(df, stages, {"model": estimator}, key, rounds, keep)
+    return trained["model"]
 
 
 def scored(results: DataFrame, *keep: str) -> DataFrame:

@@ -192,7 +192,7 @@ def test_model_reports(spark, training):
 
 
 def features_kept(model):
-    return model.stages[0].labels[:-1]
+    return model.stages[0].labelsArray[0][:-1]
 
 
 def test_pipeline_equals_library_pipeline(training):
