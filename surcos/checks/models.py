@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from surcos.checks.registry import query
 from surcos.checks.series import prepared
 from surcos.checks.standins import FREQUENCY, STATUSES, bank, calls, shop
-from surcos.operators import features, metrics, models, split
+from surcos.operators import metrics, models, split
 from surcos.operators.aggregate import distribution, value_counts
 from surcos.operators.forecast import ar_fit
 from surcos.operators.order import top_k
@@ -36,13 +36,9 @@ def loans(spark, sf):
     )
 
 
-def fitted(spark, sf, estimator, df=None, stages=None, key="loan_id"):
+def fitted(spark, sf, estimator):
     """(model, predictions of the test part) of one 70/30 hold-out."""
-    parts = split.hash_split(loans(spark, sf) if df is None else df, key)
-    train = parts.where(F.col("split") == "train").drop("split")
-    test = parts.where(F.col("split") == "test").drop("split")
-    model = features.fitted_pipeline(train, [*(stages or credit.stages()), estimator])
-    return model, model.transform(test)
+    return models.fit_holdout(loans(spark, sf), credit.stages(), estimator, "loan_id")
 
 
 def _scored(make, spark, sf):
@@ -69,7 +65,7 @@ def logreg_short(spark, sf):
         spark, sf, "candidates_short",
         lambda: credit.candidates_short(bank(spark, sf), FREQUENCY, STATUSES, key="loan_id"),
     )
-    _, results = fitted(spark, sf, models.logistic(), df, credit.stages_short())
+    _, results = models.fit_holdout(df, credit.stages_short(), models.logistic(), "loan_id")
     return models.scored(results, "loan_id")
 
 
@@ -87,14 +83,13 @@ def model_auc(spark, sf):
 def model_roc(spark, sf):
     """ROC curve of the base model on its training part."""
     model, _ = fitted(spark, sf, models.logistic())
-    train = split.hash_split(loans(spark, sf), "loan_id").where(F.col("split") == "train")
+    train, _ = models.holdout(loans(spark, sf), "loan_id")
     return metrics.roc_curve(models.scored(model.transform(train)), "label", "probability")
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    chosen = {n: CLASSIFIERS[n]() for n in ("gbt", "tree", "logreg_elastic")}
-    _, table = models.compare_models(loans(spark, sf), credit.stages(), chosen, "loan_id")
+    _, table = models.compare_models(loans(spark, sf), credit.stages(), credit.classifiers(), "loan_id")
     return table
 
 
@@ -132,11 +127,7 @@ def ar_coefficients(spark, sf):
 
 
 def segments(spark, sf):
-    df = written(
-        spark, sf, "segment_columns",
-        lambda: telecom.segment_columns(telecom.cleaned(calls(spark, sf)), "account"),
-    )
-    return fitted(spark, sf, models.segmenter(), df, telecom.stages(), key="account")
+    return telecom.segments(calls(spark, sf))
 
 
 @query("kmeans")
@@ -169,6 +160,5 @@ def kmeans_silhouette(spark, sf):
 
 @query("kmeans_retail")
 def kmeans_retail(spark, sf):
-    df = written(spark, sf, "client_summary", lambda: retail.client_summary(shop(spark, sf)))
-    _, results = fitted(spark, sf, models.segmenter(), df, retail.stages(df), key="cliente_id")
+    _, results = retail.segments(shop(spark, sf))
     return results.select("cliente_id", "prediction")

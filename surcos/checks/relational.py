@@ -308,12 +308,12 @@ def top_k_text(spark, sf):
 
 
 @query("chronological_sort", """SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ds,
-  o_orderkey FROM orders ORDER BY series_id, ds""")
+  o_orderkey FROM orders ORDER BY series_id, ds, o_orderkey""")
 def chronological_sort(spark, sf):
     df = load(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("ds"), "o_orderkey"
     )
-    return order.chronological(df)
+    return order.chronological(df, ties=["o_orderkey"])
 
 
 @query("ordered_limit", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10""")

@@ -61,6 +61,22 @@ class Trained:
         return sum(self.auc) / len(self.auc)
 
 
+def holdout(df: DataFrame, key: str, salt: str = "") -> tuple[DataFrame, DataFrame]:
+    """The training and the test part of a 70/30 split by key."""
+    parts = hash_split(df, key, salt=salt)
+    train, test = (parts.where(F.col("split") == name).drop("split") for name in ("train", "test"))
+    return train, test
+
+
+def fit_holdout(
+    df: DataFrame, stages: Sequence, estimator: Estimator, key: str
+) -> tuple[PipelineModel, DataFrame]:
+    """One pipeline fitted on the training part, and its predictions on the test part."""
+    train, test = holdout(df, key)
+    model = Pipeline(stages=[*stages, estimator]).fit(train)
+    return model, model.transform(test)
+
+
 def compare_models(
     df: DataFrame,
     stages: Sequence,
@@ -79,9 +95,7 @@ def compare_models(
     kept: dict[str, tuple] = {}
     scores: dict[str, list[float]] = {name: [] for name in estimators}
     for r in range(rounds):
-        parts = hash_split(df, key, salt=f"#{r}")
-        train = parts.where(F.col("split") == "train").drop("split")
-        test = parts.where(F.col("split") == "test").drop("split")
+        train, test = holdout(df, key, f"#{r}")
         encoder = Pipeline(stages=list(stages)).fit(train)
         train, test = encoder.transform(train), encoder.transform(test)
         for name, estimator in estimators.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,9 +19,14 @@ def top_k(df: DataFrame, column: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(column), tie).limit(k)
 
 
-def chronological(df: DataFrame, series: str = "series_id", ds: str = "ds") -> DataFrame:
-    """Order for output; operators never depend on the position of rows."""
-    return df.orderBy(series, ds)
+def chronological(
+    df: DataFrame, series: str = "series_id", ds: str = "ds", ties: Sequence[str] = ()
+) -> DataFrame:
+    """Order for output; operators never depend on the position of rows.
+
+    Name ``ties`` where a day has many rows: they then need not meet in one task.
+    """
+    return df.orderBy(series, ds, *ties)
 
 
 def first_n(df: DataFrame, n: int, series: str = "series_id", ds: str = "ds") -> DataFrame:

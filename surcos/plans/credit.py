@@ -12,14 +12,17 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surcos.functions.scalar import FREQUENCIES, binary_label, code_map, gender_from_digits
+from surcos.operators import models
 from surcos.operators.aggregate import key_summary
 from surcos.operators.clean import as_category, drop_nulls, pick
 from surcos.operators.features import encoder_stages
 from surcos.operators.joins import minable_table
+from surcos.sources.scratch import materialise
 
 # Names of the analysis' columns and labels.
 YES, NO = "Candidato", "No candidato"
@@ -159,3 +162,19 @@ def stages() -> list:
 
 def stages_short() -> list:
     return encoder_stages(SHORT_CATEGORIES, SHORT_NUMERICS, label="candidato", unseen="error")
+
+
+def classifiers() -> dict[str, Estimator]:
+    return {
+        "gbt": models.boosted_trees(),
+        "tree": models.decision_tree(),
+        "logreg_elastic": models.elastic_logistic(),
+    }
+
+
+def train(
+    bank: Bank, frequencies=FREQUENCIES, statuses=CANDIDATE_STATUS, rounds: int = 3
+) -> tuple[dict[str, models.Trained], DataFrame]:
+    """The whole analysis: table, label, encoding, classifiers on repeated hold-outs."""
+    table = materialise(candidates(bank, frequencies, statuses, key="loan_id"), "candidates")
+    return models.compare_models(table, stages(), classifiers(), "loan_id", rounds)

@@ -9,6 +9,7 @@ from surcos.operators.forecast import forecast
 from surcos.operators.metrics import forecast_errors
 from surcos.operators.split import chronological_split
 from surcos.operators.timeseries import daily_totals, minmax_scale
+from surcos.sources.scratch import materialise
 
 
 def prepared(events: DataFrame, series: str, date: str, value: str, n_test: int) -> DataFrame:
@@ -20,7 +21,13 @@ def prepared(events: DataFrame, series: str, date: str, value: str, n_test: int)
 def forecasts(
     events: DataFrame, series: str, date: str, value: str, *, n_test: int, k: int
 ) -> DataFrame:
-    return forecast(prepared(events, series, date, value, n_test), k)
+    """The whole analysis up to (series_id, ds, split, actual, predicted).
+
+    With more than one lag the days are read once to fit and once to apply, so they
+    are written first; the events are read once.
+    """
+    days = prepared(events, series, date, value, n_test)
+    return forecast(days if k == 1 else materialise(days, "days"), k)
 
 
 def errors(forecasted: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from surcos.operators.clean import pick
 from surcos.operators.features import encoder_stages, varying
 from surcos.operators.joins import client_totals, fan_out, fan_out_size
+from surcos.operators.models import fit_holdout, segmenter
+from surcos.sources.scratch import materialise
 
 # Column names of the three tables.
 SALE = ["cliente_id", "product_id", "product_uom_qty", "price_total"]
@@ -61,3 +64,9 @@ def client_summary(shop: Shop) -> DataFrame:
 def stages(summary: DataFrame) -> list:
     """Encoding of a client summary; a category that never varies is left out."""
     return encoder_stages(varying(summary, CATEGORIES), NUMERICS)
+
+
+def segments(shop: Shop, k: int = 5) -> tuple[PipelineModel, DataFrame]:
+    """The whole analysis: client summary, encoding, clusters of the test part."""
+    table = materialise(client_summary(shop), "client_summary")
+    return fit_holdout(table, stages(table), segmenter(k), "cliente_id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from surcos.operators.clean import drop_nulls, rename, trim_columns
 from surcos.operators.features import encoder_stages
+from surcos.operators.models import fit_holdout, segmenter
+from surcos.sources.scratch import materialise
 
 # The columns of the call table, in file order.
 CATEGORIES = [
@@ -51,3 +54,9 @@ def segment_columns(clean: DataFrame, *keep: str) -> DataFrame:
 
 def stages() -> list:
     return encoder_stages(SEGMENT_CATEGORIES, MEASURES)
+
+
+def segments(calls: DataFrame, key: str = "account", k: int = 5) -> tuple[PipelineModel, DataFrame]:
+    """The whole analysis: cleaning, encoding, clusters of the test part."""
+    table = materialise(segment_columns(cleaned(calls), key), "segment_columns")
+    return fit_holdout(table, stages(), segmenter(k), key)
