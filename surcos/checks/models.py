@@ -14,7 +14,7 @@ from surcos.operators import metrics, models, split
 from surcos.operators.aggregate import distribution, value_counts
 from surcos.operators.forecast import ar_fit
 from surcos.operators.order import top_k
-from surcos.operators.timeseries import lag_windows
+from surcos.operators.timeseries import lag_arrays
 from surcos.plans import credit, retail, telecom
 from surcos.sources.scratch import materialise
 
@@ -120,10 +120,8 @@ def loss_curve(spark, sf):
 
 @query("ar_coefficients")
 def ar_coefficients(spark, sf):
-    """Weights of the seven-lag forecaster."""
-    model = ar_fit(lag_windows(prepared(spark, sf), 7, "z"), 7)
-    rows = [(f"l{j}", float(w)) for j, w in enumerate(model.coefficients, 1)]
-    return spark.createDataFrame([*rows, ("intercept", float(model.intercept))], "term string, weight double")
+    """Weights of the seven-lag forecaster of each series."""
+    return ar_fit(lag_arrays(prepared(spark, sf), 7, "z"))
 
 
 def segments(spark, sf):

@@ -203,8 +203,10 @@ def lag_arrays_7(spark, sf):
 
 # --- forecasts ----------------------------------------------------------------
 
-def one_step(spark, sf, k=1):
-    return plan.forecasts(invoices(spark, sf), "serie", "Fecha", "total", n_test=N_TEST, k=k)
+def one_step(spark, sf, k=1, pooled=False):
+    return plan.forecasts(
+        invoices(spark, sf), "serie", "Fecha", "total", n_test=N_TEST, k=k, pooled=pooled
+    )
 
 
 @query("ar1_fit", f"""WITH {SPLIT_SQL}
@@ -221,6 +223,23 @@ def ar1_forecast(spark, sf):
     return rounded(rounded(one_step(spark, sf), 2, "actual"), 3, "predicted")
 
 
+@query("ar_2_forecast", f"""WITH {SPLIT_SQL},
+  two AS (SELECT series_id, ds, split, y, z, y_min, y_max, lag(z, 1) OVER w AS a, lag(z, 2) OVER w AS b,
+                 row_number() OVER w AS rn
+          FROM scaled WINDOW w AS (PARTITION BY series_id, split ORDER BY ds)),
+  m AS (SELECT series_id, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+               covar_pop(a, z) AS az, covar_pop(b, z) AS bz, avg(a) AS ma, avg(b) AS mb, avg(z) AS mz
+        FROM two WHERE rn > 2 AND split = 'train' GROUP BY series_id),
+  c AS (SELECT *, (bb * az - ab * bz) / (aa * bb - ab * ab) AS wa,
+               (aa * bz - ab * az) / (aa * bb - ab * ab) AS wb FROM m)
+  SELECT two.series_id, ds, split, round(y, 2) AS actual,
+         round((wa * a + wb * b + mz - wa * ma - wb * mb) * (y_max - y_min) + y_min, 3) AS predicted
+  FROM two JOIN c ON c.series_id = two.series_id WHERE rn > 2""")
+def ar_2_forecast(spark, sf):
+    """The smallest case of the k-lag fit, where the solution can be written out."""
+    return rounded(rounded(one_step(spark, sf, 2), 2, "actual"), 3, "predicted")
+
+
 @query("ar_7_forecast")
 def ar_7_forecast(spark, sf):
     return one_step(spark, sf, 7)
@@ -236,6 +255,11 @@ def ar_30_forecast(spark, sf):
     return one_step(spark, sf, 30)
 
 
+@query("ar_7_pooled_forecast")
+def ar_7_pooled_forecast(spark, sf):
+    return one_step(spark, sf, 7, pooled=True)
+
+
 @query("ar_traffic_forecast")
 def ar_traffic_forecast(spark, sf):
     return plan.forecasts(traffic(spark, sf), "serie", "Fecha", "Trafico", n_test=9, k=7)

@@ -6,12 +6,14 @@ metrics, but linear in the lags. Forecast values differ from a network's.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surcos.operators.timeseries import lag_windows, minmax_unscale, series_window
+from surcos.operators.timeseries import lag_arrays, lag_windows, minmax_unscale, series_window
 
 
 def _train(column: str):
@@ -38,8 +40,48 @@ def ar1_forecast(windows: DataFrame) -> DataFrame:
     return windows.withColumn("predicted", slope * F.col("l1") + intercept)
 
 
-def ar_fit(windows: DataFrame, k: int) -> LinearRegressionModel:
-    """Linear regression of target on l1..lk over the training rows of all series.
+def ar_fit(samples: DataFrame) -> DataFrame:
+    """(series_id, weights, intercept): least squares of target on x, per series.
+
+    ``samples`` comes from :func:`lag_arrays`. No built-in function solves a linear
+    system, so each series' training samples, at most one per day, are solved by
+    numpy in the task that holds the series.
+    """
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
+        solution = np.linalg.lstsq(x, part["target"].to_numpy(), rcond=None)[0]
+        return pd.DataFrame(
+            {
+                "series_id": part["series_id"].iloc[:1],
+                "weights": [solution[:-1].tolist()],
+                "intercept": solution[-1:],
+            }
+        )
+
+    series_type = samples.schema["series_id"].dataType.simpleString()
+    whole = F.col("target").isNotNull() & F.forall("x", lambda v: v.isNotNull())
+    return (
+        samples.where((F.col("split") == "train") & whole)
+        .select("series_id", "x", "target")
+        .groupBy("series_id")
+        .applyInPandas(solve, f"series_id {series_type}, weights array<double>, intercept double")
+    )
+
+
+def ar_forecast(samples: DataFrame) -> DataFrame:
+    """Add ``predicted``, each series with its own weights."""
+    products = F.zip_with("x", "weights", lambda v, w: v * w)
+    total = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+    return (
+        samples.join(ar_fit(samples), "series_id", "left")
+        .withColumn("predicted", total + F.col("intercept"))
+        .drop("weights", "intercept")
+    )
+
+
+def ar_fit_pooled(windows: DataFrame, k: int) -> LinearRegressionModel:
+    """One linear regression of target on l1..lk for the training rows of all series.
 
     Windows should be scaled, so that series of different size weigh alike. The
     normal equations are summed on the executors; only k + 1 coefficients return.
@@ -52,7 +94,7 @@ def ar_fit(windows: DataFrame, k: int) -> LinearRegressionModel:
     ).fit(vectors)
 
 
-def ar_apply(model: LinearRegressionModel, windows: DataFrame) -> DataFrame:
+def ar_forecast_pooled(model: LinearRegressionModel, windows: DataFrame) -> DataFrame:
     """Add ``predicted`` as a plain expression over the lag columns."""
     value = F.lit(float(model.intercept))
     for j, weight in enumerate(model.coefficients.toArray(), start=1):
@@ -60,13 +102,18 @@ def ar_apply(model: LinearRegressionModel, windows: DataFrame) -> DataFrame:
     return windows.withColumn("predicted", value)
 
 
-def forecast(scaled: DataFrame, k: int) -> DataFrame:
-    """Scaled series to (…, actual, predicted) in original units.
+def forecast(scaled: DataFrame, k: int, *, pooled: bool = False) -> DataFrame:
+    """Scaled series to (series_id, ds, split, actual, predicted) in original units.
 
-    One lag fits every series by itself; more lags share one set of coefficients.
+    Every series has coefficients of its own, or, ``pooled``, all share one set.
     """
-    windows = lag_windows(scaled, k, "z")
-    predicted = ar1_forecast(windows) if k == 1 else ar_apply(ar_fit(windows, k), windows)
+    if pooled:
+        windows = lag_windows(scaled, k, "z")
+        predicted = ar_forecast_pooled(ar_fit_pooled(windows, k), windows)
+    elif k == 1:
+        predicted = ar1_forecast(lag_windows(scaled, 1, "z"))
+    else:
+        predicted = ar_forecast(lag_arrays(scaled, k, "z"))
     return minmax_unscale(predicted, {"predicted": "predicted"}).select(
         "series_id", "ds", "split", F.col("y").alias("actual"), "predicted"
     )

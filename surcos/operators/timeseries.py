@@ -23,14 +23,16 @@ def day_window() -> WindowSpec:
     return series_window().orderBy("ds")
 
 
-def daily_totals(events: DataFrame, series: str, date: str, value: str) -> DataFrame:
+def daily_totals(events: DataFrame, series: str | None, date: str, value: str) -> DataFrame:
     """Sum per series and day, with every day between first and last present.
 
-    Days without events count zero. The gap after each day is filled from the next
-    day's date, so no calendar table is joined.
+    Without a series column all events are one series. Days without events count
+    zero. The gap after each day is filled from the next day's date, so no calendar
+    table is joined.
     """
+    name = F.col(series) if series else F.lit("all")
     daily = (
-        events.groupBy(F.col(series).alias("series_id"), F.to_date(date).alias("ds"))
+        events.groupBy(name.alias("series_id"), F.to_date(date).alias("ds"))
         .agg(F.sum(value).alias("y"))
         .where(F.col("ds").isNotNull())
     )

@@ -12,22 +12,24 @@ from surcos.operators.timeseries import daily_totals, minmax_scale
 from surcos.sources.scratch import materialise
 
 
-def prepared(events: DataFrame, series: str, date: str, value: str, n_test: int) -> DataFrame:
+def prepared(events: DataFrame, series: str | None, date: str, value: str, n_test: int) -> DataFrame:
     """Gap-free daily totals, split in time, scaled with the training range."""
-    clean = drop_nulls(events.select(series, date, value))
+    clean = drop_nulls(events.select(*([series] if series else []), date, value))
     return minmax_scale(chronological_split(daily_totals(clean, series, date, value), n_test))
 
 
 def forecasts(
-    events: DataFrame, series: str, date: str, value: str, *, n_test: int, k: int
+    events: DataFrame, series: str | None, date: str, value: str, *, n_test: int, k: int,
+    pooled: bool = False,
 ) -> DataFrame:
     """The whole analysis up to (series_id, ds, split, actual, predicted).
 
-    With more than one lag the days are read once to fit and once to apply, so they
-    are written first; the events are read once.
+    Where the days are read once to fit and once to apply, they are written first, so
+    the events are read once.
     """
     days = prepared(events, series, date, value, n_test)
-    return forecast(days if k == 1 else materialise(days, "days"), k)
+    once = k == 1 and not pooled
+    return forecast(days if once else materialise(days, "days"), k, pooled=pooled)
 
 
 def errors(forecasted: DataFrame) -> DataFrame:

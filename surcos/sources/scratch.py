@@ -15,15 +15,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # application -> own folder, only where the setting is missing
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the session's checkpoint folder."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get(_DIR, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="surcos-")
-        spark.conf.set(_DIR, base)
-    app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="surcos-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/surcos/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 

@@ -82,6 +82,13 @@ def test_gaps_become_zero_days(spark):
     assert by_day(got, "y", "b") == [1.0, 0.0, 0.0]
 
 
+def test_one_series_without_a_name(spark):
+    got = ts.daily_totals(series(spark, a=[1, 2], b=[3]), None, "ds", "y")
+    assert by_day(got, "y", "all") == [4.0, 2.0]
+    days = daily.prepared(series(spark, a=[1, 2, 5]), None, "ds", "y", 1)
+    assert by_day(days, "z", "all") == [0.0, 1.0, 4.0]
+
+
 def classical(y, p):
     """The published algorithm, in numpy."""
     n, h = len(y), p // 2
@@ -179,22 +186,41 @@ def test_ar1_equals_least_squares_per_series(spark):
         assert by_day(test, "predicted", name) == pytest.approx(list(slope * z[65:79] + intercept))
 
 
-def test_ar_k_equals_least_squares(spark):
+def least_squares(y, k, n_train):
+    z = (np.array(y) - min(y[:n_train])) / (max(y[:n_train]) - min(y[:n_train]))
+    x = np.array([[*z[i - k : i], 1.0] for i in range(k, n_train)])
+    return z, np.linalg.lstsq(x, z[k:n_train], rcond=None)[0]
+
+
+def test_ar_k_equals_least_squares_per_series(spark):
+    ys = {"a": noisy(3, 120), "b": noisy(8, 60)}
+    got = fc.forecast(scaled(spark, **ys), 3).where("split = 'test'")
+    for name, y in ys.items():
+        n = len(y) - 15
+        z, want = least_squares(y, 3, n)
+        lo, hi = min(y[:n]), max(y[:n])
+        expected = [(np.dot(want[:3], z[i - 3 : i]) + want[3]) * (hi - lo) + lo for i in range(n + 3, len(y))]
+        assert by_day(got, "predicted", name) == pytest.approx(expected)
+        assert by_day(got, "actual", name) == y[n + 3 :]
+
+
+def test_series_too_short_for_training_samples(spark):
+    df = scaled(spark, a=noisy(3, 60), b=noisy(4, 17))
+    got = fc.forecast(df, 3).where("split = 'test'")
+    assert by_day(got, "predicted", "b") == [None] * 12
+    assert None not in by_day(got, "predicted", "a")
+
+
+def test_pooled_equals_least_squares_for_one_series(spark):
     y = noisy(3, 120)
     df = scaled(spark, a=y)
     windows = ts.lag_windows(df, 3, "z")
-    model = fc.ar_fit(windows, 3)
-    z = np.array(by_day(df, "z", "a"))
-    train = z[:105]
-    x = np.column_stack([train[2:-1], train[1:-2], train[:-3], np.ones(102)])
-    want, *_ = np.linalg.lstsq(x, train[3:], rcond=None)
-    assert list(model.coefficients) == pytest.approx(list(want[:3]), abs=1e-8)
+    model = fc.ar_fit_pooled(windows, 3)
+    _, want = least_squares(y, 3, 105)
+    assert list(model.coefficients)[::-1] == pytest.approx(list(want[:3]), abs=1e-8)
     assert model.intercept == pytest.approx(want[3], abs=1e-8)
-    got = fc.forecast(df, 3)
-    assert got.where("split = 'test'").count() == 12
-    lo, hi = min(y[:105]), max(y[:105])
-    first = (np.dot(want[:3], z[[107, 106, 105]]) + want[3]) * (hi - lo) + lo
-    assert by_day(got.where("split = 'test'"), "predicted", "a")[0] == pytest.approx(first)
+    each = by_day(fc.forecast(df, 3), "predicted", "a")
+    assert by_day(fc.forecast(df, 3, pooled=True), "predicted", "a") == pytest.approx(each)
 
 
 def test_overlay_aligns_truth_and_prediction(spark):
