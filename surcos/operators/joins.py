@@ -72,6 +72,8 @@ def minable_table(
         joined = salted_join(holders, accounts, "account_id", "ac_id", "inner", hot)
         return joined.select(*columns)
 
+    # A right join would pin a hot account to one task (see keep_right_join), and would
+    # carry the repeated rows through one more join than this form does.
     known = loan.join(accounts, F.col("acl_id") == F.col("ac_id"), "inner")
     matched = salted_join(holders, known, "account_id", "ac_id", "inner", hot)
     held = (

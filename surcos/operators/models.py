@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -84,6 +86,7 @@ def compare_models(
     key: str,
     rounds: int = 3,
     keep: str = "best",
+    parallelism: int = 4,
 ) -> tuple[dict[str, Trained], DataFrame]:
     """Fit and test all estimators on the same ``rounds`` hold-outs.
 
@@ -91,21 +94,34 @@ def compare_models(
     (model, round, auc). Of equal rounds the first is kept, and a model is returned
     whatever its score. ``df`` is read several times: hand in a written table. The
     encoding stages are fitted once per round, on its training part.
+
+    Training is many short jobs with a driver step between them, so up to
+    ``parallelism`` fits run side by side to fill the cluster.
     """
-    kept: dict[str, tuple] = {}
-    scores: dict[str, list[float]] = {name: [] for name in estimators}
+    encoded = []
     for r in range(rounds):
         train, test = holdout(df, key, f"#{r}")
         encoder = Pipeline(stages=list(stages)).fit(train)
-        train, test = encoder.transform(train), encoder.transform(test)
-        for name, estimator in estimators.items():
-            model = estimator.fit(train)
-            results = model.transform(test)
-            score = balanced_accuracy(results, "label", "prediction").first()["auc"] or 0.0
-            if not scores[name] or keep == "last" or score > max(scores[name]):
-                kept[name] = (PipelineModel([*encoder.stages, model]), results)
-            scores[name].append(float(score))
-    trained = {name: Trained(*kept[name], scores[name]) for name in estimators}
+        encoded.append((encoder, encoder.transform(train), encoder.transform(test)))
+
+    def fit(task: tuple[str, int]) -> tuple[PipelineModel, DataFrame, float]:
+        name, r = task
+        encoder, train, test = encoded[r]
+        # A copy each: the wrapped estimator object is not made for several threads.
+        model = estimators[name].copy().fit(train)
+        results = model.transform(test)
+        score = balanced_accuracy(results, "label", "prediction").first()["auc"] or 0.0
+        return PipelineModel([*encoder.stages, model]), results, float(score)
+
+    tasks = [(name, r) for name in estimators for r in range(rounds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        fits = dict(zip(tasks, pool.map(inheritable_thread_target(df.sparkSession)(fit), tasks)))
+
+    trained = {}
+    for name in estimators:
+        scores = [fits[name, r][2] for r in range(rounds)]
+        chosen = rounds - 1 if keep == "last" else scores.index(max(scores))
+        trained[name] = Trained(*fits[name, chosen][:2], scores)
     rows = [(name, r, auc) for name, t in trained.items() for r, auc in enumerate(t.auc)]
     return trained, df.sparkSession.createDataFrame(rows, "model string, round int, auc double")
 
@@ -120,7 +136,7 @@ def train_rounds(
     keep: str = "best",
 ) -> Trained:
     """One estimator through ``rounds`` independent hold-outs."""
-    trained, _ = compare_models(df, stages, {"model": estimator}, key, rounds, keep)
+    trained, _ = compare_models(df, stages, {"model": estimator}, key, rounds, keep=keep)
     return trained["model"]
 
 

@@ -70,14 +70,19 @@ def salted_join(
     return facts.join(right, same & (F.col(_SALT) == F.col(_SIDE)), how).drop(_SALT, _SIDE)
 
 
-def keep_right_join(facts: DataFrame, kept: DataFrame, key: str, kept_key: str) -> DataFrame:
+def keep_right_join(
+    facts: DataFrame, kept: DataFrame, key: str, kept_key: str, hot: list | None = None
+) -> DataFrame:
     """Right outer join: every row of ``kept``, with nulls where no fact matches.
 
     A right join pins all facts of a key to one task, because a split part cannot
-    tell whether another part matched. So the matched rows come from an inner join,
-    which can be split, and the unmatched ones from an anti join against the
-    distinct fact keys, which are reduced before they are shuffled.
+    tell whether another part matched. If there are hot keys, the matched rows come
+    from an inner join, which can be split, and the unmatched ones from an anti join
+    against the distinct fact keys, which are reduced before they are shuffled.
     """
+    hot = hot_keys(facts, key) if hot is None else hot
+    if not hot:
+        return facts.join(kept, F.col(key) == F.col(kept_key), "right")
     matched = facts.join(kept, F.col(key) == F.col(kept_key))
     keys = facts.select(F.col(key).alias("_key")).distinct()
     alone = kept.join(keys, F.col(kept_key) == F.col("_key"), "left_anti")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -64,7 +65,10 @@ def views(spark, b):
         df.createOrReplaceTempView(name)
 
 
-@pytest.mark.parametrize("extra", [[], [(2, 100, "h")] * 40, [(1, None, "h")] * 40])
+DILUTED = [(1, 1000 + i, "z") for i in range(40)]
+
+
+@pytest.mark.parametrize("extra", [[], DILUTED, [(2, 100, "h")] * 40, [(1, None, "h")] * 40])
 def test_minable_equals_the_chain_of_joins(spark, extra):
     """Also with an account, or a missing account, that holds most dispositions."""
     b = bank(spark, DISP + extra)
@@ -88,8 +92,9 @@ def test_candidates_drop_unmatched_loans(spark):
     assert credit.minable(bank(spark, DISP)).where("loan_id = 1").count() == 2
 
 
-def test_cleaned_table_plans_inner_joins_only(spark):
-    plan = credit.candidates(bank(spark, DISP))._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("extra", [[], DILUTED])
+def test_cleaned_table_plans_inner_joins_only(spark, extra):
+    plan = credit.candidates(bank(spark, DISP + extra))._jdf.queryExecution().optimizedPlan().toString()
     assert "Inner" in plan
     for other in ("LeftOuter", "RightOuter", "LeftAnti", "Union"):
         assert other not in plan
@@ -120,13 +125,28 @@ def test_salted_join_equals_join(spark, how):
     assert "_salt" in plan
 
 
-def test_keep_right_join(spark):
-    facts = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (5, "d")], "k int, v string")
+@pytest.mark.parametrize("more", [[], [(i, "m") for i in range(50, 90)]])
+def test_keep_right_join(spark, more):
+    data = [(1, "a"), (1, "b"), (None, "c"), (5, "d")]
+    facts = spark.createDataFrame(data + more, "k int, v string")
+    assert bool(skew.hot_keys(facts, "k")) == (not more)
     kept = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id int, k2 int")
     expected = facts.join(kept, F.col("k") == F.col("k2"), "right")
     assert rows(skew.keep_right_join(facts, kept, "k", "k2")) == rows(expected)
 
 
+def test_each_large_table_is_shuffled_once_by_account(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = credit.candidates(bank(spark, DISP + DILUTED))._jdf.queryExecution().executedPlan().toString()
+        by_account = [ln for ln in plan.split("\n") if re.search(r"Exchange hashpartitioning\(ac\w*_id", ln)]
+        assert len(by_account) == 4, plan  # dispositions, accounts, summary, loans
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def shop(spark):
     """Products with 0, 1 and 3 moves, a repeated and an unknown product, null measures."""
     make = spark.createDataFrame
