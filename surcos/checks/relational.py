@@ -117,7 +117,7 @@ def candidate_label(spark, sf):
 
 @query("dim_left_join", f"""WITH {BANK_SQL}
   SELECT client_id, district_id, genero, districtid, distrito, region, habitantes, salario_promedio
-  FROM c LEFT JOIN dis ON districtid = district_id""")
+  FROM client_part LEFT JOIN district_part ON districtid = district_id""")
 def dim_left_join(spark, sf):
     b = bank(spark, sf)
     return joins.with_dimension(
@@ -126,7 +126,7 @@ def dim_left_join(spark, sf):
 
 
 @query("link_inner_join", f"""WITH {BANK_SQL}
-  SELECT * FROM c JOIN di ON c_id = client_id JOIN ac ON ac_id = account_id""")
+  SELECT * FROM client_part JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id""")
 def link_inner_join(spark, sf):
     b = bank(spark, sf)
     return joins.through_link(
@@ -137,7 +137,7 @@ def link_inner_join(spark, sf):
 
 @query("loan_right_join", f"""WITH {BANK_SQL}
   SELECT c_id, account_id, tipo_disposicion_cliente, loan_id, acl_id, monto_prestamo, estado
-  FROM di RIGHT JOIN ln ON acl_id = account_id""")
+  FROM disp_part RIGHT JOIN loan_part ON acl_id = account_id""")
 def loan_right_join(spark, sf):
     b = bank(spark, sf)
     loans = credit.loan_part(b).select("loan_id", "acl_id", "monto_prestamo", "estado")
@@ -145,22 +145,22 @@ def loan_right_join(spark, sf):
 
 
 @query("loan_left_join", f"""WITH {BANK_SQL}
-  SELECT * FROM di LEFT JOIN ln ON acl_id = account_id""")
+  SELECT * FROM disp_part LEFT JOIN loan_part ON acl_id = account_id""")
 def loan_left_join(spark, sf):
     b = bank(spark, sf)
     return joins.with_dimension(credit.disp_part(b), credit.loan_part(b), "account_id", "acl_id")
 
 
 @query("minable_short", f"""WITH {BANK_SQL}
-  SELECT * FROM c LEFT JOIN dis ON districtid = district_id
-  JOIN di ON c_id = client_id JOIN ac ON ac_id = account_id LEFT JOIN ln ON acl_id = ac_id""")
+  SELECT * FROM client_part LEFT JOIN district_part ON districtid = district_id
+  JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id LEFT JOIN loan_part ON acl_id = ac_id""")
 def minable_short(spark, sf):
     return credit.minable_short(bank(spark, sf), FREQUENCY)
 
 
 @query("summary_left_join", f"""WITH {BANK_SQL}
   SELECT loan_id, acl_id, monto_prestamo, act_id, operation, {MEANS}, cantidad_transacciones
-  FROM ln LEFT JOIN rt ON act_id = acl_id""")
+  FROM loan_part LEFT JOIN summary_part ON act_id = acl_id""")
 def summary_left_join(spark, sf):
     b = bank(spark, sf)
     loans = credit.loan_part(b).select("loan_id", "acl_id", "monto_prestamo")
@@ -186,8 +186,8 @@ def minable_clean(spark, sf):
   SELECT CAST(district_id AS VARCHAR) AS district_id, region, habitantes, ratio_residentes_urbanos,
          salario_promedio, frecuencia_emision, monto_prestamo, duracion_prestamo, pagos_mensuales,
          CASE WHEN estado IN ('F', 'O') THEN 'Candidato' ELSE 'No candidato' END AS candidato
-  FROM c LEFT JOIN dis ON districtid = district_id
-  JOIN di ON c_id = client_id JOIN ac ON ac_id = account_id LEFT JOIN ln ON acl_id = ac_id
+  FROM client_part LEFT JOIN district_part ON districtid = district_id
+  JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id LEFT JOIN loan_part ON acl_id = ac_id
   WHERE region IS NOT NULL AND habitantes IS NOT NULL AND monto_prestamo IS NOT NULL""")
 def minable_short_clean(spark, sf):
     return credit.candidates_short(bank(spark, sf), FREQUENCY, STATUSES)
@@ -220,7 +220,7 @@ def client_summary_fanout(spark, sf):
 
 # --- scalar functions ---------------------------------------------------------
 
-@query("gender_from_digits", f"WITH {BANK_SQL} SELECT client_id, district_id, genero FROM c")
+@query("gender_from_digits", f"WITH {BANK_SQL} SELECT client_id, district_id, genero FROM client_part")
 def gender(spark, sf):
     b = bank(spark, sf)
     return b.client.select(
@@ -228,7 +228,7 @@ def gender(spark, sf):
     )
 
 
-@query("code_map", f"WITH {BANK_SQL} SELECT * FROM ac")
+@query("code_map", f"WITH {BANK_SQL} SELECT * FROM account_part")
 def codes(spark, sf):
     b = bank(spark, sf)
     return b.account.select(

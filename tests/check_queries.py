@@ -46,10 +46,8 @@ def rows_of(columns, rows):
 
 
 def kind(t: str) -> str:
-    t = t.upper()
-    if "INT" in t or t == "LONG":
-        return t.replace("BIGINT", "I64").replace("HUGEI64", "HUGE").replace("INTEGER", "I32").replace("INT", "I32")
-    return t.replace("VARCHAR", "STRING")
+    names = {"BIGINT": "I64", "HUGEINT": "HUGE", "INTEGER": "I32", "INT": "I32", "VARCHAR": "STRING"}
+    return names.get(t.upper(), t.upper())
 
 
 def compare(spark, con, sf: str, name: str) -> str | None:
@@ -64,12 +62,11 @@ def compare(spark, con, sf: str, name: str) -> str | None:
     got = rows_of(columns, rows)
     if got[0] != expected[0]:
         return f"columns {got[0]} != {expected[0]}"
-    types = {n: kind(str(d)) for n, d in con.execute(f"SELECT * FROM ({SQL[name]}) LIMIT 0").description and
-             [(d[0], d[1]) for d in con.execute(f"SELECT * FROM ({SQL[name]}) LIMIT 0").description]}
-    mine = {f.name: kind(f.dataType.simpleString()) for f in df.schema}
-    for n in mine:
-        if {mine[n], types[n]} & {"HUGE"} or (mine[n] != types[n] and {mine[n], types[n]} <= {"I32", "I64", "DOUBLE", "HUGE"}):
-            print(f"   type note {name}.{n}: {mine[n]} vs {types[n]}")
+    theirs = {d[0]: kind(str(d[1])) for d in result.description}
+    for field in df.schema:
+        mine, other = kind(field.dataType.simpleString()), theirs[field.name]
+        if mine != other and {mine, other} & {"I32", "I64", "HUGE", "DOUBLE"}:
+            print(f"   types differ: {name}.{field.name} {mine} {other}")
     if len(got[1]) != len(expected[1]):
         return f"{len(got[1])} rows != {len(expected[1])}"
     for a, b in zip(got[1], expected[1]):

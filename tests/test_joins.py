@@ -11,19 +11,19 @@ from surcos.operators import joins, skew
 from surcos.plans import credit, retail
 
 NAIVE_VIEW = """
-SELECT * FROM t_c
-LEFT JOIN t_dis ON districtid = district_id
-JOIN t_di ON c_id = client_id
-JOIN t_ac ON ac_id = account_id
-RIGHT JOIN t_ln ON acl_id = ac_id
-LEFT JOIN t_rt ON act_id = ac_id
+SELECT * FROM client_part
+LEFT JOIN district_part ON districtid = district_id
+JOIN disp_part ON c_id = client_id
+JOIN account_part ON ac_id = account_id
+RIGHT JOIN loan_part ON acl_id = ac_id
+LEFT JOIN summary_part ON act_id = ac_id
 """
 NAIVE_SHORT = """
-SELECT * FROM t_c
-LEFT JOIN t_dis ON districtid = district_id
-JOIN t_di ON c_id = client_id
-JOIN t_ac ON ac_id = account_id
-LEFT JOIN t_ln ON acl_id = ac_id
+SELECT * FROM client_part
+LEFT JOIN district_part ON districtid = district_id
+JOIN disp_part ON c_id = client_id
+JOIN account_part ON ac_id = account_id
+LEFT JOIN loan_part ON acl_id = ac_id
 """
 
 
@@ -58,8 +58,8 @@ DISP = [(1, 100, "o"), (2, 100, "d"), (3, 101, "o"), (9, 102, "o"), (1, 103, "o"
 
 def views(spark, b):
     parts = {
-        "t_c": credit.client_part(b), "t_dis": credit.district_part(b), "t_di": credit.disp_part(b),
-        "t_ac": credit.account_part(b), "t_ln": credit.loan_part(b), "t_rt": credit.summary_part(b),
+        "client_part": credit.client_part(b), "district_part": credit.district_part(b), "disp_part": credit.disp_part(b),
+        "account_part": credit.account_part(b), "loan_part": credit.loan_part(b), "summary_part": credit.summary_part(b),
     }
     for name, df in parts.items():
         df.createOrReplaceTempView(name)
