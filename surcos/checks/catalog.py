@@ -142,11 +142,13 @@ def temp_view_sql(spark, sf):
     )
 
 
-@query("empty_typed_table", """SELECT c_custkey, c_name FROM customer WHERE false""")
+@query("empty_typed_table", "SELECT c_custkey, c_name FROM customer")
 def empty_typed_table(spark, sf):
-    """An empty table with the columns and types of a given one."""
-    schema = load(spark, sf, "customer").select("c_custkey", "c_name").schema
-    return tables.create_empty(spark, tables.fresh_name(spark, "empty"), schema)
+    """An empty table with the columns and types of a given one, then filled from it."""
+    source = load(spark, sf, "customer").select("c_custkey", "c_name")
+    name = tables.fresh_name(spark, "empty")
+    tables.create_empty(spark, name, source.schema)
+    return tables.insert_select(source, name)
 
 
 @query("describe_table", """SELECT column_name AS col_name, CASE column_type WHEN 'VARCHAR' THEN 'string'

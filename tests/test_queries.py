@@ -10,7 +10,10 @@ import check_queries
 import pytest
 
 import __spark_entry__ as contract
+from surcos.checks import standins
 from surcos.checks.all import QUERIES, SQL
+from surcos.operators import models
+from surcos.plans import credit
 
 SF = "/root/testdata/sf0.001"
 LIBRARY = pathlib.Path(__file__).parent.parent / "surcos"
@@ -43,6 +46,17 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+@needs_tables
+def test_credit_analysis_end_to_end(spark):
+    bank = standins.bank(spark, SF)
+    trained, table = credit.train(bank, standins.FREQUENCY, standins.STATUSES, rounds=1)
+    assert set(trained) == set(credit.classifiers()) == {r["model"] for r in table.collect()}
+    results = trained["tree"].results
+    assert results.where("prediction IS NULL").count() == 0
+    weights = models.importances(trained["tree"].model, results)
+    assert {"monto_prestamo", "operation_vec_A", "region_vec_ASIA"} & {r["feature"] for r in weights.collect()}
+
+
 @pytest.mark.parametrize("path", sorted(LIBRARY.rglob("*.py")), ids=lambda p: p.stem)
 def test_library_stays_on_the_cluster(path):
     text = path.read_text()
