@@ -25,11 +25,13 @@ def forecasts(
     """The whole analysis up to (series_id, ds, split, actual, predicted).
 
     Where the days are read once to fit and once to apply, they are written first, so
-    the events are read once.
+    the events are read once. Shuffled by series when read again, they need no other
+    shuffle for windows, fit and join.
     """
     days = prepared(events, series, date, value, n_test)
-    once = k == 1 and not pooled
-    return forecast(days if once else materialise(days, "days"), k, pooled=pooled)
+    if k > 1 or pooled:
+        days = materialise(days, "days").repartition("series_id")
+    return forecast(days, k, pooled=pooled)
 
 
 def errors(forecasted: DataFrame) -> DataFrame:

@@ -240,6 +240,17 @@ def test_errors_skip_and_count_zero_days(spark):
     assert got["zero_days"] == 1
 
 
+def test_fit_and_apply_share_the_partitioning(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = daily.forecasts(series(spark, a=noisy(5)), "series_id", "ds", "y", n_test=10, k=7)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(series_id") == 2  # once per branch
+        assert "split#" not in "".join(ln for ln in plan.split("\n") if "Exchange" in ln)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_whole_analysis(spark):
     events = series(spark, a=noisy(5), b=noisy(6))
     errors = daily.errors(daily.forecasts(events, "series_id", "ds", "y", n_test=10, k=7))
