@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.llm import mixing, quality
-from surcos.sources.scratch import materialise
+from surcos.llm import attribution, bpe, mixing, quality, tokenfiles, urls
+from surcos.sources.scratch import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +38,33 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.judge(narrow, quality.fit(narrow))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc.doc_id", *counts, "base_failed", "kept", "distance")
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    judged = urls.judge(_read(spark, sf, "pages"))
+    return judged.select("doc.page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+SQL["op6_url_filter"] = urls.sql()
+
+
+@query
+def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-shards")
+    tokenfiles.write(_read(spark, sf, "documents"), path)
+    return tokenfiles.read(spark, path, ids=False)
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(_read(spark, sf, "documents")))
+    return decoded.select(
+        "doc.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query
+def op10_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    counted = attribution.section_tokens(_read(spark, sf, "documents"))
+    return counted.select("doc.doc_id", "section", "start", "end", "n_tokens")
