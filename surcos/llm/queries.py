@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.llm import attribution, bpe, mixing, quality, tokenfiles, urls
+from surcos.llm import attribution, bpe, minhash, mixing, quality, tokenfiles, urls
 from surcos.sources.scratch import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op10_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
     counted = attribution.section_tokens(_read(spark, sf, "documents"))
     return counted.select("doc.doc_id", "section", "start", "end", "n_tokens")
+
+
+@query
+def op4_minhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_copies(_read(spark, sf, "documents"))
