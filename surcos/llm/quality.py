@@ -224,7 +224,8 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     placed = rows.join(params, _GROUP).select(
         _GROUP, *_Q, F.floor(64 * F.log2(1 + _distance())).alias("_bin")
     )
-    near = _reach(placed, "_bin", [_GROUP], SUPPORT)
+    # Written down, so that the join below starts from two tables and a swollen group is split.
+    near = materialise(_reach(placed, "_bin", [_GROUP], SUPPORT), "mcd-reach")
     inner = placed.join(near, _GROUP).where(F.col("_bin") <= F.col("_reach"))
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
     sums = inner.groupBy(_GROUP).agg(
