@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.llm import attribution, bpe, minhash, mixing, quality, tokenfiles, urls
+from surcos.llm import attribution, bpe, minhash, mixing, quality, tokenfiles, urls, vectors
 from surcos.sources.scratch import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op10_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_minhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_copies(_read(spark, sf, "documents"))
+
+
+@query
+def op1_embedding_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf, "embeddings"))
