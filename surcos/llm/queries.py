@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.llm import attribution, bpe, minhash, mixing, quality, tokenfiles, urls, vectors
+from surcos.llm import attribution, bpe, minhash, mixing, quality, tokenfiles, toxicity, urls, vectors
+from surcos.llm.shipping import ship
 from surcos.sources.scratch import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ def query(fn: Query) -> Query:
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
@@ -78,3 +80,15 @@ def op4_minhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_embedding_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(_read(spark, sf, "embeddings"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _read(spark, sf, "documents"), _read(spark, sf, "labels")
+    seen = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(seen, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc.doc_id", toxicity.held_out(F.col("doc.doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst",
+    )
