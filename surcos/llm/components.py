@@ -1,4 +1,4 @@
-"""Connected components of a link table by label passing with pointer jumping."""
+"""Connected components: of a link table by label passing, and of a few links in a task."""
 
 from __future__ import annotations
 
@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from surcos.sources.scratch import materialise, release
 
 
+class Forest:
+    """Union-find over ids met in one task; ``joins`` tells whether a pair is news."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, a: int) -> int:
+        up = self.up
+        while (b := up.get(a, a)) != a:
+            up[a] = up.get(b, b)
+            a = b
+        return a
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (the least reachable node) for every linked node.
 

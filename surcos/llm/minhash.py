@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surcos.llm.components import components
+from surcos.llm.components import Forest, components
 from surcos.llm.words import flat_words, slices
 from surcos.sources.scratch import materialise
 
@@ -45,7 +45,7 @@ BANDS = 48
 HASHES = ROWS * BANDS
 SLACK = 5
 MAX_BROADCAST = 16 << 20  # bytes of ids; beyond, both sides are shuffled
-TILE = 1024  # members of a bucket that are compared at a time
+TILE, TILE_BYTES = 1024, 24 << 20  # members of a bucket, and bytes of their sets, that are compared at a time
 LONGS = HASHES * BITS // 64
 _MASK = 0x5555555555555555
 
@@ -214,52 +214,63 @@ def _leader_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return met.join(one, "a").join(two, "b").where(_sizes_fit(F.col("na"), F.col("nb")) & near).select("a", "b")
 
 
-def _across_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates between different components of a bucket.
+def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a bucket, those that join components.
 
     Buckets of one component need no more work. In the others members are dealt into
-    tiles, and every pair of tiles is compared in a group of at most about two tiles.
+    tiles of bounded count and bytes, and every pair of tiles is compared in one group:
+    by bit counts first, then on the full sets. A pair is looked at in the first bucket
+    that it shares, and not if links found before already join it.
     """
     placed = materialise(
-        shared.join(found, shared["doc_id"] == found["node"], "left").select(
-            "value", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        ),
+        shared.join(found, shared["doc_id"] == found["node"], "left")
+        .select("value", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        .join(classes.select("doc_id", "n_shingles"), "doc_id"),
         "placed",
     )
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") * 8 / TILE_BYTES))
     mixed = materialise(
         placed.groupBy("value")
-        .agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
+             F.min("component").alias("c1"), F.max("component").alias("c2"))
         .where("c1 <> c2")
-        .select("value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")),
+        .select("value", tiles.cast("int").alias("tiles")),
         "mixed",
     )
-    open_ = placed.join(mixed, "value").join(classes.select("doc_id", "n_shingles", "bits"), "doc_id")
+    open_ = placed.join(mixed, "value").join(classes.select("doc_id", "bits", "bands"), "doc_id").join(sets, "doc_id")
     tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     dealt = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keyed = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
 
     def compare(key, group):
-        low, high = key[1], key[2]
+        value, low, high = key
         bits = np.stack(group["bits"].to_numpy()).astype("i8").view("u8")
+        bands = np.stack(group["bands"].to_numpy())
         ids, comp, n = (group[c].to_numpy("i8") for c in ("doc_id", "component", "n_shingles"))
-        tiles = group["tile"].to_numpy()
+        tiles, full = group["tile"].to_numpy(), group["s"].to_numpy()
         at = np.flatnonzero(tiles == low)
         to = at if low == high else np.flatnonzero(tiles == high)
-        out = [np.zeros((0, 2), "i8")]
-        for i in range(0, len(at), 128):
-            p = at[i : i + 128]
+        joined, out = Forest(), []
+        for i in range(0, len(at), 64):
+            p = at[i : i + 64]
             few, many = np.minimum(n[p, None], n[None, to]), np.maximum(n[p, None], n[None, to])
             ok = (comp[p, None] != comp[None, to]) & (100 * few >= PERCENT * many)
             if low == high:
                 ok &= ids[p, None] < ids[None, to]
-            if ok.any():
-                ok &= _similar(bits[p], bits[to])
-            x, y = np.nonzero(ok)
-            out.append(np.sort(np.stack([ids[p[x]], ids[to[y]]], axis=1), axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    # A pair that met in many buckets is one pair.
-    return keyed.groupBy("value", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+            x, y = np.nonzero(ok & _similar(bits[p], bits[to])) if ok.any() else ((), ())
+            x, y = p[np.asarray(x, int)], to[np.asarray(y, int)]
+            same = bands[x] == bands[y]
+            first = bands[x, same.argmax(axis=1)] == value
+            for j, k in zip(x[first].tolist(), y[first].tolist()):
+                if joined.find(int(comp[j])) == joined.find(int(comp[k])):
+                    continue
+                common = len(np.intersect1d(full[j], full[k], assume_unique=True))
+                if 100 * common >= PERCENT * (int(n[j] + n[k]) - common):
+                    joined.joins(int(comp[j]), int(comp[k]))
+                    out.append((min(ids[j], ids[k]), max(ids[j], ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="i8")
+
+    return materialise(keyed.groupBy("value", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "across")
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -276,7 +287,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     shared = _shared(classes)
     sets = _sets(shared.select("doc_id").distinct(), texts, classes)
     links = _confirmed(_leader_pairs(shared, classes), sets)
-    more = _confirmed(_across_pairs(shared, classes, components(links)), sets)
+    more = _across_links(shared, classes, sets, components(links))
     found = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
     of_class = materialise(
         first.join(found, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id")),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.llm import attribution, bpe, minhash, mixing, quality, tokenfiles, toxicity, urls, vectors
+from surcos.llm import attribution, bpe, minhash, mixing, quality, secrets, tokenfiles, toxicity, urls, vectors
 from surcos.llm.shipping import ship
 from surcos.sources.scratch import materialise, scratch_path
 
@@ -92,3 +92,13 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "doc.doc_id", toxicity.held_out(F.col("doc.doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst",
     )
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select(
+        "doc.doc_id", "nth", F.length("candidate").cast("long").alias("n_chars"),
+        F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 4).alias("probability"), "secret",
+    )

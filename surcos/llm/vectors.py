@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from surcos.llm.components import components
+from surcos.llm.components import Forest, components
 from surcos.sources.scratch import materialise
 
 COSINE = 0.9
@@ -81,26 +81,6 @@ def keys(column: pa.Array, count: int) -> list[np.ndarray]:
     return out
 
 
-class Forest:
-    """Union-find over the places of a run; ``joins`` tells whether a pair is news."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, a: int) -> int:
-        up = self.up
-        while (b := up.get(a, a)) != a:
-            up[a] = up.get(b, b)
-            a = b
-        return a
-
-    def joins(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def window_links(x: np.ndarray, ids: np.ndarray, new: int, seen: Forest, cosine: float, window: int) -> list:
     """Links of the rows from ``new`` on with up to ``window`` rows before each, those that join something."""
     out = []
