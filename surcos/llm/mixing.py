@@ -253,7 +253,18 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     """The mix as documents: each once for every time that the schedule takes its first word.
 
     A document is not cut: the piece that begins it stands for the whole. Documents
-    without words are in no block and so in no mix.
+    without words are in no block and so in no mix. The schedule works on two hashes of each
+    row; the rows themselves are shuffled once, to meet their numbers of copies.
     """
-    made = mix(docs, text, source, keep=tuple(docs.columns), **options)
-    return made.pieces.where("from_word = 0").select("doc.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keys = ["_k1", "_k2"]
+    keyed = docs.select(*columns, F.xxhash64(F.lit(0), *columns).alias("_k1"), F.xxhash64(F.lit(1), *columns).alias("_k2"))
+    made = mix(keyed, text, source, keep=tuple(keys), **options)
+    begun = made.pieces.where("from_word = 0").groupBy("doc").agg(F.count("*").alias("_copies"))
+    equal = made.rows.groupBy("doc").agg(F.count("*").alias("_rows"))
+    copies = materialise(begun.join(equal, "doc").select("doc.*", "_copies", "_rows"), "mix-copies")
+    met = keyed.join(copies, keys)
+    alone = met.where("_rows = 1").drop("_rows")
+    several = met.where("_rows > 1").groupBy(*keys, "_copies").agg(F.min(F.struct(*columns)).alias("_row"))
+    both = alone.select(*docs.columns, "_copies").unionByName(several.select("_row.*", "_copies"))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
