@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surcos.llm.words import flat_words, slices
+from surcos.sources.scratch import materialise
 
 ORDER = 3
 DECAY = 0.6
@@ -44,7 +45,8 @@ SPAN = 7  # characters that an occurrence may extend over
 LONGEST = 24
 MAX_LABELLED = 20_000
 MAX_WORDS = 60_000  # counted words that training takes to the driver
-WITNESSES, OTHERS = 1500, 4000
+SIGNAL = 2.2  # standard errors by which a witness is more frequent in toxic documents
+WITNESSES, OTHERS = 1500, 3000
 LANDMARKS = 512
 VARIED = 100  # witnesses that are also learnt with a character put in, doubled or left out
 COST = 20.0
@@ -148,12 +150,12 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((len(used), len(landmarks)))
     np.add.at(dense, (place, r), v)
     out = np.zeros((len(words), len(landmarks)))
-    for i in range(0, len(words), 2000):
-        r, c, v = feature_rows(words[i : i + 2000])
+    for i in range(0, len(words), 500):
+        r, c, v = feature_rows(words[i : i + 500])
         k = np.minimum(np.searchsorted(used, c), len(used) - 1)
         hit = used[k] == c
-        np.add.at(part := np.zeros((len(words[i : i + 2000]), len(used))), (r[hit], k[hit]), v[hit])
-        out[i : i + 2000] = part @ dense
+        np.add.at(part := np.zeros((len(words[i : i + 500]), len(used))), (r[hit], k[hit]), v[hit])
+        out[i : i + 500] = part @ dense
     return out
 
 
@@ -198,7 +200,7 @@ def _fit_words(words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[np.
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
-    ridge = 1e-2 * np.eye(x.shape[1])
+    ridge = 0.1 * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
@@ -299,20 +301,32 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
         flat = np.zeros(FEATURES + 1)
         flat[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
         return Model(np.zeros(_SIGMA**ORDER, "f4"), 0.0, flat)
-    counts = _word_counts(train)
+    words = _learn_words(train)
+    return Model(*words, _logistic(*_features(train, words)))
+
+
+def _learn_words(train: DataFrame) -> tuple[np.ndarray, float]:
+    """Table and bias from the words of ``train`` (text, toxic)."""
+    counts = materialise(_word_counts(train), "labelled-words")
+    sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    if not bad or not good:
+        return np.zeros(_SIGMA**ORDER, "f4"), 0.0
     odds = F.log(((F.col("bad") + 0.5) / bad) / ((F.col("good") + 0.5) / good))
-    ranked = counts.withColumn("odds", odds).orderBy(
-        F.desc((F.col("bad") >= 2) & (F.col("odds") > 0)), F.desc("bad"), F.xxhash64("word")).limit(MAX_WORDS)
+    usual = F.col("good") / good * bad
+    signal = (F.col("bad") - usual) / F.sqrt(usual + 1)
+    ranked = counts.select("word", "bad", "good", odds.alias("odds"), signal.alias("signal")).orderBy(
+        F.desc(F.col("signal") >= SIGNAL), F.desc("good"), F.xxhash64("word")).limit(MAX_WORDS)
     table = ranked.toPandas()
     gain = table["bad"].to_numpy() * table["odds"].to_numpy()
-    witness = np.flatnonzero((table["bad"] >= 3) & (table["odds"] > 1.5))
+    witness = np.flatnonzero((table["signal"] >= SIGNAL) & (table["odds"] > 1.5))
     witness = witness[np.argsort(-gain[witness], kind="stable")][:WITNESSES]
     clean = np.flatnonzero((table["good"] >= 1) & (table["odds"] < 0.7))
     spread = clean[np.linspace(0, len(clean) - 1, min(len(clean), OTHERS)).astype(int)] if len(clean) else clean
     words = table["word"].tolist()
     bent = [(k, b) for k in witness[:VARIED].tolist() for b in _bent(words[k])]
     model = np.zeros(_SIGMA**ORDER, "f4"), 0.0
-    for _ in range(3 if len(witness) and len(spread) else 0):
+    for _ in range(2 if len(witness) and len(spread) else 0):
         rows = np.concatenate([witness, spread])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(spread))])
         weight = np.concatenate([np.sqrt(gain[witness]), np.log1p(table["good"].to_numpy()[spread])])
@@ -324,7 +338,12 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
         score = word_scores([words[k] for k in clean], *model)
         hard = clean[np.argsort(-score, kind="stable")[: OTHERS // 4]]
         spread = np.unique(np.concatenate([spread, hard]))
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    return model
+
+
+def _features(docs: DataFrame, model: tuple[np.ndarray, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Document features and labels, in an order that does not depend on the layout."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,8 +351,11 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str
                 x = document_features(part.column("text"), *shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("toxic")], ["x", "toxic"])
 
-    rows = train.mapInArrow(run, "x array<double>, toxic int").toPandas()
-    return Model(*model, _logistic(np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy("f8")))
+    rows = docs.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").toPandas()
+    x = np.array(rows["x"].tolist(), "f8").reshape(-1, FEATURES)
+    y = rows["toxic"].to_numpy("f8")
+    order = np.lexsort((*x.T, y))
+    return x[order], y[order]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
