@@ -24,7 +24,7 @@ def _stats_sql(table: str, columns: list[str]) -> str:
 
 
 @query("account_summary", f"""WITH {BANK_SQL}
-  SELECT act_id AS account_id, operation, {MEANS}, cantidad_transacciones FROM summary_part""")
+  SELECT act_id AS account_id, operation, {MEANS}, cantidad_transacciones FROM turnover""")
 def account_summary(spark, sf):
     return bank_means(credit.transaction_summary(bank(spark, sf).trans))
 

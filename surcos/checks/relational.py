@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surcos.checks.registry import query
 from surcos.checks.standins import (
-    BANK_SQL, CALLS_SQL, FREQUENCY, SHOP_SQL, STATUSES, bank, calls, load, shop,
+    BANK_SQL, CALLS_SQL, FREQUENCY, LOAN_SQL, STATUSES, bank, calls, load, shop,
 )
 from surcos.functions.scalar import (
     binary_label, code_map, gender_from_digits, parse_date, rescale, yymmdd_to_date,
@@ -117,7 +117,7 @@ def candidate_label(spark, sf):
 
 @query("dim_left_join", f"""WITH {BANK_SQL}
   SELECT client_id, district_id, genero, districtid, distrito, region, habitantes, salario_promedio
-  FROM client_part LEFT JOIN district_part ON districtid = district_id""")
+  FROM people LEFT JOIN figures ON districtid = district_id""")
 def dim_left_join(spark, sf):
     b = bank(spark, sf)
     return joins.with_dimension(
@@ -126,7 +126,9 @@ def dim_left_join(spark, sf):
 
 
 @query("link_inner_join", f"""WITH {BANK_SQL}
-  SELECT * FROM client_part JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id""")
+  SELECT client_id, district_id, genero, client_id AS c_id, held AS account_id, tipo_disposicion_cliente,
+         o_orderkey AS ac_id, frecuencia_emision
+  FROM priced JOIN holding ON held = o_orderkey""")
 def link_inner_join(spark, sf):
     b = bank(spark, sf)
     return joins.through_link(
@@ -136,8 +138,9 @@ def link_inner_join(spark, sf):
 
 
 @query("loan_right_join", f"""WITH {BANK_SQL}
-  SELECT c_id, account_id, tipo_disposicion_cliente, loan_id, acl_id, monto_prestamo, estado
-  FROM disp_part RIGHT JOIN loan_part ON acl_id = account_id""")
+  SELECT l_suppkey AS c_id, l_orderkey AS account_id, l_linestatus AS tipo_disposicion_cliente,
+         o_orderkey AS loan_id, o_orderkey AS acl_id, o_totalprice AS monto_prestamo, o_orderstatus AS estado
+  FROM priced LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
 def loan_right_join(spark, sf):
     b = bank(spark, sf)
     loans = credit.loan_part(b).select("loan_id", "acl_id", "monto_prestamo", "estado")
@@ -145,22 +148,24 @@ def loan_right_join(spark, sf):
 
 
 @query("loan_left_join", f"""WITH {BANK_SQL}
-  SELECT * FROM disp_part LEFT JOIN loan_part ON acl_id = account_id""")
+  SELECT l_suppkey AS c_id, l_orderkey AS account_id, l_linestatus AS tipo_disposicion_cliente, {LOAN_SQL}
+  FROM lineitem LEFT JOIN priced ON l_orderkey = o_orderkey""")
 def loan_left_join(spark, sf):
     b = bank(spark, sf)
     return joins.with_dimension(credit.disp_part(b), credit.loan_part(b), "account_id", "acl_id")
 
 
 @query("minable_short", f"""WITH {BANK_SQL}
-  SELECT * FROM client_part LEFT JOIN district_part ON districtid = district_id
-  JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id LEFT JOIN loan_part ON acl_id = ac_id""")
+  SELECT holding.* EXCLUDE (held), client_id AS c_id, held AS account_id, held AS ac_id, frecuencia_emision, {LOAN_SQL}
+  FROM holding JOIN priced ON held = o_orderkey""")
 def minable_short(spark, sf):
     return credit.minable_short(bank(spark, sf), FREQUENCY)
 
 
 @query("summary_left_join", f"""WITH {BANK_SQL}
   SELECT loan_id, acl_id, monto_prestamo, act_id, operation, {MEANS}, cantidad_transacciones
-  FROM loan_part LEFT JOIN summary_part ON act_id = acl_id""")
+  FROM (SELECT o_orderkey AS loan_id, o_orderkey AS acl_id, o_totalprice AS monto_prestamo FROM orders)
+  LEFT JOIN turnover ON act_id = acl_id""")
 def summary_left_join(spark, sf):
     b = bank(spark, sf)
     loans = credit.loan_part(b).select("loan_id", "acl_id", "monto_prestamo")
@@ -170,8 +175,7 @@ def summary_left_join(spark, sf):
 
 
 @query("minable_table", f"""WITH {BANK_SQL}
-  SELECT * EXCLUDE (monto_dinero_promedio, balance_promedio, num_ciudades, ratio_residentes_urbanos),
-         {MEANS} FROM minable""")
+  SELECT * EXCLUDE (monto_dinero_promedio, balance_promedio), {MEANS} FROM minable""")
 def minable_table(spark, sf):
     return bank_means(credit.minable(bank(spark, sf), FREQUENCY))
 
@@ -184,11 +188,10 @@ def minable_clean(spark, sf):
 
 @query("minable_short_clean", f"""WITH {BANK_SQL}
   SELECT CAST(district_id AS VARCHAR) AS district_id, region, habitantes, ratio_residentes_urbanos,
-         salario_promedio, frecuencia_emision, monto_prestamo, duracion_prestamo, pagos_mensuales,
-         CASE WHEN estado IN ('F', 'O') THEN 'Candidato' ELSE 'No candidato' END AS candidato
-  FROM client_part LEFT JOIN district_part ON districtid = district_id
-  JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id LEFT JOIN loan_part ON acl_id = ac_id
-  WHERE region IS NOT NULL AND habitantes IS NOT NULL AND monto_prestamo IS NOT NULL""")
+         salario_promedio, frecuencia_emision, o_totalprice AS monto_prestamo, months AS duracion_prestamo,
+         o_totalprice / months AS pagos_mensuales, if(o_orderstatus IN ('F', 'O'), 'Candidato', 'No candidato') AS candidato
+  FROM holding JOIN priced ON held = o_orderkey
+  WHERE region IS NOT NULL AND habitantes IS NOT NULL AND o_totalprice IS NOT NULL""")
 def minable_short_clean(spark, sf):
     return credit.candidates_short(bank(spark, sf), FREQUENCY, STATUSES)
 
@@ -199,19 +202,41 @@ def candidate_balance(spark, sf):
     return distribution(credit.candidates(bank(spark, sf), FREQUENCY, STATUSES), "candidato")
 
 
-@query("fanout_join", f"""WITH {SHOP_SQL}
-  SELECT product_id, count(*) AS view_rows, round(sum(product_qty), 2) AS moved_qty
-  FROM tab_min GROUP BY product_id""")
-def fanout_join(spark, sf):
+@query("fanout_sizes", """SELECT l_partkey AS product_id, count(*) * count(*) AS view_rows,
+    round(count(*) * sum(l_quantity), 2) AS moved_qty
+  FROM lineitem GROUP BY l_partkey""")
+def fanout_sizes(spark, sf):
     return rounded(retail.joined_size(shop(spark, sf)), 2, "moved_qty")
 
 
-@query("client_summary_fanout", f"""WITH {SHOP_SQL}
-  SELECT cliente_id, max(nombre) AS "Nombre", round(avg(price_total), 5) AS precio_total,
-         round(avg(product_uom_qty), 6) AS prod_vendido, round(avg(cantidadamano), 6) AS stock,
-         round(sum(product_qty), 2) AS prod_mov, max(location_dest_id) AS prod_dest,
-         count(*) AS cantidad_compras
-  FROM tab_min GROUP BY cliente_id""")
+@query("fanout_join", """WITH moved AS (
+    SELECT l_partkey, CAST(sum(l_quantity) AS DOUBLE) AS product_qty, max(l_linenumber) AS location_dest_id
+    FROM lineitem GROUP BY l_partkey)
+  SELECT l.l_suppkey AS cliente_id, l.l_partkey AS product_id, l.l_quantity AS product_uom_qty,
+         l.l_extendedprice AS price_total, p_partkey AS "ID", p_retailprice AS "Preciodeventa",
+         p_size AS "Cantidadamano", p_name AS "Nombre", m.l_partkey AS pid,
+         round(product_qty, 2) AS product_qty, location_dest_id
+  FROM moved m RIGHT JOIN lineitem l ON m.l_partkey = l.l_partkey
+  LEFT JOIN part ON p_partkey = l.l_partkey""")
+def fanout_join(spark, sf):
+    """The join itself, in full: with the moves of a product added up first, it has a row per sale."""
+    s = shop(spark, sf)
+    moves = s.moves.groupBy("product_id").agg(
+        F.sum("product_qty").alias("product_qty"), F.max("location_dest_id").alias("location_dest_id")
+    )
+    return rounded(retail.joined(retail.Shop(s.sales, s.products, moves)), 2, "product_qty")
+
+
+@query("client_summary_fanout", """WITH moved AS (
+    SELECT l_partkey AS part, count(*) AS times, sum(l_quantity) AS qty, max(l_linenumber) AS farthest
+    FROM lineitem GROUP BY l_partkey)
+  SELECT l_suppkey AS cliente_id, max(farthest) AS prod_dest, max(p_name) AS "Nombre",
+         CAST(sum(times) AS BIGINT) AS cantidad_compras, round(sum(qty), 2) AS prod_mov,
+         round(sum(p_size * times) / sum(times) FILTER (WHERE p_size IS NOT NULL), 6) AS stock,
+         round(sum(l_quantity * times) / sum(times), 6) AS prod_vendido,
+         round(sum(l_extendedprice * times) / sum(times), 5) AS precio_total
+  FROM lineitem JOIN moved ON part = l_partkey LEFT JOIN part ON p_partkey = l_partkey
+  GROUP BY l_suppkey""")
 def client_summary_fanout(spark, sf):
     df = retail.client_summary(shop(spark, sf))
     df = rounded(rounded(df, 5, "precio_total"), 6, "prod_vendido", "stock")
@@ -220,7 +245,7 @@ def client_summary_fanout(spark, sf):
 
 # --- scalar functions ---------------------------------------------------------
 
-@query("gender_from_digits", f"WITH {BANK_SQL} SELECT client_id, district_id, genero FROM client_part")
+@query("gender_from_digits", f"WITH {BANK_SQL} SELECT client_id, district_id, genero FROM people")
 def gender(spark, sf):
     b = bank(spark, sf)
     return b.client.select(
@@ -228,7 +253,7 @@ def gender(spark, sf):
     )
 
 
-@query("code_map", f"WITH {BANK_SQL} SELECT * FROM account_part")
+@query("code_map", f"WITH {BANK_SQL} SELECT o_orderkey AS ac_id, frecuencia_emision FROM priced")
 def codes(spark, sf):
     b = bank(spark, sf)
     return b.account.select(

@@ -9,14 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.plans.credit import Bank
+from surcos.plans.credit import FREQUENCIES, Bank
 from surcos.plans.retail import Shop
 
-FREQUENCY = {
-    "1-URGENT": "emision mensual",
-    "2-HIGH": "emision semanal",
-    "3-MEDIUM": "emision despues de una transaccion",
-}
+# Order priorities stand for the codes of the issue frequency, in the same order.
+FREQUENCY = dict(zip(("1-URGENT", "2-HIGH", "3-MEDIUM"), FREQUENCIES.values()))
 STATUSES = ("F", "O")
 
 
@@ -200,87 +197,58 @@ def traffic(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-BANK_SQL = """
-client AS (
-  SELECT s_suppkey AS client_id, s_nationkey AS district_id,
-         CAST(round(abs(s_acctbal) * 100) AS INTEGER) AS birth_number
-  FROM supplier),
-people AS (
-  SELECT c_nationkey, CAST(count(*) AS INTEGER) AS a4,
-         CAST(count(*) FILTER (WHERE c_acctbal > 5000) AS INTEGER) AS a9,
-         100.0::DOUBLE * count(*) FILTER (WHERE c_mktsegment = 'BUILDING') / count(*) AS a10,
-         round(avg(c_acctbal), 8) AS a11
-  FROM customer GROUP BY c_nationkey),
-district AS (
-  SELECT n_nationkey AS a1, n_name AS a2, r_name AS a3, a4, a9, a10, a11
-  FROM nation JOIN region ON n_regionkey = r_regionkey
-  LEFT JOIN people ON n_nationkey = c_nationkey),
-disp AS (
-  SELECT l_suppkey AS client_id, l_orderkey AS account_id, l_linestatus AS type FROM lineitem),
-account AS (
-  SELECT o_orderkey AS account_id, o_orderpriority AS frequency,
-         CAST(strftime(o_orderdate, '%y%m%d') AS INTEGER) AS date
-  FROM orders),
-loan AS (
-  SELECT o_orderkey AS loan_id, o_orderkey AS account_id, o_totalprice AS amount,
-         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 12 AS duration,
-         o_totalprice / (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 12) AS payments,
-         o_orderstatus AS status
+FREQUENCY_SQL = (
+    "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FREQUENCY.items()) + " ELSE 'no especifica' END"
+)
+LOAN_SQL = """o_orderkey AS loan_id, o_orderkey AS acl_id, o_totalprice AS monto_prestamo,
+         months AS duracion_prestamo, o_totalprice / months AS pagos_mensuales, o_orderstatus AS estado"""
+
+# Written on the given tables: an order is an account and its loan at once, so the loans
+# are the orders, and one derived table has all that is known of who holds an order.
+BANK_SQL = f"""
+priced AS (
+  SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 12 AS months, {FREQUENCY_SQL} AS frecuencia_emision
   FROM orders),
-trans AS (
-  SELECT l_orderkey AS account_id, l_returnflag AS operation, l_extendedprice AS amount,
-         l_quantity AS balance
-  FROM lineitem),
-client_part AS (
-  SELECT client_id, district_id,
-         CASE WHEN substr(lpad(CAST(birth_number AS VARCHAR), 6, '0'), 3, 2) <= '50'
+figures AS (
+  SELECT n_nationkey AS districtid, n_name AS distrito, r_name AS region,
+         CAST(nullif(count(c_custkey), 0) AS INTEGER) AS habitantes,
+         CASE WHEN count(c_custkey) > 0
+              THEN CAST(count(*) FILTER (WHERE c_acctbal > 5000) AS INTEGER) END AS num_ciudades,
+         count(*) FILTER (WHERE c_mktsegment = 'BUILDING') * 100.0::DOUBLE
+           / nullif(count(c_custkey), 0) AS ratio_residentes_urbanos,
+         round(avg(c_acctbal), 8) AS salario_promedio
+  FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey
+  GROUP BY n_nationkey, n_name, r_name),
+people AS (
+  SELECT s_suppkey AS client_id, s_nationkey AS district_id,
+         CASE WHEN CAST(round(abs(s_acctbal) * 100) AS BIGINT) // 100 % 100 <= 50
               THEN 'hombre' ELSE 'mujer' END AS genero
-  FROM client),
-district_part AS (SELECT a1 AS districtid, a2 AS distrito, a3 AS region, a4 AS habitantes,
-               a9 AS num_ciudades, a10 AS ratio_residentes_urbanos, a11 AS salario_promedio
-        FROM district),
-disp_part AS (SELECT client_id AS c_id, account_id, type AS tipo_disposicion_cliente FROM disp),
-account_part AS (
-  SELECT account_id AS ac_id,
-         CASE frequency WHEN '1-URGENT' THEN 'emision mensual'
-                        WHEN '2-HIGH' THEN 'emision semanal'
-                        WHEN '3-MEDIUM' THEN 'emision despues de una transaccion'
-                        ELSE 'no especifica' END AS frecuencia_emision
-  FROM account),
-loan_part AS (SELECT loan_id, account_id AS acl_id, amount AS monto_prestamo,
-              duration AS duracion_prestamo, payments AS pagos_mensuales, status AS estado
-       FROM loan),
-summary_part AS (SELECT account_id AS act_id, max(operation) AS operation,
-              avg(amount) AS monto_dinero_promedio, avg(balance) AS balance_promedio,
-              count(*) AS cantidad_transacciones
-       FROM trans GROUP BY account_id),
+  FROM supplier),
+holding AS (
+  SELECT l_orderkey AS held, l_linestatus AS tipo_disposicion_cliente, people.*, figures.*
+  FROM lineitem JOIN people ON client_id = l_suppkey LEFT JOIN figures ON districtid = district_id
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+turnover AS (
+  SELECT l_orderkey AS act_id, max(l_returnflag) AS operation, sum(l_extendedprice) / count(l_extendedprice)
+           AS monto_dinero_promedio, sum(l_quantity) / count(l_quantity) AS balance_promedio,
+         count(*) AS cantidad_transacciones
+  FROM lineitem GROUP BY l_orderkey),
 minable AS (
-  SELECT * FROM client_part LEFT JOIN district_part ON districtid = district_id
-  JOIN disp_part ON c_id = client_id JOIN account_part ON ac_id = account_id
-  RIGHT JOIN loan_part ON acl_id = ac_id LEFT JOIN summary_part ON act_id = ac_id),
+  SELECT client_id, district_id, genero, districtid, distrito, region, habitantes, salario_promedio,
+         client_id AS c_id, held AS account_id, tipo_disposicion_cliente, held AS ac_id,
+         CASE WHEN held IS NOT NULL THEN frecuencia_emision END AS frecuencia_emision, {LOAN_SQL},
+         turnover.*
+  FROM priced LEFT JOIN holding ON held = o_orderkey LEFT JOIN turnover ON act_id = held),
 model AS (
   SELECT loan_id, region, habitantes, salario_promedio, frecuencia_emision, monto_prestamo,
          duracion_prestamo, pagos_mensuales, operation, monto_dinero_promedio,
          balance_promedio, cantidad_transacciones,
-         CASE WHEN estado IN ('F', 'O') THEN 'Candidato' ELSE 'No candidato' END AS candidato
+         if(estado IN ('F', 'O'), 'Candidato', 'No candidato') AS candidato
   FROM minable
-  WHERE region IS NOT NULL AND habitantes IS NOT NULL AND salario_promedio IS NOT NULL
-    AND frecuencia_emision IS NOT NULL AND monto_prestamo IS NOT NULL
-    AND duracion_prestamo IS NOT NULL AND pagos_mensuales IS NOT NULL
-    AND operation IS NOT NULL AND monto_dinero_promedio IS NOT NULL
-    AND balance_promedio IS NOT NULL AND cantidad_transacciones IS NOT NULL
-    AND estado IS NOT NULL)
-"""
-
-SHOP_SQL = """
-tab_min AS (
-  SELECT v.*, p.*, m.*
-  FROM (SELECT l_suppkey AS cliente_id, l_partkey AS product_id,
-               l_quantity AS product_uom_qty, l_extendedprice AS price_total FROM lineitem) v
-  LEFT JOIN (SELECT p_partkey AS id, p_retailprice AS preciodeventa, p_size AS cantidadamano,
-                    p_name AS nombre FROM part) p ON v.product_id = p.id
-  LEFT JOIN (SELECT l_partkey AS pid, l_quantity AS product_qty,
-                    l_linenumber AS location_dest_id FROM lineitem) m ON m.pid = v.product_id)
+  WHERE len(list_filter([region, operation, estado, CAST(habitantes AS VARCHAR), CAST(salario_promedio AS VARCHAR),
+                         CAST(monto_prestamo AS VARCHAR), CAST(pagos_mensuales AS VARCHAR),
+                         CAST(monto_dinero_promedio AS VARCHAR), CAST(balance_promedio AS VARCHAR)],
+                        lambda x: x IS NULL)) = 0)
 """
 
 CALLS_SQL = """
