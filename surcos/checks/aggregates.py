@@ -78,6 +78,38 @@ def describe_long(spark, sf):
     return df.withColumn("value", F.when(soft, F.round("value", 6)).otherwise(F.col("value")))
 
 
+TEXT_STATS = ("c_name", "c_mktsegment")
+
+
+@query("describe_text", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", unnest(['count', 'mean', 'stddev', 'min', 'max']) AS stat,
+        unnest([CAST(count({c}) AS VARCHAR), CAST(avg(TRY_CAST({c} AS DOUBLE)) AS VARCHAR),
+                CAST(stddev_samp(TRY_CAST({c} AS DOUBLE)) AS VARCHAR), min({c}), max({c})]) AS value FROM customer"""
+    for c in TEXT_STATS
+) + """ UNION ALL SELECT 'c_custkey', 'count', CAST(count(c_custkey) AS VARCHAR) FROM customer
+  UNION ALL SELECT 'c_custkey', 'min', CAST(min(c_custkey) AS VARCHAR) FROM customer
+  UNION ALL SELECT 'c_custkey', 'max', CAST(max(c_custkey) AS VARCHAR) FROM customer""")
+def describe_text(spark, sf):
+    """Text columns with all their figures; of a number only those that are written alike everywhere."""
+    stats = aggregate.describe_long(load(spark, sf, "customer"), [*TEXT_STATS, "c_custkey"])
+    return stats.where("column <> 'c_custkey' OR stat IN ('count', 'min', 'max')")
+
+
+@query("summary_rank_error", """SELECT c AS "column", s AS stat, true AS within
+  FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS c),
+       (SELECT unnest(['25%', '50%', '75%']) AS s)""")
+def summary_rank_error(spark, sf):
+    """Approximate quartiles: is the rank of each within 1 / accuracy of the one asked for?"""
+    table, columns = load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    quartiles = aggregate.summary_approx(table, columns).where("stat LIKE '%\\%'")
+    long = table.select(F.expr("stack(4, " + ", ".join(f"'{c}', {c}" for c in columns) + ") AS (c, v)"))
+    ranks = long.join(F.broadcast(quartiles), F.col("c") == F.col("column")).groupBy("column", "stat").agg(
+        F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"), F.count("v").alias("n"))
+    wanted = F.regexp_extract("stat", "[0-9]+", 0).cast("double") / 100 * F.col("n")
+    slack = F.col("n") / 10_000 + 1
+    return ranks.select("column", "stat", ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within"))
+
+
 @query("summary_approx")
 def summary_approx(spark, sf):
     return aggregate.summary_approx(load(spark, sf, "lineitem"), MEASURES)

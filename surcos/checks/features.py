@@ -60,20 +60,28 @@ ONE_HOT_SQL = f"""ranked AS ({rank_sql("customer", "c_mktsegment")}),
 
 def _one_hot(spark, sf):
     df = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    return features.one_hot(df, "c_mktsegment", "segment")
+    return features.one_hot_vector(df, "c_mktsegment", "segment")
 
 
 @query("one_hot", f"WITH {ONE_HOT_SQL} SELECT * FROM hot")
 def one_hot(spark, sf):
-    return _one_hot(spark, sf)
+    names = [f"segment_{i}" for i in range(4)]
+    spread = features.vector_slots(_one_hot(spark, sf), "segment", names).drop("segment")
+    return spread.withColumns({n: F.col(n).cast("int") for n in names})
+
+
+@query("one_hot_named", """SELECT c_custkey, c_mktsegment, CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS segment_0,
+    CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS segment_1 FROM customer""")
+def one_hot_named(spark, sf):
+    df = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return features.one_hot(df, "c_mktsegment", ["MACHINERY", "BUILDING"], "segment")
 
 
 @query("assembled", f"""WITH {ONE_HOT_SQL}
   SELECT c_custkey, {", ".join(f"CAST(segment_{i} AS DOUBLE) AS f{i}" for i in range(4))},
          CAST(c_nationkey AS DOUBLE) AS f4, c_acctbal AS f5 FROM hot""")
 def assembled(spark, sf):
-    inputs = [f"segment_{i}" for i in range(4)] + ["c_nationkey", "c_acctbal"]
-    vectors = features.assemble(_one_hot(spark, sf), inputs).select("c_custkey", "features")
+    vectors = features.assemble(_one_hot(spark, sf), ["segment", "c_nationkey", "c_acctbal"]).select("c_custkey", "features")
     return features.vector_slots(vectors, "features", [f"f{i}" for i in range(6)]).drop("features")
 
 

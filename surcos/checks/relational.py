@@ -169,9 +169,7 @@ def minable_short(spark, sf):
 def summary_left_join(spark, sf):
     b = bank(spark, sf)
     loans = credit.loan_part(b).select("loan_id", "acl_id", "monto_prestamo")
-    return bank_means(
-        loans.join(credit.summary_part(b), F.col("acl_id") == F.col("act_id"), "left")
-    )
+    return bank_means(joins.with_summary(loans, credit.summary_part(b), "acl_id", "act_id"))
 
 
 @query("minable_table", f"""WITH {BANK_SQL}

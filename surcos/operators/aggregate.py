@@ -62,15 +62,31 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.unpivot([], [F.col(quoted(c)) for c in df.columns], "column", "n_null")
 
 
+def _is_text(df: DataFrame, column: str) -> bool:
+    return df.select(F.col(quoted(column))).dtypes[0][1] in ("string", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
+def _number(df: DataFrame, column: str):
+    """The column as numbers: what cannot be read as one counts as missing."""
+    if _is_text(df, column):
+        return F.expr(f"try_cast({quoted(column)} AS DOUBLE)")
+    return F.col(quoted(column)).cast("double")
+
+
 def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, stat, value) with count, mean, stddev, min and max as doubles."""
-    makers = (F.count, F.avg, F.stddev_samp, F.min, F.max)
+    """(column, stat, value) with count, mean, stddev, min and max, in one pass.
+
+    All columns numeric: values are doubles. With a text column among them values are
+    text, as in a description for reading: minimum and maximum by text order, mean and
+    deviation over the entries that read as numbers.
+    """
+    text = any(_is_text(df, c) for c in columns)
+    kind = "string" if text else "double"
+    raw = lambda make: lambda c: make(quoted(c)).cast(kind)
+    number = lambda make: lambda c: make(_number(df, c)).cast(kind)
+    makers = (raw(F.count), number(F.avg), number(F.stddev_samp), raw(F.min), raw(F.max))
     wide = df.agg(
-        *[
-            make(quoted(c)).cast("double").alias(f"{i}_{stat}")
-            for i, c in enumerate(columns)
-            for stat, make in zip(STATS, makers)
-        ]
+        *[make(c).alias(f"{i}_{stat}") for i, c in enumerate(columns) for stat, make in zip(STATS, makers)]
     )
     parts = ", ".join(
         f"'{c}', '{stat}', `{i}_{stat}`" for i, c in enumerate(columns) for stat in STATS
@@ -81,14 +97,15 @@ def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def summary_approx(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """describe_long plus approximate quartiles, which need bounded memory only."""
+    kind = "STRING" if any(_is_text(df, c) for c in columns) else "DOUBLE"
     wide = df.agg(
         *[
-            F.percentile_approx(quoted(c), [0.25, 0.5, 0.75], accuracy).alias(f"q{i}")
+            F.percentile_approx(_number(df, c), [0.25, 0.5, 0.75], accuracy).alias(f"q{i}")
             for i, c in enumerate(columns)
         ]
     )
     parts = ", ".join(
-        f"'{c}', '{p}%', CAST(q{i}[{j}] AS DOUBLE)"
+        f"'{c}', '{p}%', CAST(q{i}[{j}] AS {kind})"
         for i, c in enumerate(columns)
         for j, p in enumerate((25, 50, 75))
     )

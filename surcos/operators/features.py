@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from surcos.operators.aggregate import distribution
 from surcos.operators.ranking import global_rank
-
-MAX_COLUMNS = 2_000
+from surcos.sources.scratch import materialise
 
 
 def category_index(df: DataFrame, column: str) -> DataFrame:
@@ -62,25 +61,30 @@ def label_index(df: DataFrame, column: str, output: str, positive: str | None =
     return indexed.withColumn(output, F.col(output).cast("double"))
 
 
-def one_hot(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
-    """Add 0/1 columns ``<prefix>_0`` … for all categories but the rarest.
-
-    The categories become columns, so their number must be one that a schema can
-    carry; more than that is an error, never a cut.
-    """
-    ranked = category_index(df, column).orderBy("index").limit(MAX_COLUMNS + 1)
-    values = [r["value"] for r in ranked.select("value", "index").collect()]
-    if len(values) > MAX_COLUMNS:
-        raise ValueError(f"{column} has more than {MAX_COLUMNS} categories; use string_index")
+def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str | None = None) -> DataFrame:
+    """Add a 0/1 column ``<prefix>_0`` … for each category that the caller names; null is none of them."""
     name = prefix or column
     return df.withColumns(
-        {
-            f"{name}_{i}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0))
-            for i, v in enumerate(values[:-1])
-        }
+        {f"{name}_{i}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for i, v in enumerate(values)}
     )
 
 
+def one_hot_vector(df: DataFrame, column: str, output: str) -> DataFrame:
+    """Add a sparse one-hot vector with a slot for every category but the rarest.
+
+    Any number of categories: the index is joined to the rows, and only its size, one
+    number, reaches the driver. A null has an empty vector.
+    """
+    ranked = materialise(category_index(df, column), "categories")
+    slots = OneHotEncoder(inputCols=["_index"], outputCols=[output], handleInvalid="error", dropLast=True)
+    size = ranked.count()
+    indexed = string_index(df, column, "_index", fitted=ranked, unseen="keep")
+    # A null takes the last index, the one without a slot.
+    filled = indexed.withColumn("_index", F.coalesce("_index", F.lit(max(size, 2) - 1)).cast("double"))
+    sized = filled.withMetadata("_index", {"ml_attr": {"type": "nominal", "name": column, "num_vals": max(size, 2)}})
+    return slots.fit(sized).transform(sized).drop("_index")
+
+
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
     """Put numeric columns into one vector column; nulls must be gone by now."""
     return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)

@@ -40,43 +40,67 @@ def ar1_forecast(windows: DataFrame) -> DataFrame:
     return windows.withColumn("predicted", slope * F.col("l1") + intercept)
 
 
+def _finite(c):
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+
+def _solve(sums: pd.Series, means: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """Weights and intercept of every series in a batch from its centred sums of products."""
+    weights, intercepts = [], []
+    for flat, mean, n in zip(sums, means, counts):
+        k = len(mean) - 1
+        full = np.zeros((k + 1, k + 1))
+        full[np.tril_indices(k + 1)] = flat
+        full += np.tril(full, -1).T
+        gram, cross = full[:k, :k], full[:k, k]
+        usable = n > k + 1 and np.isfinite(full).all()
+        if usable:
+            scale = np.sqrt(np.diag(gram))
+            usable = (scale > 0).all() and np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-10) == k
+        if usable:
+            w = np.linalg.solve(gram / np.outer(scale, scale), cross / scale) / scale
+            weights.append(w)
+            intercepts.append(float(mean[k] - w @ mean[:k]))
+        else:
+            weights.append(None)
+            intercepts.append(None)
+    return pd.DataFrame({"weights": weights, "intercept": pd.Series(intercepts, dtype="float64")})
+
+
 def ar_fit(samples: DataFrame) -> DataFrame:
     """(series_id, weights, intercept): least squares of target on x, per series.
 
-    ``samples`` comes from :func:`lag_arrays`. No built-in function solves a linear
-    system, so each series' training samples, at most one per day, are solved by
-    numpy in the task that holds the series.
+    ``samples`` comes from :func:`lag_arrays`. Means and centred products are summed by
+    built-in aggregates, merged before the shuffle; Python solves the small systems, many
+    series a batch. Samples with a null, NaN or infinite number are left out. A series with
+    no more than k + 1 samples, or with lags that depend on each other, has null weights.
     """
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
-        solution = np.linalg.lstsq(x, part["target"].to_numpy(), rcond=None)[0]
-        return pd.DataFrame(
-            {
-                "series_id": part["series_id"].iloc[:1],
-                "weights": [solution[:-1].tolist()],
-                "intercept": solution[-1:],
-            }
-        )
-
-    series_type = samples.schema["series_id"].dataType.simpleString()
-    whole = F.col("target").isNotNull() & F.forall("x", lambda v: v.isNotNull())
-    return (
-        samples.where((F.col("split") == "train") & whole)
-        .select("series_id", "x", "target")
-        .groupBy("series_id")
-        .applyInPandas(solve, f"series_id {series_type}, weights array<double>, intercept double")
-    )
+    whole = F.coalesce(_finite(F.col("target")) & F.forall("x", _finite), F.lit(False))
+    train = samples.where((F.col("split") == "train") & whole).select(
+        "series_id", F.concat("x", F.array("target")).alias("_v"))
+    k = samples.select(F.max(F.size("x"))).first()[0] or 0
+    at = lambda i: F.get("_v", F.lit(i))
+    means = train.groupBy("series_id").agg(
+        F.array(*[F.avg(at(i)) for i in range(k + 1)]).alias("means"), F.count("*").alias("n"))
+    centred = train.join(means.select(F.col("series_id").alias("_s"), "means"), F.col("series_id").eqNullSafe(F.col("_s")))
+    off = lambda i: at(i) - F.get("means", F.lit(i))
+    sums = centred.groupBy("series_id").agg(
+        F.array(*[F.sum(off(i) * off(j)) for i in range(k + 1) for j in range(i + 1)]).alias("sums"))
+    both = sums.join(means.withColumnRenamed("series_id", "_s"), F.col("series_id").eqNullSafe(F.col("_s")))
+    solve = F.pandas_udf(_solve, "weights array<double>, intercept double")
+    solved = both.select("series_id", solve("sums", "means", "n").alias("fit"))
+    return solved.select("series_id", "fit.weights", "fit.intercept")
 
 
 def ar_forecast(samples: DataFrame) -> DataFrame:
-    """Add ``predicted``, each series with its own weights."""
+    """Add ``predicted``, each series with its own weights; null where the series has none."""
     products = F.zip_with("x", "weights", lambda v, w: v * w)
     total = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+    fitted = ar_fit(samples).withColumnRenamed("series_id", "_fitted")
     return (
-        samples.join(ar_fit(samples), "series_id", "left")
+        samples.join(fitted, F.col("series_id").eqNullSafe(F.col("_fitted")), "left")
         .withColumn("predicted", total + F.col("intercept"))
-        .drop("weights", "intercept")
+        .drop("_fitted", "weights", "intercept")
     )
 
 

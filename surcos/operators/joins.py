@@ -21,6 +21,17 @@ def with_dimension(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) ->
     return facts.join(dim, F.col(key) == F.col(dim_key), "left")
 
 
+def with_summary(facts: DataFrame, summary: DataFrame, key: str, summary_key: str) -> DataFrame:
+    """Left outer join to a table that was aggregated by its key.
+
+    Such a side is partitioned already, so adaptive execution cannot split a swollen
+    partition of the facts: hot keys, and rows without a key, are dealt out by salt.
+    Runs a Spark job to find them.
+    """
+    hot = hot_keys(facts, key)
+    return salted_join(salt(facts, key, hot), summary, key, summary_key, "left", hot)
+
+
 def through_link(
     entities: DataFrame,
     link: DataFrame,
@@ -57,7 +68,8 @@ def minable_table(
 
     The tables with few rows per account are joined to each other first, so all
     of them are shuffled once, by account. The dispositions, which may repeat an
-    account without bound, meet them in a single salted join.
+    account without bound, meet them in a single salted join. A Spark job finds the
+    hot accounts when the table is built.
     """
     people = with_dimension(client, district, "district_id", "districtid")
     hot = hot_keys(disp, "account_id")
@@ -82,7 +94,9 @@ def minable_table(
         .distinct()
     )
     reachable = held.join(account, F.col("_held") == F.col("ac_id"), "left_semi")
-    alone = loan.join(reachable, F.col("acl_id") == F.col("_held"), "left_anti")
+    # Loans without an account match nothing; joined, they would all meet in one task.
+    keyed = loan.where(F.col("acl_id").isNotNull()).join(reachable, F.col("acl_id") == F.col("_held"), "left_anti")
+    alone = keyed.unionByName(loan.where(F.col("acl_id").isNull()))
     kept = set(loan.columns)
     typed = {f.name: f.dataType for f in matched.schema}
     return matched.select(*columns).unionByName(

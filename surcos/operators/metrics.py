@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surcos.functions.scalar import percentage_error
-from surcos.operators.ranking import running_totals
-
-# Centres become literals of an expression; more of them is an error, never a cut.
-MAX_CENTRES = 1_000
+from surcos.operators.ranking import global_rank, running_totals
 
 
 def balanced_accuracy(df: DataFrame, label: str, prediction: str, *by: str) -> DataFrame:
@@ -72,76 +69,74 @@ def _plus(terms) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def _one_value(df: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Add column ``name``: all of ``rows`` as one array of structs, ordered by their first column.
+
+    The expressions that walk it are the same for any number of rows. ``rows`` are the k
+    centres of a clustering; k is the caller's own parameter, not a number that grows
+    with the table.
+    """
+    folded = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
+    return df.withColumn(name, folded.scalar())
+
+
+def _squares(columns: Sequence[str], values: Column) -> Column:
+    return _plus((F.col(c) - F.get(values, F.lit(i))) ** 2 for i, c in enumerate(columns))
+
+
 def nearest_centre(
-    df: DataFrame, columns: Sequence[str], centres: Sequence[tuple[int, Sequence[float]]],
+    df: DataFrame, columns: Sequence[str], centres: Sequence[tuple[int, Sequence[float]]] | DataFrame,
     output: str = "cluster",
 ) -> DataFrame:
     """Add the number of the nearest centre (squared Euclidean, ties to the lower).
 
-    The centres are the k rows of a fitted clustering; they become literals, so the
-    assignment is one expression in the scan's own stage.
+    ``centres`` are (number, values), or a table with these two columns. The k of them
+    are one array value that each row walks, so the plan does not grow with k.
     """
-    candidates = [
-        F.struct(
-            _plus((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(columns, centre)).alias("d"),
-            F.lit(int(number)).alias("c"),
-        )
-        for number, centre in centres
-    ]
-    return df.withColumn(output, F.least(*candidates)["c"] if len(candidates) > 1 else candidates[0]["c"])
-
-
-def group_centres(
-    df: DataFrame, group: str, columns: Sequence[str]
-) -> list[tuple[int, list[float]]]:
-    """Mean of each group as (number, centre), numbered by the group's value."""
-    rows = (
-        df.groupBy(group)
-        .agg(*[F.avg(c).alias(c) for c in columns])
-        .orderBy(group)
-        .limit(MAX_CENTRES + 1)
-        .collect()
+    if not isinstance(centres, DataFrame):
+        typed = [(int(n), [float(v) for v in values]) for n, values in centres]
+        centres = df.sparkSession.createDataFrame(typed, "number int, values array<double>")
+    held = _one_value(df, centres.select("number", "values"), "_centres")
+    nearest = F.array_min(
+        F.transform("_centres", lambda c: F.struct(_squares(columns, c["values"]).alias("d"), c["number"].alias("c")))
     )
-    if len(rows) > MAX_CENTRES:
-        raise ValueError(f"{group} has more than {MAX_CENTRES} values")
-    return [(i, [float(r[c]) for c in columns]) for i, r in enumerate(rows)]
+    return held.withColumn(output, nearest["c"]).drop("_centres")
+
+
+def group_centres(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Mean of each group as (number, values), numbered in the order of the group's value."""
+    means = df.groupBy(group).agg(F.array(*[F.avg(c) for c in columns]).alias("values"))
+    return global_rank(means, [F.asc(group)], "number").select(F.col("number").cast("int").alias("number"), "values")
 
 
 def silhouette(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
     """Mean silhouette with squared Euclidean distance, in two passes.
 
     The mean distance of a point to a cluster follows from the cluster's size, sum
-    vector and sum of squared norms, so no pair of points is formed. Those k rows
-    become literals of the second pass. A point alone in its cluster scores 0.
+    vector and sum of squared norms, so no pair of points is formed. The k clusters'
+    sums are one array value of the second pass. A point alone in its cluster scores
+    0; with fewer than two clusters the score is not defined and an error.
     """
     norm = _plus(F.col(c) ** 2 for c in columns)
-    stats = (
-        df.groupBy(cluster)
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(norm).alias("norms"),
-            *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)],
-        )
-        .limit(MAX_CENTRES + 1)
-        .collect()
+    stats = df.groupBy(F.col(cluster).alias("id")).agg(
+        F.count("*").cast("double").alias("n"),
+        F.sum(norm).alias("norms"),
+        F.array(*[F.sum(c) for c in columns]).alias("sums"),
     )
-    if not 2 <= len(stats) <= MAX_CENTRES:
-        raise ValueError(f"the silhouette needs 2 to {MAX_CENTRES} clusters")
+    if len(stats.limit(2).take(2)) < 2:
+        raise ValueError("the silhouette needs at least 2 clusters")
 
-    def total(row) -> Column:
+    def total(c: Column) -> Column:
         """Sum of squared distances from the point to all members of a cluster."""
-        dot = _plus(F.col(c) * F.lit(float(row[f"s{i}"])) for i, c in enumerate(columns))
-        return F.lit(float(row["n"])) * F.col("_norm") + F.lit(float(row["norms"])) - 2 * dot
-
-    def own(row) -> Column:
-        return F.col(cluster) == F.lit(row[cluster])
-
-    first = F
-    for row in stats:
-        first = first.when(own(row), total(row) / F.lit(float(row["n"] - 1)) if row["n"] > 1 else None)
-    others = [F.when(~own(row), total(row) / F.lit(float(row["n"]))) for row in stats]
-    points = df.withColumn("_norm", norm).select(
-        first.alias("a"), F.least(*others).alias("b")
+        dot = _plus(F.col(name) * F.get(c["sums"], F.lit(i)) for i, name in enumerate(columns))
+        return c["n"] * F.col("_norm") + c["norms"] - 2 * dot
+
+    held = _one_value(df.withColumn("_norm", norm), stats, "_clusters")
+    own = F.filter("_clusters", lambda c: c["id"].eqNullSafe(F.col(cluster)))
+    others = F.filter("_clusters", lambda c: ~c["id"].eqNullSafe(F.col(cluster)))
+    points = held.select(
+        F.get(F.transform(own, lambda c: F.when(c["n"] > 1, total(c) / (c["n"] - 1))), F.lit(0)).alias("a"),
+        F.array_min(F.transform(others, lambda c: total(c) / c["n"])).alias("b"),
     )
     score = F.when(F.col("a").isNull(), 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))

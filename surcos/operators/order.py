@@ -29,17 +29,21 @@ def chronological(
     return df.orderBy(series, ds, *ties)
 
 
-def first_n(df: DataFrame, n: int, series: str = "series_id", ds: str = "ds") -> DataFrame:
-    """The first n rows of each series.
+def first_n(
+    df: DataFrame, n: int, series: str = "series_id", ds: str = "ds", ties: Sequence[str] = ()
+) -> DataFrame:
+    """The first n rows of each series; ``ties`` decide between rows of one day.
 
     Spark keeps only n rows per series in every map task before the shuffle, so a
     series that dominates the table is cut down where it lies.
     """
-    w = W.partitionBy(series).orderBy(F.asc(ds))
+    w = W.partitionBy(series).orderBy(F.asc(ds), *[F.asc(t) for t in ties])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def last_n(df: DataFrame, n: int, series: str = "series_id", ds: str = "ds") -> DataFrame:
-    """The last n rows of each series."""
-    w = W.partitionBy(series).orderBy(F.desc(ds))
+def last_n(
+    df: DataFrame, n: int, series: str = "series_id", ds: str = "ds", ties: Sequence[str] = ()
+) -> DataFrame:
+    """The last n rows of each series; ``ties`` decide between rows of one day."""
+    w = W.partitionBy(series).orderBy(F.desc(ds), *[F.desc(t) for t in ties])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -14,39 +14,41 @@ from pyspark.sql import functions as F
 
 from surcos.session import shuffle_width
 
-MAX_HOT = 1_000
+SKETCH = 10  # counters of the sketch for each key that it may report
+MAX_SKETCH = 1_000_000  # counters that a frequent-items sketch may have
 _SALT, _SIDE = "_salt", "_salt_side"
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys with more rows than an average shuffle partition: at most 1,000 values.
+    """Keys with more rows than an average shuffle partition: fewer values than the shuffle is wide.
 
     A frequent-items sketch finds them in one narrow scan. None is among them when
-    that many rows have no key.
+    that many rows have no key. Runs a Spark job.
     """
-    share = max(1 / shuffle_width(df.sparkSession), 1 / MAX_HOT)
-    k = int(1 / share) + 1
+    width = shuffle_width(df.sparkSession)
+    counters = min(MAX_SKETCH, max(10_000, SKETCH * (width + 1)))
     top, keyed, total = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {k}, {10 * MAX_HOT})"), F.count(key), F.count("*")
+        F.expr(f"approx_top_k(`{key}`, {min(width + 1, counters)}, {counters})"), F.count(key), F.count("*")
     ).first()
-    least = share * total
+    least = total / width
     hot = [t["item"] for t in top or [] if t["item"] is not None and t["count"] > least]
     return hot + ([None] if total - keyed > least else [])
 
 
 def salt(facts: DataFrame, key: str, hot: list) -> DataFrame:
-    """Mark the rows of hot keys with the number of the task that holds them.
+    """Give the rows of hot keys one of as many numbers as the shuffle is wide.
 
-    Such a salt needs no further column, differs between equal rows and is the same
-    when a task is repeated. Rows with a null key match nothing, so any salt is
-    right for them. Salt a table before joining it to others: filters on their
-    columns then still reach them.
+    The number comes from the content of the row, so it spreads a key however the table
+    is laid out and is the same when a task is repeated. Rows with a null key match
+    nothing, so any salt is right for them. Salt a table before joining it to others:
+    filters on their columns then still reach them.
     """
+    if not hot:
+        return facts
     ways = shuffle_width(facts.sparkSession)
-    keys = [k for k in hot if k is not None]
-    spread = F.col(key).isin(keys) | F.col(key).isNull()
-    task = F.pmod(F.spark_partition_id(), F.lit(ways))
-    return facts.withColumn(_SALT, F.when(spread, task).otherwise(0)) if hot else facts
+    spread = F.col(key).isin([k for k in hot if k is not None]) | F.col(key).isNull()
+    number = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(ways)).cast("int")
+    return facts.withColumn(_SALT, F.when(spread, number).otherwise(0))
 
 
 def salted_join(
@@ -84,7 +86,9 @@ def keep_right_join(
     if not hot:
         return facts.join(kept, F.col(key) == F.col(kept_key), "right")
     matched = facts.join(kept, F.col(key) == F.col(kept_key))
-    keys = facts.select(F.col(key).alias("_key")).distinct()
-    alone = kept.join(keys, F.col(kept_key) == F.col("_key"), "left_anti")
+    keys = facts.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
+    # Rows without a key match nothing; joined, they would all meet in one task.
+    keyed = kept.where(F.col(kept_key).isNotNull()).join(keys, F.col(kept_key) == F.col("_key"), "left_anti")
+    alone = keyed.unionByName(kept.where(F.col(kept_key).isNull()))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema]
     return matched.unionByName(alone.select(*blank, *kept.columns))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def bucket(key: str, salt: str = "", buckets: int = 100) -> Column:
-    """A stable pseudo-random bucket of a key: 32 bits of its md5, modulo ``buckets``."""
-    text = F.concat(F.col(key).cast("string"), F.lit(salt))
+    """A stable pseudo-random bucket of a key: 32 bits of its md5, modulo ``buckets``. Null counts as ''."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(salt))
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
 
 
@@ -26,7 +26,7 @@ def random_split(df: DataFrame, train: float = 0.7, seed: int = 1) -> list[DataF
 def holdout_rounds(df: DataFrame, key: str, rounds: int = 3, train: int = 70) -> DataFrame:
     """Every row once per round, with an independent split in each."""
     expanded = df.withColumn("round", F.explode(F.array(*[F.lit(r) for r in range(rounds)])))
-    text = F.concat(F.col(key).cast("string"), F.lit("#"), F.col("round").cast("string"))
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("#"), F.col("round").cast("string"))
     value = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100
     return expanded.withColumn("split", F.when(value < train, "train").otherwise("test"))
 

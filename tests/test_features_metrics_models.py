@@ -44,12 +44,29 @@ def test_one_hot_equals_the_library(colours):
     indexed = StringIndexer(inputCol="c", outputCol="i").fit(colours).transform(colours)
     theirs = OneHotEncoder(inputCol="i", outputCol="v").fit(indexed).transform(indexed)
     want = {r["id"]: tuple(map(int, r["a"])) for r in theirs.select("id", vector_to_array("v").alias("a")).collect()}
-    got = features.one_hot(colours, "c", "c")
+    names = [r["value"] for r in features.category_index(colours, "c").orderBy("index").collect()]
+    got = features.one_hot(colours, "c", names[:-1], "c")
     assert {r["id"]: (r["c_0"], r["c_1"], r["c_2"]) for r in got.collect()} == want
     slots = features.vector_slots(features.assemble(got, ["c_0", "id"]), "features", ["a", "b"])
     assert slots.where("id = 4").select("b").first()[0] == 4.0
 
 
+def test_one_hot_vectors_of_many_categories(spark):
+    df = spark.range(3000).selectExpr("id", "concat('k', id) AS c").unionByName(spark.createDataFrame([(9000, None)], "id long, c string"))
+    got = features.one_hot_vector(df, "c", "v").where("id IN (0, 1, 9000)").collect()
+    assert all(r["v"].size == 2999 for r in got)
+    assert sorted(r["v"].numNonzeros() for r in got if r["id"] != 9000) == [1, 1]
+    assert [r["v"].numNonzeros() for r in got if r["id"] == 9000] == [0]
+
+
+def test_many_clusters(spark):
+    df = spark.range(8000).selectExpr("id", "id % 2000 AS cluster", "CAST(id % 2000 AS DOUBLE) * 10 AS x", "CAST(id DIV 2000 AS DOUBLE) AS y")
+    centres = metrics.group_centres(df, "cluster", ["x", "y"])
+    near = metrics.nearest_centre(df, ["x", "y"], centres, "near")
+    assert near.where("near <> cluster").count() == 0
+    assert 0.5 < metrics.silhouette(df, ["x", "y"]).first()[0] < 1
+
+
 def test_rarer_class_is_one(spark):
     df = spark.createDataFrame([(1, "yes"), (2, "yes"), (3, "no")], "id int, y string")
     assert rows(features.label_index(df, "y", "label"), "id", "label") == [(1, 0.0), (2, 0.0), (3, 1.0)]
@@ -125,6 +142,7 @@ def test_silhouette_equals_the_library(spark):
 def test_nearest_centre(spark):
     df = points(spark)
     centres = metrics.group_centres(df, "cluster", ["x", "y"])
+    centres = [(r["number"], r["values"]) for r in centres.orderBy("number").collect()]
     assert [c for c, _ in centres] == [0, 1, 2, 3]
     for r in metrics.nearest_centre(df, ["x", "y"], centres, "near").collect():
         want = min((sum((a - b) ** 2 for a, b in zip((r["x"], r["y"]), p)), c) for c, p in centres)[1]

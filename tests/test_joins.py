@@ -131,6 +131,30 @@ def test_salted_join_equals_join(spark, how):
     assert "_salt" in plan
 
 
+def test_salt_spreads_a_key_that_lies_in_one_task(spark):
+    facts = spark.range(4000).selectExpr("IF(id < 3500, 7, id) AS k", "id AS v").repartition("k")
+    hot = skew.hot_keys(facts, "k")
+    assert hot == [7]
+    counts = skew.salt(facts, "k", hot).where("k = 7").groupBy(skew._SALT).count().collect()
+    assert len(counts) == 4 and max(r["count"] for r in counts) < 1200
+
+
+def test_hot_keys_of_a_wide_shuffle(spark):
+    df = spark.range(100_000).selectExpr("IF(id < 80, 0, id) AS k")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert skew.hot_keys(df, "k") == [0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_summary_join_keeps_rows_without_key(spark):
+    facts = spark.createDataFrame([(None, i) for i in range(90)] + [(1, 1), (2, 2), (3, 3)], "k int, v int")
+    summary = spark.createDataFrame([(1, 1), (1, 2), (2, 5)], "a int, w int").groupBy("a").agg(F.sum("w").alias("w"))
+    expected = facts.join(summary, F.col("k") == F.col("a"), "left")
+    assert rows(joins.with_summary(facts, summary, "k", "a")) == rows(expected)
+
+
 @pytest.mark.parametrize("more", [[], [(i, "m") for i in range(50, 90)]])
 def test_keep_right_join(spark, more):
     data = [(1, "a"), (1, "b"), (None, "c"), (5, "d")]
