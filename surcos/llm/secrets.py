@@ -130,8 +130,8 @@ def findings(docs: DataFrame, text: str = "text", most: int = MAX_DOCS) -> DataF
     """Labelled findings: ``before``, ``candidate``, ``after`` and ``label`` (1: a secret)."""
     some = docs.where(F.length(text) >= 80).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     n = some.count()
-    if n > most:  # an even share by hash, near the bound; the limit only trims it
-        some = some.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * most / n)).limit(most)
+    if n > most:  # an even share by hash, a little below the bound, which the limit then only enforces
+        some = some.where(F.pmod("h", F.lit(1_000_003)) < int(970_003 * most / n)).limit(most)
     plain = F.array_distinct(words(F.lower(F.regexp_replace("t", r"[^A-Za-z\s]+", " "))))
     w = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit("word"))
     salted = lambda k: F.concat("t", F.lit(str(k)))

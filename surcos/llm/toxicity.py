@@ -286,14 +286,19 @@ def _bent(word: str) -> list[str]:
     return [word[:m] + "x" + word[m:], word[:m] + word[m - 1 :], word[:m] + word[m + 1 :]] if len(word) > 3 else []
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", most: int = MAX_LABELLED) -> Model:
-    """Learn from at most ``most`` rows with label 0 or 1."""
-    known = labelled.where(F.col(toxic).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"), F.xxhash64(F.lit(5), F.col(key)).alias("h"))
+def bounded(labels: DataFrame, toxic: str = "toxic", key: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
+    """At most ``most`` labels 0 or 1, as (``key``, ``toxic``); few enough to broadcast to the texts."""
+    known = labels.where(F.col(toxic).isin(0, 1)).select(key, toxic)
     n = known.count()
-    if n > most:  # an even share by hash, near the bound; the limit only trims it
-        known = known.where(F.pmod("h", F.lit(1_000_003)) < int(1_000_003 * most / n)).limit(most)
-    train = known.select("text", "toxic")
+    if n > most:  # an even share by hash, a little below the bound, which the limit then only enforces
+        known = known.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(1_000_003)) < int(970_003 * most / n)).limit(most)
+    return known
+
+
+def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Model:
+    """Learn from the rows with label 0 or 1; :func:`bounded` keeps their number in bounds."""
+    known = labelled.where(F.col(toxic).isin(0, 1))
+    train = materialise(known.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic")), "labelled")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:

@@ -478,6 +478,13 @@ def model(spark):
     return toxicity.fit(table)
 
 
+def test_labels_are_bounded(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 3 AS INT) AS toxic")
+    some = toxicity.bounded(labels, most=500).collect()
+    assert 400 <= len(some) <= 500 and {r["toxic"] for r in some} == {0, 1}
+    assert toxicity.bounded(labels.limit(9)).count() == 6
+
+
 def test_toxicity_held_out(spark, model):
     sf = SF.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet").where(toxicity.held_out(F.col("doc_id")))
