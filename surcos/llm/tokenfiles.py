@@ -40,11 +40,14 @@ from surcos.operators.ranking import running_totals
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 SHARD_IDS = 1 << 20
+MARK = "\x01"  # stands between words that are encoded as one text
+JOINED = 128  # words of such a text
+REMEMBERED = 400_000  # words whose ids a Python worker keeps
 SLICE = 24 << 20  # bytes of text that are encoded together
 ROUNDS = 8  # at most; a round replaces up to PAIRS pairs
 PAIRS = 512
 LEAST = 64  # occurrences below which a pair is not worth a rule
-_BUCKETS = 1 << 20
+BUCKET_BITS = 20  # pairs are counted in so many hashed buckets
 MAX_FILE = 64 << 20
 
 
@@ -63,6 +66,49 @@ def tokenizer(content: bytes) -> Tokenizer:
     return made
 
 
+def encode_words(words: list[str], tok: Tokenizer) -> list[bytes]:
+    """The ids of each word, as unsigned 32-bit integers.
+
+    Many words are encoded as one text, with a mark of a single id between them, as a call
+    costs more than a word; words that hold the mark themselves are encoded alone.
+    """
+    mark = tok.encode(MARK, add_special_tokens=False).ids
+    alone = {k: w for k, w in enumerate(words) if MARK in w or len(mark) != 1}
+    plain = [w for k, w in enumerate(words) if k not in alone] if alone else words
+    joint = f" {MARK} "
+    texts = [joint.join(plain[i : i + JOINED]) + joint for i in range(0, len(plain), JOINED)]
+    out: list[bytes] = []
+    for i in range(0, len(texts), 256):
+        found: list[int] = []
+        for e in tok.encode_batch_fast(texts[i : i + 256], add_special_tokens=False):
+            found += e.ids
+        ids = np.array(found, "<u4")
+        stop = np.flatnonzero(ids == mark[0])
+        data, ends = ids.tobytes(), (4 * stop).tolist()
+        out += [data[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)]
+    for k in sorted(alone):
+        out.insert(k, np.array(tok.encode(alone[k], add_special_tokens=False).ids, "<u4").tobytes())
+    return out
+
+
+_KNOWN: dict[str, bytes] = {}  # of this Python worker, for the tokenizer it last used
+_OWNER: list = [None]
+
+
+def known_words(words: list[str], tok: Tokenizer) -> list[bytes]:
+    """As :func:`encode_words`; up to ``REMEMBERED`` words are encoded once per Python worker."""
+    if _OWNER[0] is not tok:
+        _KNOWN.clear()
+        _OWNER[0] = tok
+    found = [_KNOWN.get(w) for w in words]
+    missing = [k for k, f in enumerate(found) if f is None]
+    for k, ids in zip(missing, encode_words([words[k] for k in missing], tok)):
+        found[k] = ids
+    room = REMEMBERED - len(_KNOWN)
+    _KNOWN.update((words[k], found[k]) for k in missing[:room] if len(words[k]) < 64)
+    return found
+
+
 def encode(texts: pa.Array, tok: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, and for n texts the n + 1 places where each begins.
 
@@ -70,63 +116,65 @@ def encode(texts: pa.Array, tok: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """
     flat, begin = flat_words(texts)
     coded = flat.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    ids: list[int] = []
-    length = np.empty(len(distinct), "i8")
-    step = 1 << 14
-    for i in range(0, len(distinct), step):
-        for k, e in enumerate(tok.encode_batch_fast(distinct[i : i + step], add_special_tokens=False)):
-            ids += e.ids
-            length[i + k] = len(e.ids)
+    spelled = known_words(coded.dictionary.to_pylist(), tok)
+    ids = np.frombuffer(b"".join(spelled), "<u4")
+    length = np.fromiter(map(len, spelled), "i8", len(spelled)) // 4
     code = coded.indices.to_numpy()
     first = np.cumsum(length) - length
     size = length[code] if len(code) else np.zeros(0, "i8")
     ends = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(first[code] - ends[:-1], size) + np.arange(ends[-1]) if len(code) else np.zeros(0, "i8")
-    return np.array(ids, "u4")[at], ends[begin]
+    return ids[at], ends[begin]
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray]:
     """(base, rules, symbols). A round takes the most frequent pairs of which none can overlap.
 
-    Pairs are first counted in hashed buckets, which only overestimates; those in full
-    buckets are counted exactly.
+    Pairs are counted in hashed buckets; each of the fullest buckets stands for one pair that
+    fell into it, whose occurrences are then counted exactly. Another pair of the same bucket
+    has its turn in a later round.
     """
-    seq = ids.astype("i8")
+    seq = ids.astype("u4")
     base = int(seq.max(initial=0)) + 1
     top, rules = base, []
     for _ in range(rounds):
         if len(seq) < 2 * LEAST:
             break
         left, right = seq[:-1], seq[1:]
-        bucket = (left * 0x9E3779B1 + right * 0x85EBCA6B) & (_BUCKETS - 1)
-        full = np.bincount(bucket, minlength=_BUCKETS)
-        cut = max(LEAST, int(np.partition(full, -4 * PAIRS)[-4 * PAIRS]))
-        at = np.flatnonzero((full >= cut)[bucket])
-        pair, n = np.unique(left[at] << 32 | right[at], return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        firsts, seconds, chosen = set(), set(), []
-        for k in order[n[order] >= LEAST].tolist():
-            a, b = int(pair[k] >> 32), int(pair[k] & 0xFFFFFFFF)
+        bucket = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)
+        full = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        fullest = np.argpartition(full, -4 * PAIRS)[-4 * PAIRS :]
+        fullest = fullest[full[fullest] >= LEAST]
+        number = np.full(1 << BUCKET_BITS, -1, "i2")
+        number[fullest] = np.arange(len(fullest))
+        at = np.flatnonzero(number[bucket] >= 0)
+        near, pair = number[bucket[at]], left[at].astype("u8") << np.uint64(32) | right[at]
+        stands = np.zeros(len(fullest), "u8")
+        stands[near[::-1]] = pair[::-1]
+        same = stands[near] == pair
+        n = np.bincount(near[same], minlength=len(fullest))
+        firsts, seconds, taken = set(), set(), []
+        symbol = np.zeros(len(fullest), "u4")
+        for k in np.argsort(-n, kind="stable").tolist():
+            a, b = int(stands[k]) >> 32, int(stands[k]) & 0xFFFFFFFF
+            if n[k] < LEAST or len(taken) == PAIRS:
+                break
             if a != b and a not in seconds and b not in firsts:
                 firsts.add(a)
                 seconds.add(b)
-                chosen.append(pair[k])
-                if len(chosen) == PAIRS:
-                    break
-        if not chosen:
+                symbol[k] = top + len(taken)
+                taken.append((a, b))
+        if not taken:
             break
-        known = np.sort(np.array(chosen))
-        here = left[at] << 32 | right[at]
-        place = np.minimum(np.searchsorted(known, here), len(known) - 1)
-        hit = known[place] == here
-        seq[at[hit]] = top + place[hit]
+        rules += taken
+        top += len(taken)
+        new = np.where(same, symbol[near], 0)
+        hit = at[new > 0]
+        seq[hit] = new[new > 0]
         gone = np.ones(len(seq), bool)
-        gone[at[hit] + 1] = False
+        gone[hit + 1] = False
         seq = seq[gone]
-        rules += [(int(p >> 32), int(p & 0xFFFFFFFF)) for p in known]
-        top += len(known)
-    return base, np.array(rules, "u4").reshape(-1, 2), seq.astype("u4")
+    return base, np.array(rules, "u4").reshape(-1, 2), seq
 
 
 def lengths(base: int, rules: np.ndarray) -> np.ndarray:
