@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from surcos.operators.features import slot_names
 from surcos.operators.metrics import balanced_accuracy
 from surcos.operators.split import hash_split
+from surcos.sources.scratch import materialise
 
 SEED = 1
 
@@ -93,7 +94,8 @@ def compare_models(
     Gives the kept model of each estimator (the best or the last round) and a table
     (model, round, auc). Of equal rounds the first is kept, and a model is returned
     whatever its score. ``df`` is read several times: hand in a written table. The
-    encoding stages are fitted once per round, on its training part.
+    encoding stages are fitted once per round, on its training part, and the encoded
+    parts are written.
 
     Training is many short jobs with a driver step between them, so up to
     ``parallelism`` fits run side by side to fill the cluster.
@@ -102,7 +104,10 @@ def compare_models(
     for r in range(rounds):
         train, test = holdout(df, key, f"#{r}")
         encoder = Pipeline(stages=list(stages)).fit(train)
-        encoded.append((encoder, encoder.transform(train), encoder.transform(test)))
+        # Written once a round: every estimator passes over these rows many times.
+        rows = encoder.transform(train)
+        slim = rows.select([c for c in ("label", "features") if c in rows.columns])
+        encoded.append((encoder, materialise(slim, "encoded"), materialise(encoder.transform(test), "encoded")))
 
     def fit(task: tuple[str, int]) -> tuple[PipelineModel, DataFrame, float]:
         name, r = task
