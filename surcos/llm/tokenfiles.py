@@ -205,17 +205,26 @@ class Shard:
         self.seq = numbers[3 * r :].astype("i8")
         self.counts = np.frombuffer(body, "<u8", d, 4 * (3 * r + s)).astype("i8")
         self.ends = np.cumsum(self.length[self.seq])
+        self.spelled = None
+
+    def _spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols' expansions one after the other, and where each begins; rules name earlier symbols."""
+        ids, made = np.arange(self.base, dtype="u4"), []
+        of = lambda s: ids[s : s + 1] if s < self.base else made[s - self.base]
+        for a, b in self.rules.tolist():
+            made.append(np.concatenate([of(a), of(b)]))
+        return np.concatenate([ids, *made]), np.cumsum(self.length) - self.length
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Replace nonterminals by their pairs until none is left."""
-        while len(symbols) and (deep := symbols >= self.base).any():
-            at = np.cumsum(1 + deep) - 1 - deep
-            out = np.empty(len(symbols) + int(deep.sum()), "i8")
-            out[at[~deep]] = symbols[~deep]
-            pair = self.rules[symbols[deep] - self.base]
-            out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        """The ids that the symbols stand for."""
+        if not len(symbols):
+            return np.zeros(0, "u4")
+        if self.spelled is None:
+            self.spelled = self._spelled()
+        table, first = self.spelled
+        size = self.length[symbols]
+        end = np.cumsum(size)
+        return table[np.repeat(first[symbols] - end + size, size) + np.arange(end[-1])]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` .. ``stop - 1``; only the symbols that meet them are expanded."""
