@@ -2,7 +2,7 @@
 
 1. quality rules: documents that fail the base rules or lie far from their language and
    source go;
-2. near copies: one document of each group stays;
+2. near copies: one document of each group stays, linked by a shingle similarity of 0.8 or more;
 3. secrets: findings that the forest confirms are masked in the text;
 4. source mix: documents appear as often as the schedule takes their beginning, so some
    sources repeat and others shrink to their targets; documents without words are not taken;
@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, percent=minhash.KEEP_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Near copies by b-bit MinHash.
 
-A document's set holds its distinct shingles of five words. ``HASHES`` minima are drawn
-from it; of each only ``BITS`` low bits are kept, packed into long integers, and ``ROWS``
-whole minima at a time are hashed into one of ``BANDS`` band values. Documents that share
-a band value are candidates. The share E of equal codes overestimates the similarity by
+A document's set holds its distinct shingles of five words. Some hundred minima are drawn
+from it; of each only ``BITS`` low bits are kept, packed into long integers, and some whole
+minima (``rows``) at a time are hashed into one of ``bands`` band values. Documents that
+share a band value are candidates. The share E of equal codes overestimates the similarity by
 chance collisions, so it is corrected, (E - 2**-b) / (1 - 2**-b); pairs whose estimate lies
 ``SLACK`` standard errors below the threshold or higher are confirmed on the full sets.
 
@@ -12,8 +12,10 @@ compared with the bucket's leader only. What these links do not join into one co
 is then compared across components, in tiles of bounded size, by bit counts: no pair of
 different components is left out, and no pair inside a component need be looked at.
 
-A link is missed only if no band agrees: at the threshold, (1 - 0.85**8)**48 = 2e-7.
-Shingles are compared as 64-bit hashes.
+The threshold is a parameter, in percent; :class:`Plan` derives from it the rows and bands,
+the bound of the estimate and the sizes that can still be alike. A link is missed only if no
+band agrees, at the threshold with probability ``MISS`` at most: (1 - 0.85**8)**48 = 2e-7,
+(1 - 0.8**7)**64 = 3e-7. Shingles are compared as 64-bit hashes.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and no links; with
 fewer than five words the whole sequence is the one shingle; repeated rows are members of
@@ -24,7 +26,10 @@ Two classes that share their least doc_id count as one node.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,20 +43,72 @@ from surcos.llm.words import flat_words, slices
 from surcos.sources.scratch import materialise
 
 WORDS = 5
-PERCENT = 85  # 100 * intersection >= PERCENT * union
+PERCENT = 85  # 100 * intersection >= PERCENT * union; op4's threshold
+KEEP_PERCENT = 80  # of keep_first
 BITS = 2
-ROWS = 8
-BANDS = 48
-HASHES = ROWS * BANDS
+MISS = 3e-7
+MOST_HASHES = 448  # minima of a set, unless bands of one row need more
 SLACK = 5
 MAX_BROADCAST = 16 << 20  # bytes of ids; beyond, both sides are shuffled
 TILE, TILE_BYTES = 1024, 24 << 20  # members of a bucket, and bytes of their sets, that are compared at a time
-LONGS = HASHES * BITS // 64
 _MASK = 0x5555555555555555
 
-_rng = np.random.default_rng(20240229)
-_MULTIPLY = _rng.integers(1, 1 << 32, HASHES, dtype="u4") | np.uint32(1)
-_FLIP = _rng.integers(0, 1 << 32, HASHES, dtype="u4")
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from a threshold of ``percent``."""
+
+    percent: int
+    rows: int  # minima of a band
+    bands: int
+
+    @property
+    def hashes(self) -> int:
+        return self.rows * self.bands
+
+    @property
+    def longs(self) -> int:
+        return self.hashes * BITS // 64
+
+    @property
+    def max_unequal(self) -> int:
+        """Codes that may differ in a candidate."""
+        j, chance = self.percent / 100, 2.0**-BITS
+        e = chance + j * (1 - chance)
+        least = j - SLACK * (e * (1 - e) / self.hashes) ** 0.5 / (1 - chance)
+        return int(self.hashes * (1 - least) * (1 - chance))
+
+    def sizes_fit(self, few, many):
+        """Whether sets of so many shingles can be alike; of numbers, arrays or columns."""
+        return 100 * few >= self.percent * many
+
+    def alike(self, common, union):
+        return 100 * common >= self.percent * union
+
+
+@lru_cache
+def plan(percent: int = PERCENT) -> Plan:
+    """The longest bands within ``MOST_HASHES`` that miss a link at the threshold with ``MISS`` at most."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"a threshold of {percent} percent is not between 1 and 100")
+    best = None
+    for rows in range(1, 33):
+        agree, step = (percent / 100) ** rows, 64 // BITS // math.gcd(rows, 64 // BITS)  # bits fill whole longs
+        need = math.ceil(math.log(MISS) / math.log1p(-agree)) if agree < 1 else 1
+        made = Plan(percent, rows, -(-need // step) * step)
+        if best is None or made.hashes <= MOST_HASHES:
+            best = made
+    return best
+
+
+HASHES = plan().hashes
+
+
+@lru_cache
+def _hashing(count: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    multiply = rng.integers(1, 1 << 32, count, dtype="u4") | np.uint32(1)
+    return multiply, rng.integers(0, 1 << 32, count, dtype="u4")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,28 +138,29 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return sets
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """``HASHES`` minima of a set that is not empty; memory does not grow with the set."""
+def minima(shingles: np.ndarray, count: int = HASHES) -> np.ndarray:
+    """``count`` minima of a set that is not empty; memory does not grow with the set."""
+    multiply, flip = _hashing(count)
     x = (shingles >> np.uint64(32)).astype("u4") ^ shingles.astype("u4")
-    least = np.full(HASHES, 0xFFFFFFFF, "u4")
+    least = np.full(count, 0xFFFFFFFF, "u4")
     for i in range(0, len(x), 512):
-        part = (x[None, i : i + 512] ^ _FLIP[:, None]) * _MULTIPLY[:, None]
+        part = (x[None, i : i + 512] ^ flip[:, None]) * multiply[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
-def sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sketch(least: np.ndarray, by: Plan = plan()) -> tuple[np.ndarray, np.ndarray]:
     """Band values, and the packed low bits."""
-    rows = least.reshape(BANDS, ROWS).astype("u8")
-    band = np.arange(1, BANDS + 1, dtype="u8")
-    for k in range(ROWS):
+    rows = least.reshape(by.bands, by.rows).astype("u8")
+    band = np.arange(1, by.bands + 1, dtype="u8")
+    for k in range(by.rows):
         band = _mix(band * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    low = (least & np.uint32((1 << BITS) - 1)).astype("u8").reshape(LONGS, 64 // BITS)
+    low = (least & np.uint32((1 << BITS) - 1)).astype("u8").reshape(by.longs, 64 // BITS)
     shift = np.arange(0, 64, BITS, dtype="u8")
     return band.astype("i8"), np.bitwise_or.reduce(low << shift, axis=1).astype("i8")
 
 
-def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sketches(docs: DataFrame, by: Plan, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``set_key`` (null for empty sets), ``bands`` and ``bits``."""
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
 
@@ -113,7 +171,7 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                 for s in shingle_sets(part.column("_text")):
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    band, low = sketch(minima(s)) if len(s) else (None, None)
+                    band, low = sketch(minima(s, by.hashes), by) if len(s) else (None, None)
                     bands.append(band)
                     bits.append(low)
                 longs = pa.list_(pa.int64())
@@ -128,36 +186,21 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     )
 
 
-def _least_estimate() -> float:
-    j = PERCENT / 100
-    chance = 2.0**-BITS
-    e = chance + j * (1 - chance)
-    return j - SLACK * (e * (1 - e) / HASHES) ** 0.5 / (1 - chance)
-
-
-LEAST = _least_estimate()
-MAX_UNEQUAL = int(HASHES * (1 - LEAST) * (1 - 2.0**-BITS))  # codes that may differ
-
-
-def _unequal(a: Column, b: Column) -> Column:
+def _unequal(a: Column, b: Column, longs: int) -> Column:
     """Codes that differ, by bit counts over the packed integers."""
     total = F.lit(0)
-    for k in range(LONGS):
+    for k in range(longs):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_MASK)))
     return total
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _similar(a: np.ndarray, b: np.ndarray, by: Plan) -> np.ndarray:
     unequal = np.zeros((len(a), len(b)), "u2")
-    for k in range(LONGS):
+    for k in range(by.longs):
         x = a[:, k, None] ^ b[None, :, k]
         unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_MASK))
-    return unequal <= MAX_UNEQUAL
-
-
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return unequal <= by.max_unequal
 
 
 def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -182,7 +225,7 @@ def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, by: Plan) -> DataFrame:
     """Those candidate pairs (a, b) of classes that are links."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -190,7 +233,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     union = F.size("sa") + F.size("sb") - common
     pairs = materialise(pairs, "candidates")
     return materialise(
-        pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * union).select("a", "b"), "confirmed"
+        pairs.join(left, "a").join(right, "b").where(by.alike(common, union)).select("a", "b"), "confirmed"
     )
 
 
@@ -204,17 +247,18 @@ def _shared(classes: DataFrame) -> DataFrame:
     return materialise(members.join(leaders, "value"), "shared")
 
 
-def _leader_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def _leader_pairs(shared: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
     """Candidates of each class with the leaders of its buckets."""
     met = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     one = classes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
     two = classes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
-    near = _unequal(F.col("xa"), F.col("xb")) <= MAX_UNEQUAL
+    near = _unequal(F.col("xa"), F.col("xb"), by.longs) <= by.max_unequal
+    fit = by.sizes_fit(F.least("na", "nb"), F.greatest("na", "nb"))
     met = materialise(met, "met")
-    return met.join(one, "a").join(two, "b").where(_sizes_fit(F.col("na"), F.col("nb")) & near).select("a", "b")
+    return met.join(one, "a").join(two, "b").where(fit & near).select("a", "b")
 
 
-def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, by: Plan) -> DataFrame:
     """Links (a, b) between different components of a bucket, those that join components.
 
     Buckets of one component need no more work. In the others members are dealt into
@@ -254,10 +298,10 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
         for i in range(0, len(at), 64):
             p = at[i : i + 64]
             few, many = np.minimum(n[p, None], n[None, to]), np.maximum(n[p, None], n[None, to])
-            ok = (comp[p, None] != comp[None, to]) & (100 * few >= PERCENT * many)
+            ok = (comp[p, None] != comp[None, to]) & by.sizes_fit(few, many)
             if low == high:
                 ok &= ids[p, None] < ids[None, to]
-            x, y = np.nonzero(ok & _similar(bits[p], bits[to])) if ok.any() else ((), ())
+            x, y = np.nonzero(ok & _similar(bits[p], bits[to], by)) if ok.any() else ((), ())
             x, y = p[np.asarray(x, int)], to[np.asarray(y, int)]
             same = bands[x] == bands[y]
             first = bands[x, same.argmax(axis=1)] == value
@@ -265,7 +309,7 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
                 if joined.find(int(comp[j])) == joined.find(int(comp[k])):
                     continue
                 common = len(np.intersect1d(full[j], full[k], assume_unique=True))
-                if 100 * common >= PERCENT * (int(n[j] + n[k]) - common):
+                if by.alike(common, int(n[j] + n[k]) - common):
                     joined.joins(int(comp[j]), int(comp[k]))
                     out.append((min(ids[j], ids[k]), max(ids[j], ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="i8")
@@ -273,9 +317,10 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
     return materialise(keyed.groupBy("value", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "across")
 
 
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
-    made = materialise(sketches(docs, text, doc_id), "sketches")
+    by = plan(percent)
+    made = materialise(sketches(docs, by, text, doc_id), "sketches")
     linked = made.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     first = materialise(linked.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
     classes = materialise(
@@ -286,8 +331,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     shared = _shared(classes)
     sets = _sets(shared.select("doc_id").distinct(), texts, classes)
-    links = _confirmed(_leader_pairs(shared, classes), sets)
-    more = _across_links(shared, classes, sets, components(links))
+    links = _confirmed(_leader_pairs(shared, classes, by), sets, by)
+    more = _across_links(shared, classes, sets, components(links), by)
     found = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
     of_class = materialise(
         first.join(found, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id")),
@@ -298,12 +343,12 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = KEEP_PERCENT) -> DataFrame:
     """The documents whose row is kept, columns unchanged.
 
     Of repeated rows of a kept doc_id one remains, the least; rows without doc_id all remain.
     """
-    rows = near_copies(docs, text, doc_id).where("kept AND doc_id IS NOT NULL")
+    rows = near_copies(docs, text, doc_id, percent).where("kept AND doc_id IS NOT NULL")
     kept = materialise(rows.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
     stays = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"))
     repeated = stays.where("_rows > 1").groupBy("_kept").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))

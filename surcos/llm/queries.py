@@ -74,7 +74,7 @@ def op10_section_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op4_minhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash.near_copies(_read(spark, sf, "documents"))
+    return minhash.near_copies(_read(spark, sf, "documents"), percent=85)
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from surcos.llm import vectors
+from surcos.llm import minhash, vectors
 from surcos.llm.components import components
 from surcos.llm.shipping import ship
 
@@ -107,6 +107,39 @@ def test_pipeline_runs_stage_by_stage(spark):
     assert order(whole) == order(seen[5])
 
 
+def test_pipeline_near_copies_by_brute_force(spark):
+    """Groups at similarities around 0.8: the stage keeps the least document of each, and nothing else goes."""
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rng, rows = np.random.default_rng(8), []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(110 + g)]
+        for e in range(4):
+            text = list(base)
+            for k in rng.choice(len(base) // 7, e, replace=False):
+                text[7 * int(k)] = f"edit{g}x{e}"
+            rows.append((len(rows) * 37 % 163, " ".join(text)))
+    sets = {i: shingles(t) for i, t in rows}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) >= 30
+    up = {i: i for i in sets}
+    for _ in sets:
+        for (a, b), s in share.items():
+            if s >= 0.8:
+                up[a] = up[b] = min(up[a], up[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r["doc_id"] for r in stage(spark, table, SF).collect()) == sorted(i for i in sets if up[i] == i)
+    got = minhash.near_copies(table, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == up
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 70, 80, 85, 90, 95):
+        by = minhash.plan(percent)
+        assert (1 - (percent / 100) ** by.rows) ** by.bands <= minhash.MISS and by.hashes * minhash.BITS % 64 == 0
+    assert (minhash.plan(85).rows, minhash.plan(85).bands) == (8, 48)
+
+
 def test_pipeline_of_awkward_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     prose = " ".join(f"word{k}" for k in range(80))
