@@ -75,6 +75,47 @@ def test_awkward_vectors(spark):
     check(table.repartition(4), rows)
 
 
+def cone(n, mean, dim=64, seed=6):
+    """Unit vectors, a third around one direction at the given mean cosine; 150 of those with a partner at 0.91."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axis = np.eye(dim)[0]
+    inside = rng.permutation(n)[: n // 3]
+    x[inside, 0] = 0
+    x[inside] /= np.linalg.norm(x[inside], axis=1, keepdims=True)
+    x[inside] = math.sqrt(mean) * axis + math.sqrt(1 - mean) * x[inside]
+    for a, b in zip(inside[:150], inside[150:300]):  # turned about the axis, so the partner stays in the cone
+        u, w = (x[k] - x[k] @ axis * axis for k in (a, b))
+        u, w = u / np.linalg.norm(u), w - w @ u * u / (u @ u)
+        c = (0.91 - mean) / (1 - mean)
+        x[b] = math.sqrt(mean) * axis + math.sqrt(1 - mean) * (c * u + math.sqrt(1 - c * c) * w / np.linalg.norm(w))
+    return x
+
+
+@pytest.mark.parametrize("tiles", [True, False])
+def test_dense_cone(spark, monkeypatch, tiles):
+    """A third of all rows in a cone at mean cosine 0.8: every link is found, by tiles and by further passes."""
+    if tiles:
+        monkeypatch.setattr(vectors, "ALL", 1024)
+    else:
+        monkeypatch.setattr(vectors, "ALL", 16)
+        monkeypatch.setattr(vectors, "PASS_COST", 0)
+    x = cone(12_000, 0.8) if tiles else cone(3000, 0.5)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    up = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.array([min(up[k], up[near[k]].min(initial=len(x))) for k in range(len(x))])
+        if (low == up).all():
+            break
+        up = low
+    assert near.sum() >= 300
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(table).collect()}
+    assert [got[k] for k in range(len(x))] == list(zip(near.sum(axis=1).tolist(), up.tolist()))
+
+
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
