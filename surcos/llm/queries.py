@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surcos.llm import attribution, bpe, minhash, mixing, quality, secrets, tokenfiles, toxicity, urls, vectors
+from surcos.llm import attribution, bpe, infill, lines, minhash, mixing, phrases, quality, secrets, tokenfiles, toxicity, urls, vectors
 from surcos.llm.shipping import ship
 from surcos.sources.scratch import materialise, scratch_path
 
@@ -103,3 +103,33 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         "doc.doc_id", "nth", F.length("candidate").cast("long").alias("n_chars"),
         F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 4).alias("probability"), "secret",
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    moved = infill.infill(_read(spark, sf, "documents"))
+    return moved.select(
+        "doc.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"),
+    )
+
+
+SQL["op11_fill_in_middle"] = infill.sql()
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op12_line_dedup"] = lines.sql()
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf, "documents"))
+
+
+SQL["op13_phrase_collocations"] = phrases.sql()
