@@ -56,9 +56,11 @@ class Words:
     """All words of a batch of texts in order, with the piece and the language of each."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-        lower = pa.concat_arrays([lower])  # offsets begin at 0
-        off = np.frombuffer(lower.buffers()[1], np.int64)[: len(lower) + 1]
+        lower = pc.ascii_lower(pc.fill_null(texts, ""))
+        width = np.int64 if pa.types.is_large_string(lower.type) else np.int32
+        off = np.zeros(1, np.int64)
+        if len(lower):
+            off = np.frombuffer(lower.buffers()[1], width)[lower.offset : lower.offset + len(lower) + 1].astype(np.int64)
         data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if len(lower) else np.zeros(0, np.uint8)
         off = off - off[0]
         kind = _CLASS[data]
