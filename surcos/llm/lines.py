@@ -67,12 +67,13 @@ def dropped(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     written = materialise(rows, "line-occurrences")
     width, hot = shuffle_width(spark), hot_keys(written, "h1")
-    spread = F.col("h1").isin(hot) if hot else F.lit(False)
-    salted = written.withColumn("salt", F.when(spread, F.pmod(F.xxhash64("id", "row"), F.lit(width)).cast("int")).otherwise(0))
-    placed = salted.withColumn("who", _first("id"))
-    order = ["h1", "salt", "h2", "who", "row", "pos"]
-    ranged = placed.repartitionByRange(width, "h1", "salt").sortWithinPartitions(*order)
-    streamed = W.partitionBy("h1", "salt", "h2").orderBy("who", "row", "pos").rowsBetween(W.unboundedPreceding, 0)
+    placed, by = written.withColumn("who", _first("id")), ["h1"]
+    if hot:
+        salt = F.pmod(F.xxhash64("id", "row"), F.lit(width)).cast("int")
+        placed, by = placed.withColumn("salt", F.when(F.col("h1").isin(hot), salt).otherwise(0)), ["h1", "salt"]
+    # The window needs no other shuffle and no other sort than this one.
+    ranged = placed.repartitionByRange(width, *by).sortWithinPartitions(*by, "h2", "who", "row", "pos")
+    streamed = W.partitionBy(*by, "h2").orderBy("who", "row", "pos").rowsBetween(W.unboundedPreceding, 0)
     seen = ranged.withColumn("first", F.first("who").over(streamed))
     if hot:
         seen = materialise(seen.select("h1", "h2", "id", "row", "pos", "who", "first"), "line-firsts")

@@ -44,7 +44,7 @@ from surcos.sources.scratch import materialise
 LONGEST = 5  # words of an edge
 LEAST = 100
 TOP = 2000
-CHUNK = 1 << 20  # words counted together; a word's number in a chunk fits 21 bits
+CHUNK = 1 << 19  # words counted together; a word's number in a chunk fits 21 bits
 SLOT_BITS = 24
 _BITS = 21
 _CLASS = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
@@ -111,7 +111,7 @@ def _given(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
-        for part in slices(batch, "text", 8 << 20):
+        for part in slices(batch, "text"):
             yield Words(part.column("text"), part.column("lang"))
 
 
@@ -223,9 +223,14 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of every language. Runs Spark jobs.
 
-    ``score`` is floor(1000 a n / (l r)) of the cut that scores lowest, in exact decimals.
+    ``a`` is the phrase's count, ``l`` and ``r`` those of the two parts of its cut that scores
+    lowest, ``score`` floor(1000 a n / (l r)) in exact decimals.
     """
-    phrases, totals = phrase_counts(docs, text, lang, least, bits)
+    return ranked(*phrase_counts(docs, text, lang, least, bits), top)
+
+
+def ranked(phrases: DataFrame, totals: DataFrame, top: int = TOP) -> DataFrame:
+    """The scores of counted phrases, from the tables of :func:`phrase_counts`."""
     kept = compact(phrases).withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     head, tail = F.expr("substring_index(phrase, ' ', cut)"), F.expr("substring_index(phrase, ' ', cut - k)")
     cuts = kept.select("lang", "phrase", F.col("f").alias("a"), "cut", head.alias("head"), tail.alias("tail"))
@@ -240,8 +245,8 @@ def collocations(
     scored = both.select("lang", "phrase", "n", F.struct(score.alias("score"), "cut", "a", "l", "r").alias("cut"))
     best = scored.groupBy("lang", "phrase", "n").agg(F.min("cut").alias("cut")).select("lang", "phrase", "n", "cut.score", "cut.a", "cut.l", "cut.r")
     place = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    first = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
+    return first.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def sql(least: int = LEAST, top: int = TOP) -> str:
