@@ -121,7 +121,7 @@ def loss_curve(spark, sf):
 @query("ar_coefficients")
 def ar_coefficients(spark, sf):
     """Weights of the seven-lag forecaster of each series."""
-    return ar_fit(lag_arrays(prepared(spark, sf), 7, "z"))
+    return ar_fit(lag_arrays(prepared(spark, sf), 7, "z"), 7)
 
 
 def segments(spark, sf):

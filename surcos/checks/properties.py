@@ -20,7 +20,7 @@ _TESTED = """(('0x' || substr(md5(CAST(loan_id AS VARCHAR)), 1, 8))::BIGINT % 10
 
 def _residuals(spark, sf, k):
     """Training residuals of a least-squares fit add up to nothing, also weighted by any lag."""
-    done = ar_forecast(lag_arrays(prepared(spark, sf), k, "z")).where("split = 'train' AND target IS NOT NULL")
+    done = ar_forecast(lag_arrays(prepared(spark, sf), k, "z"), k).where("split = 'train' AND target IS NOT NULL")
     off = done.withColumn("_r", F.col("target") - F.col("predicted"))
     lags = F.array(*[F.abs(F.sum(F.col("_r") * F.get("x", F.lit(i)))) for i in range(k)])
     return off.groupBy("series_id").agg(

@@ -260,6 +260,38 @@ def ar_7_pooled_forecast(spark, sf):
     return one_step(spark, sf, 7, pooled=True)
 
 
+def echo_sql(k: int, units: int) -> str:
+    """Every day of the window as a table of its own, with one column per unit."""
+    weights, biases = fc.echo_weights(units)
+    step = ", ".join(
+        f"tanh({fc.RING} * u{(i - 1) % units} + {w} * (2 * x{{d}} - 1) + {b}) AS u{i}" for i, (w, b) in enumerate(zip(weights, biases))
+    )
+    lags = ", ".join(f"lag(z, {k - d}) OVER w AS x{d}" for d in range(k))
+    days = ", ".join(
+        f"day{d + 1} AS (SELECT series_id, ds, {', '.join(f'x{j}' for j in range(k))}, {step.format(d=d)} FROM day{d})" for d in range(k)
+    )
+    start = ", ".join(f"0.0::DOUBLE AS u{i}" for i in range(units))
+    shown = ", ".join(f"round(u{i}, 9) AS u{i}" for i in range(units))
+    return f"""WITH {SPLIT_SQL},
+  lagged AS (SELECT series_id, split, ds, {lags}, row_number() OVER w AS rn FROM scaled
+             WINDOW w AS (PARTITION BY series_id, split ORDER BY ds)),
+  day0 AS (SELECT *, {start} FROM lagged WHERE rn > {k}), {days}
+  SELECT series_id, ds, {shown} FROM day{k}"""
+
+
+@query("echo_states_7", echo_sql(7, 6))
+def echo_states_7(spark, sf):
+    """States of a small recurrent ring after every window of seven days."""
+    states = fc.echo_states(ts.lag_arrays(prepared(spark, sf), 7, "z"), 6)
+    return states.select("series_id", "ds", *[F.round(F.get("state", F.lit(i)), 9).alias(f"u{i}") for i in range(6)])
+
+
+@query("echo_7_forecast")
+def echo_7_forecast(spark, sf):
+    """Forecasts by the readout of a recurrent state."""
+    return plan.forecasts(invoices(spark, sf), "serie", "Fecha", "total", n_test=N_TEST, k=7, units=fc.UNITS)
+
+
 @query("ar_traffic_forecast")
 def ar_traffic_forecast(spark, sf):
     return plan.forecasts(traffic(spark, sf), "serie", "Fecha", "Trafico", n_test=9, k=7)

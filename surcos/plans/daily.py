@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from surcos.operators.clean import drop_nulls
 from surcos.operators.forecast import forecast
@@ -20,7 +21,7 @@ def prepared(events: DataFrame, series: str | None, date: str, value: str, n_tes
 
 def forecasts(
     events: DataFrame, series: str | None, date: str, value: str, *, n_test: int, k: int,
-    pooled: bool = False,
+    pooled: bool = False, units: int = 0,
 ) -> DataFrame:
     """The whole analysis up to (series_id, ds, split, actual, predicted).
 
@@ -29,9 +30,11 @@ def forecasts(
     shuffle for windows, fit and join.
     """
     days = prepared(events, series, date, value, n_test)
-    if k > 1 or pooled:
-        days = materialise(days, "days").repartition("series_id")
-    return forecast(days, k, pooled=pooled)
+    if k == 1 and not pooled and not units:
+        return forecast(days, k)
+    # A struct is never null, so events without a series are one in the joins as well.
+    keyed = materialise(days.withColumn("series_id", F.struct("series_id")), "days")
+    return forecast(keyed.repartition("series_id"), k, pooled=pooled, units=units).withColumn("series_id", F.col("series_id.series_id"))
 
 
 def errors(forecasted: DataFrame) -> DataFrame:

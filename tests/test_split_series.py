@@ -223,6 +223,75 @@ def test_pooled_equals_least_squares_for_one_series(spark):
     assert by_day(fc.forecast(df, 3, pooled=True), "predicted", "a") == pytest.approx(each)
 
 
+def states_by_hand(z, k, units):
+    weights, biases = map(np.array, fc.echo_weights(units))
+    out = []
+    for i in range(k, len(z)):
+        state = np.zeros(units)
+        for x in z[i - k : i]:
+            state = np.tanh(fc.RING * np.roll(state, 1) + weights * (2 * x - 1) + biases)
+        out.append(state)
+    return np.array(out)
+
+
+def chaotic(start, n=160):
+    """The logistic map: the next day is a parabola of this one, no line fits it."""
+    y = [start]
+    for _ in range(n - 1):
+        y.append(3.9 * y[-1] * (1 - y[-1]))
+    return [100 * v for v in y]
+
+
+def test_echo_forecast_is_the_readout_of_folded_states(spark):
+    ys = {"a": chaotic(0.3), "b": chaotic(0.61, 120)}
+    df, k, units = scaled(spark, **ys), 5, 8
+    states = fc.echo_states(ts.lag_arrays(df, k, "z"), units)
+    got = fc.forecast(df, k, units=units).where("split = 'test'")
+    for name, y in ys.items():
+        n = len(y) - 15
+        z = (np.array(y) - min(y[:n])) / (max(y[:n]) - min(y[:n]))
+        train, test = states_by_hand(z[:n], k, units), states_by_hand(z[n:], k, units)
+        mine = {r["ds"]: r["state"] for r in states.where(f"series_id = '{name}' AND split = 'train'").collect()}
+        assert np.allclose([mine[d] for d in sorted(mine)], train, atol=1e-12)
+        off, mean = train - train.mean(axis=0), z[k:n].mean()
+        size = np.sqrt((off**2).mean(axis=0))
+        gram = (off / size).T @ (off / size) / len(off) + fc.RIDGE * np.eye(units)
+        w = np.linalg.solve(gram, (off / size).T @ (z[k:n] - mean) / len(off)) / size
+        expected = ((test - train.mean(axis=0)) @ w + mean) * (max(y[:n]) - min(y[:n])) + min(y[:n])
+        assert by_day(got, "predicted", name) == pytest.approx(list(expected), rel=1e-5)
+
+
+def test_echo_forecast_follows_what_no_line_can(spark):
+    df = scaled(spark, a=chaotic(0.3), b=chaotic(0.61))
+    error = lambda f: {r["series_id"]: r["rmse"] for r in daily.errors(f).collect()}
+    linear, echo = error(fc.forecast(df, 7)), error(fc.forecast(df, 7, units=fc.UNITS))
+    assert all(echo[s] < 0.2 * linear[s] for s in ("a", "b"))
+
+
+def test_echo_forecast_of_awkward_series(spark):
+    """A constant series, one too short, one with missing values, and one without a name."""
+    df = ts.minmax_scale(split.chronological_split(series(spark, flat=[5.0] * 40, short=noisy(2, 9)), 5))
+    assert {r["predicted"] for r in fc.forecast(df, 3, units=4).collect()} == {None}
+    some = scaled(spark, a=noisy(3)).withColumn("z", F.when(F.dayofmonth("ds") != 5, F.col("z")))
+    samples = ts.lag_arrays(some, 3, "z")
+    got = fc.echo_forecast(samples, 4)
+    holes = F.exists("x", lambda v: v.isNull())
+    assert got.where(holes & F.col("predicted").isNotNull()).count() == 0
+    assert got.where(~holes & F.col("predicted").isNull()).count() == 0
+    events = series(spark, a=noisy(5)).withColumn("series_id", F.lit(None).cast("string"))
+    known = daily.forecasts(series(spark, a=noisy(5)), "series_id", "ds", "y", n_test=10, k=3, units=4)
+    other = daily.forecasts(events.unionByName(series(spark, b=noisy(6))), None, "ds", "y", n_test=10, k=3, units=4)
+    assert known.where("predicted IS NULL").count() == 0 and other.where("predicted IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("kind", [{}, {"units": 4}])
+def test_series_without_a_name_are_one_series(spark, kind):
+    named = ts.minmax_scale(split.chronological_split(series(spark, a=noisy(5)), 10))
+    unnamed = named.withColumn("series_id", F.lit(None).cast("string"))
+    value = lambda df: [r["predicted"] for r in fc.forecast(df, 3, **kind).orderBy("ds").collect()]
+    assert value(unnamed) == pytest.approx(value(named))
+
+
 def test_overlay_aligns_truth_and_prediction(spark):
     got = ts.forecast_overlay(fc.forecast(scaled(spark, 4, a=noisy(4, 20)), 1), "actual", "predicted")
     steps = {}
