@@ -13,7 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surcos.operators.skew import hot_keys, salt, salted_join
+from surcos.operators.skew import (
+    KeyProfile, deal, grid_cells, grid_join, hot_keys, profile_key, salt, salted_join,
+)
+from surcos.session import shuffle_width
+
+HOT_LOANS = 1000  # loans of an account, below which one task takes them all
+FEW_KEYS = 1 << 20  # keys that a table may be restricted to by broadcast: some 30 MB
+FEW_SHARE = 0.25  # of the keys there are, above which restricting is not worth a join
 
 
 def with_dimension(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
@@ -48,6 +55,22 @@ def through_link(
     return joined.select(*entities.columns, *link.columns, *targets.columns)
 
 
+def few_keys(df: DataFrame, key: str, profile: KeyProfile, all_keys: int) -> DataFrame | None:
+    """The distinct keys of a table as ``_few``, if they are few of ``all_keys``; else None."""
+    if profile.keys > min(FEW_KEYS, FEW_SHARE * all_keys):
+        return None
+    return df.select(F.col(key).alias("_few")).where("_few IS NOT NULL").distinct()
+
+
+def restrict(df: DataFrame, key: str, few: DataFrame | None) -> DataFrame:
+    """The rows whose key is among ``few``, before anything is shuffled; all of them for None.
+
+    Only for results that the other rows cannot reach. The hint is safe, as ``few`` comes
+    from :func:`few_keys`, which counted it.
+    """
+    return df if few is None else df.join(F.broadcast(few), F.col(key) == F.col("_few"), "left_semi")
+
+
 def minable_table(
     client: DataFrame,
     district: DataFrame,
@@ -57,6 +80,7 @@ def minable_table(
     summary: DataFrame | None = None,
     *,
     keep_loans: bool = True,
+    loans: KeyProfile | None = None,
 ) -> DataFrame:
     """client -> district, disposition, account, loan, transaction summary.
 
@@ -68,26 +92,36 @@ def minable_table(
 
     The tables with few rows per account are joined to each other first, so all
     of them are shuffled once, by account. The dispositions, which may repeat an
-    account without bound, meet them in a single salted join. A Spark job finds the
-    hot accounts when the table is built.
+    account without bound, meet them in a single last join; so may the loans, and an
+    account with many of both is dealt out over a grid. Two Spark jobs find such
+    accounts when the table is built, one if ``loans`` has their profile already.
     """
+    width = shuffle_width(disp.sparkSession)
     people = with_dimension(client, district, "district_id", "districtid")
-    hot = hot_keys(disp, "account_id")
-    holders = salt(disp, "account_id", hot).join(people, F.col("c_id") == F.col("client_id"))
+    loans = profile_key(loan, "acl_id", HOT_LOANS) if loans is None else loans
+    cells = grid_cells(profile_key(disp, "account_id").hot, loans.hot, width)
+    many = [k for k in loans.hot if k is not None]
+    holders = deal(disp, "account_id", cells, 0).join(people, F.col("c_id") == F.col("client_id"))
     accounts = account
     if summary is not None:
         accounts = accounts.join(summary, F.col("ac_id") == F.col("act_id"), "left")
     order = [client, district, disp, account, loan] + ([summary] if summary is not None else [])
     columns = [c for part in order for c in part.columns]
-    if not keep_loans:
-        accounts = accounts.join(loan, F.col("ac_id") == F.col("acl_id"), "left")
-        joined = salted_join(holders, accounts, "account_id", "ac_id", "inner", hot)
-        return joined.select(*columns)
+    if not keep_loans and not many:
+        known = deal(accounts.join(loan, F.col("ac_id") == F.col("acl_id"), "left"), "ac_id", cells, 1)
+        return grid_join(holders, known, "account_id", "ac_id", cells).select(*columns)
 
     # A right join would pin a hot account to one task (see keep_right_join), and would
     # carry the repeated rows through one more join than this form does.
-    known = loan.join(accounts, F.col("acl_id") == F.col("ac_id"), "inner")
-    matched = salted_join(holders, known, "account_id", "ac_id", "inner", hot)
+    dealt = salt(deal(loan, "acl_id", cells, 1), "acl_id", many)
+    known = salted_join(dealt, accounts, "acl_id", "ac_id", "inner", many)
+    matched = grid_join(holders, known, "account_id", "ac_id", cells).select(*columns)
+    typed = {f.name: f.dataType for f in matched.schema}
+    blank = lambda df: df.select(*[c if c in df.columns else F.lit(None).cast(typed[c]).alias(c) for c in columns])
+    if not keep_loans:
+        lent = loan.select(F.col("acl_id").alias("_lent")).where("_lent IS NOT NULL").distinct()
+        without = deal(accounts.join(lent, F.col("ac_id") == F.col("_lent"), "left_anti"), "ac_id", cells, 1)
+        return matched.unionByName(blank(grid_join(holders, without, "account_id", "ac_id", cells)))
     held = (
         disp.join(client, F.col("c_id") == F.col("client_id"), "left_semi")
         .select(F.col("account_id").alias("_held"))
@@ -95,15 +129,9 @@ def minable_table(
     )
     reachable = held.join(account, F.col("_held") == F.col("ac_id"), "left_semi")
     # Loans without an account match nothing; joined, they would all meet in one task.
-    keyed = loan.where(F.col("acl_id").isNotNull()).join(reachable, F.col("acl_id") == F.col("_held"), "left_anti")
-    alone = keyed.unionByName(loan.where(F.col("acl_id").isNull()))
-    kept = set(loan.columns)
-    typed = {f.name: f.dataType for f in matched.schema}
-    return matched.select(*columns).unionByName(
-        alone.select(
-            *[c if c in kept else F.lit(None).cast(typed[c]).alias(c) for c in columns]
-        )
-    )
+    keyed = salt(loan.where(F.col("acl_id").isNotNull()), "acl_id", many)
+    alone = salted_join(keyed, reachable, "acl_id", "_held", "left_anti", many)
+    return matched.unionByName(blank(alone.unionByName(loan.where(F.col("acl_id").isNull()))))
 
 
 def fan_out(

@@ -5,11 +5,19 @@ anew or written, adaptive execution splits a partition that one key has swollen,
 the operators leave it to that. It cannot when an input is already partitioned by the
 key from an earlier join, nor when the side to keep is the other one. The functions
 here cover these two cases. Only physical placement changes, never the result.
+
+A key that is hot on one side is dealt out by salt, and the other side's few rows are
+repeated. A key that is hot on both is dealt out over a grid of cells: the rows of each side
+go to one line of cells along their own axis and are repeated along the other's only. Salts
+come from the content of rows, so only exact repeats of a row stay together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surcos.session import shuffle_width
@@ -17,22 +25,38 @@ from surcos.session import shuffle_width
 SKETCH = 10  # counters of the sketch for each key that it may report
 MAX_SKETCH = 1_000_000  # counters that a frequent-items sketch may have
 _SALT, _SIDE = "_salt", "_salt_side"
+_CELL, _ACROSS = ("_cell_row", "_cell_col"), ("_across_row", "_across_col")
+
+
+class KeyProfile(NamedTuple):
+    """What one scan tells about a key: ``hot`` maps keys to their rows, None among them."""
 
+    hot: dict
+    keys: int
+    rows: int
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys with more rows than an average shuffle partition: fewer values than the shuffle is wide.
 
-    A frequent-items sketch finds them in one narrow scan. None is among them when
-    that many rows have no key. Runs a Spark job.
+def profile_key(df: DataFrame, key: str, least: int = 0) -> KeyProfile:
+    """Hot keys, about how many different keys there are, and the number of rows.
+
+    Hot are keys with more rows than an average shuffle partition, and than ``least``: fewer
+    values than the shuffle is wide. A frequent-items sketch finds them in one narrow scan.
+    None is among them when that many rows have no key. Runs a Spark job.
     """
     width = shuffle_width(df.sparkSession)
     counters = min(MAX_SKETCH, max(10_000, SKETCH * (width + 1)))
-    top, keyed, total = df.agg(
-        F.expr(f"approx_top_k(`{key}`, {min(width + 1, counters)}, {counters})"), F.count(key), F.count("*")
+    top, keys, keyed, total = df.agg(
+        F.expr(f"approx_top_k(`{key}`, {min(width + 1, counters)}, {counters})"),
+        F.approx_count_distinct(key), F.count(key), F.count("*"),
     ).first()
-    least = total / width
-    hot = [t["item"] for t in top or [] if t["item"] is not None and t["count"] > least]
-    return hot + ([None] if total - keyed > least else [])
+    bound = max(total / width, least)
+    hot = {t["item"]: t["count"] for t in top or [] if t["item"] is not None and t["count"] > bound}
+    return KeyProfile(hot | ({None: total - keyed} if total - keyed > bound else {}), keys, total)
+
+
+def hot_keys(df: DataFrame, key: str, least: int = 0) -> list:
+    """The hot keys of :func:`profile_key`. Runs a Spark job."""
+    return list(profile_key(df, key, least).hot)
 
 
 def salt(facts: DataFrame, key: str, hot: list) -> DataFrame:
@@ -54,14 +78,14 @@ def salt(facts: DataFrame, key: str, hot: list) -> DataFrame:
 def salted_join(
     facts: DataFrame, side: DataFrame, key: str, side_key: str, how: str, hot: list
 ) -> DataFrame:
-    """Equi-join, inner or left, of facts that went through :func:`salt`.
+    """Equi-join (inner, left, left_semi or left_anti) of facts that went through :func:`salt`.
 
     Rows of a hot key are dealt out over all reducers, and the matching rows of
     ``side``, which should be few per key, are repeated per salt value. Without hot
     keys this is the plain join. Column names must not clash.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("the fact side must be the preserved one: inner or left")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("the fact side must be the preserved one: inner, left, left_semi or left_anti")
     same = F.col(key) == F.col(side_key)
     if not hot:
         return facts.join(side, same, how)
@@ -72,6 +96,64 @@ def salted_join(
     return facts.join(right, same & (F.col(_SALT) == F.col(_SIDE)), how).drop(_SALT, _SIDE)
 
 
+def grid_cells(left: dict, right: dict, width: int) -> dict:
+    """key -> (rows, columns) of its grid, from the row counts of the hot keys of both sides.
+
+    A grid has about as many cells as the shuffle is wide. Its sides are powers of two in the
+    ratio of the counts, which keeps the repeated rows fewest; a key that is hot on one side
+    only has a single line. Rows without a key match nothing and have no grid.
+    """
+    cells = 1 << max(0, math.ceil(math.log2(max(1, width))))
+    out = {}
+    for key in (left.keys() | right.keys()) - {None}:
+        a, b = left.get(key), right.get(key)
+        if a and b:
+            rows = 1 << round(math.log2(math.sqrt(cells * a / b))) if cells * a > b else 1
+            rows = min(rows, cells)
+        else:
+            rows = cells if a else 1
+        out[key] = rows, cells // rows
+    return out
+
+
+def _parts(key: str, cells: dict, axis: int) -> Column:
+    """How many parts the key has on an axis; the literals are grouped by that number."""
+    by_size: dict[int, list] = {}
+    for k, sides in cells.items():
+        if sides[axis] > 1:
+            by_size.setdefault(sides[axis], []).append(k)
+    out = F.lit(1)
+    for size, keys in by_size.items():
+        out = F.when(F.col(key).isin(keys), size).otherwise(out)
+    return out
+
+
+def deal(df: DataFrame, key: str, cells: dict, axis: int) -> DataFrame:
+    """Number the rows along their own axis (0: left, 1: right) by their content.
+
+    Do so before joining the table to others: filters on their columns then still reach it.
+    """
+    if not cells:
+        return df
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn(_CELL[axis], F.pmod(content, _parts(key, cells, axis)).cast("int"))
+
+
+def grid_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cells: dict) -> DataFrame:
+    """Inner join of two sides that went through :func:`deal`, whose keys may be hot on both.
+
+    Every pair of rows meets in one cell. Without cells this is the plain join.
+    """
+    same = F.col(left_key) == F.col(right_key)
+    if not cells:
+        return left.join(right, same)
+    repeat = lambda df, key, axis: df.withColumn(
+        _ACROSS[axis], F.explode(F.sequence(F.lit(0), _parts(key, cells, axis) - 1)))
+    meet = [F.col(own) == F.col(other) for own, other in zip(_CELL, _ACROSS)]
+    joined = repeat(left, left_key, 1).join(repeat(right, right_key, 0), same & meet[0] & meet[1])
+    return joined.drop(*_CELL, *_ACROSS)
+
+
 def keep_right_join(
     facts: DataFrame, kept: DataFrame, key: str, kept_key: str, hot: list | None = None
 ) -> DataFrame:
@@ -80,7 +162,8 @@ def keep_right_join(
     A right join pins all facts of a key to one task, because a split part cannot
     tell whether another part matched. If there are hot keys, the matched rows come
     from an inner join, which can be split, and the unmatched ones from an anti join
-    against the distinct fact keys, which are reduced before they are shuffled.
+    against the distinct fact keys, which are reduced before they are shuffled; keys that
+    are hot among the kept rows are salted there. Runs one or two Spark jobs.
     """
     hot = hot_keys(facts, key) if hot is None else hot
     if not hot:
@@ -88,7 +171,8 @@ def keep_right_join(
     matched = facts.join(kept, F.col(key) == F.col(kept_key))
     keys = facts.select(F.col(key).alias("_key")).where("_key IS NOT NULL").distinct()
     # Rows without a key match nothing; joined, they would all meet in one task.
-    keyed = kept.where(F.col(kept_key).isNotNull()).join(keys, F.col(kept_key) == F.col("_key"), "left_anti")
+    many = [k for k in hot_keys(kept, kept_key) if k is not None]
+    keyed = salted_join(salt(kept.where(F.col(kept_key).isNotNull()), kept_key, many), keys, kept_key, "_key", "left_anti", many)
     alone = keyed.unionByName(kept.where(F.col(kept_key).isNull()))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema]
     return matched.unionByName(alone.select(*blank, *kept.columns))

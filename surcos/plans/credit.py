@@ -21,7 +21,8 @@ from surcos.operators import models
 from surcos.operators.aggregate import key_summary
 from surcos.operators.clean import as_category, drop_nulls, pick
 from surcos.operators.features import encoder_stages
-from surcos.operators.joins import minable_table
+from surcos.operators.joins import HOT_LOANS, few_keys, minable_table, restrict
+from surcos.operators.skew import profile_key
 from surcos.sources.scratch import materialise
 
 # Names of the analysis' columns and labels.
@@ -117,10 +118,20 @@ def summary_part(bank: Bank) -> DataFrame:
 
 
 def minable(bank: Bank, frequencies: Mapping[str, str] = FREQUENCIES) -> DataFrame:
-    """The denormalised table: one row per loan and disposition of its account."""
+    """The denormalised table: one row per loan and disposition of its account.
+
+    Only accounts with a loan get into it. Where those are few, by a count of the loans and
+    the accounts, transactions and dispositions are restricted to them before they are
+    summarised or shuffled. Runs up to three Spark jobs.
+    """
+    loan = loan_part(bank)
+    loans = profile_key(loan, "acl_id", HOT_LOANS)
+    few = few_keys(loan, "acl_id", loans, bank.account.count())
+    trans = restrict(bank.trans, "account_id", few)
+    summary = transaction_summary(trans).withColumnRenamed("account_id", "act_id")
     return minable_table(
-        client_part(bank), district_part(bank), disp_part(bank),
-        account_part(bank, frequencies), loan_part(bank), summary_part(bank),
+        client_part(bank), district_part(bank), restrict(disp_part(bank), "account_id", few),
+        account_part(bank, frequencies), loan, summary, loans=loans,
     )
 
 

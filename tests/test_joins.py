@@ -91,6 +91,116 @@ def test_minable_equals_rows_put_together_by_hand(spark, extra):
     assert rows(ours) == by_hand(b, keep_loans=False)
 
 
+LOANED = [(90 + i, 100, 7.0 + i, 12, 1.0, "A") for i in range(50)]
+
+
+@pytest.mark.parametrize("held", [[], [(2, 100, f"h{i}") for i in range(60)]])
+def test_minable_with_an_account_of_many_loans(spark, monkeypatch, held):
+    """And of many dispositions as well: then every pair meets in one cell of a grid."""
+    b = bank(spark, DISP + held)
+    b.loan = b.loan.unionByName(spark.createDataFrame(LOANED, b.loan.schema))
+    monkeypatch.setattr(joins, "HOT_LOANS", 5)
+    monkeypatch.setattr(credit, "HOT_LOANS", 5)
+    got = credit.minable(b)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_cell_row" in plan) and ("_across_row" in plan) and ("_salt" in plan)
+    assert rows(got) == by_hand(b, keep_loans=True)
+    ours = joins.minable_table(
+        credit.client_part(b), credit.district_part(b), credit.disp_part(b),
+        credit.account_part(b), credit.loan_part(b), keep_loans=False,
+    )
+    assert rows(ours) == by_hand(b, keep_loans=False)
+
+
+def test_grid_join_equals_join(spark):
+    rnd = random.Random(9)
+    keys = [7] * 60 + [8] * 30 + [None] * 20
+    left = spark.createDataFrame([(rnd.choice(keys + list(range(20))), i) for i in range(500)], "k int, v int")
+    right = spark.createDataFrame([(rnd.choice([7] * 30 + [9] * 20 + [None] + list(range(15))), i) for i in range(400)], "k2 int, w int")
+    cells = skew.grid_cells(skew.profile_key(left, "k").hot, skew.profile_key(right, "k2").hot, 16)
+    assert cells[7][0] > 1 and cells[7][1] > 1 and None not in cells
+    assert cells[9] == (1, 16)
+    got = skew.grid_join(skew.deal(left, "k", cells, 0), skew.deal(right, "k2", cells, 1), "k", "k2", cells)
+    expected = left.join(right, F.col("k") == F.col("k2"))
+    assert got.columns == expected.columns and rows(got) == rows(expected)
+
+
+def test_grid_sides_follow_the_counts():
+    assert skew.grid_cells({1: 100, 2: 1000, 3: 64, 4: 5}, {1: 100, 2: 10, 5: 9, None: 3}, 64) == {
+        1: (8, 8), 2: (64, 1), 3: (64, 1), 4: (64, 1), 5: (1, 64)
+    }
+    assert skew.grid_cells({1: 3}, {1: 3_000_000}, 200)[1] == (1, 256)
+    assert skew.grid_cells({}, {}, 8) == {}
+
+
+def test_an_account_of_many_loans_and_dispositions_spreads_over_all_tasks(spark):
+    """10^5 of each would be 10^10 rows; here 2,000 of each are 4 million."""
+    n, width = 2_000, 32
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        disp = spark.range(n + 100).selectExpr("id AS c_id", f"IF(id < {n}, 5, id) AS account_id", "'o' AS type")
+        loan = spark.range(n + 300).selectExpr("id AS loan_id", f"IF(id < {n}, 5, id) AS acl_id", "1.0 AS amount")
+        account = spark.range(3 * n).selectExpr("id AS ac_id", "'m' AS often")
+        client = spark.range(n + 100).selectExpr("id AS client_id", "1L AS district_id")
+        district = spark.range(3).selectExpr("id AS districtid", "'d' AS name")
+        table = joins.minable_table(client, district, disp, account, loan)
+        # Client and loan are unique, so the pairs and their sums tell the rows apart.
+        made = table.where("client_id IS NOT NULL").groupBy(F.spark_partition_id().alias("task")).agg(
+            F.count("*").alias("n"), F.count_distinct("client_id", "loan_id").alias("d")).collect()
+        assert sum(r["n"] for r in made) == sum(r["d"] for r in made) == n * n + 100
+        assert table.where("client_id IS NULL").count() == 200
+        assert sum(r["n"] > 0 for r in made) > width / 2
+        assert max(r["n"] for r in made) < 8 * n * n / width
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_salted_semi_and_anti_joins(spark, how):
+    facts = spark.createDataFrame([(1, i) for i in range(80)] + [(None, 1), (2, 2), (3, 3)] + [(4, i) for i in range(70)], "k int, v int")
+    keys = spark.createDataFrame([(1,), (3,), (5,)], "k2 int").distinct()
+    hot = [k for k in skew.hot_keys(facts, "k") if k is not None]
+    assert sorted(hot) == [1, 4]
+    got = skew.salted_join(skew.salt(facts, "k", hot), keys, "k", "k2", how, hot)
+    assert rows(got) == rows(facts.join(keys, F.col("k") == F.col("k2"), how))
+
+
+def many_accounts(spark, n=400, each=5):
+    """One account in a hundred has a loan."""
+    b = bank(spark, [])
+    b.account = spark.range(n).selectExpr("id AS account_id", "'POPLATEK MESICNE' AS frequency", "930101 AS date")
+    b.loan = spark.range(0, n, 100).selectExpr("id AS loan_id", "id AS account_id", "1.0D AS amount", "12 AS duration", "1.0D AS payments", "'A' AS status")
+    b.trans = spark.range(n * each).selectExpr(f"id % {n} AS account_id", "concat('op', id % 3) AS operation", "id * 1.0D AS amount", "2.0D AS balance")
+    b.disp = spark.range(n).selectExpr("1 + id % 2 AS client_id", "id AS account_id", "'o' AS type")
+    return b
+
+
+def test_summary_covers_accounts_with_loans_only_where_they_are_few(spark):
+    b = many_accounts(spark)
+    loan = credit.loan_part(b)
+    profile = skew.profile_key(loan, "acl_id")
+    few = joins.few_keys(loan, "acl_id", profile, b.account.count())
+    assert joins.restrict(b.trans, "account_id", few).count() * 100 == b.trans.count()
+    assert joins.few_keys(loan, "acl_id", profile, 8) is None
+    plan = credit.minable(b)._jdf.queryExecution().optimizedPlan().toString()
+    summary = plan[plan.index("Aggregate [account_id"):]
+    assert "LeftSemi" in summary.split("Relation")[0].split("Range")[0]
+    got = rows(credit.minable(b))
+    assert got == by_hand(b, keep_loans=True) and len(got) == 4
+
+
+def test_no_restriction_where_most_accounts_have_loans(spark):
+    b = many_accounts(spark, 20)
+    b.loan = b.loan.unionByName(b.loan.selectExpr("loan_id + 1 + account_id", "account_id + 1", "amount", "duration", "payments", "status").toDF(*b.loan.columns)).unionByName(
+        spark.range(2, 18).selectExpr("id + 500 AS loan_id", "id AS account_id", "1.0D AS amount", "12 AS duration", "1.0D AS payments", "'B' AS status"))
+    assert "_few" not in credit.minable(b)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(credit.minable(b)) == by_hand(b, keep_loans=True)
+
+
 def test_candidates_drop_unmatched_loans(spark):
     got = rows(credit.candidates(bank(spark, DISP), key="loan_id").select("loan_id", "candidato"))
     assert got == [(1, "Candidato"), (6, "Candidato")]
