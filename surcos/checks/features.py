@@ -9,6 +9,7 @@ from surcos.checks.relational import rounded
 from surcos.checks.standins import CALLS_SQL, calls, load
 from surcos.operators import features, metrics
 from surcos.operators.aggregate import distribution, value_counts
+from surcos.operators.encoder import CategoryEncoder, category_labels
 from surcos.operators.split import hash_sample
 from surcos.plans import telecom
 from surcos.sources.scratch import materialise
@@ -41,6 +42,27 @@ def string_index_fitted(spark, sf):
     return features.string_index(df, "c_nationkey", "nation_index", fitted=fitted, unseen="keep")
 
 
+@query("encoded_slots", f"""WITH p AS ({rank_sql("orders", "o_orderpriority")}), s AS ({rank_sql("orders", "o_orderstatus")})
+  SELECT o_orderkey, {", ".join(f"CAST(p.idx = {i} AS DOUBLE) AS s{i}" for i in range(4))},
+         {", ".join(f"CAST(s.idx = {i} AS DOUBLE) AS s{4 + i}" for i in range(2))}, o_totalprice AS s6
+  FROM orders JOIN p ON p.value = o_orderpriority JOIN s ON s.value = o_orderstatus""")
+def encoded_slots(spark, sf):
+    """Two categories and a number as one vector, by a pipeline stage with its labels in a table."""
+    df = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    stage = CategoryEncoder(inputCols=["o_orderpriority", "o_orderstatus"], numericCols=["o_totalprice"])
+    encoded = features.fitted_pipeline(df, [stage]).transform(df)
+    return features.vector_slots(encoded.select("o_orderkey", "features"), "features", [f"s{i}" for i in range(7)]).drop("features")
+
+
+@query("category_labels", """SELECT 'p_name' AS "column", p_name AS value, count(*) AS n,
+    row_number() OVER (ORDER BY count(*) DESC, p_name) - 1 AS "index" FROM part WHERE p_name IS NOT NULL GROUP BY p_name
+  UNION ALL SELECT 'p_brand', p_brand, count(*), row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1
+  FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand""")
+def labels_of_categories(spark, sf):
+    """The label table of two category columns, one of them a name with any number of values."""
+    return category_labels(load(spark, sf, "part").select("p_name", "p_brand"), ["p_name", "p_brand"])
+
+
 @query("label_index", f"""WITH l AS (
     SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'Candidato' ELSE 'No candidato' END AS candidato
     FROM orders)

@@ -14,6 +14,7 @@ from surcos.functions.scalar import (
 from surcos.operators import clean, joins, order, skew
 from surcos.operators.aggregate import distribution
 from surcos.plans import credit, retail, telecom
+from surcos.session import shuffle_width
 
 MEANS = "round(monto_dinero_promedio, 6) AS monto_dinero_promedio, round(balance_promedio, 6) AS balance_promedio"
 
@@ -155,6 +156,39 @@ def loan_left_join(spark, sf):
     return joins.with_dimension(credit.disp_part(b), credit.loan_part(b), "account_id", "acl_id")
 
 
+@query("two_sided_join", """SELECT c_custkey, s_suppkey, c.n_regionkey AS region
+  FROM (SELECT c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey) AS c
+  JOIN (SELECT s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey) AS s
+    ON c.n_regionkey = s.n_regionkey""")
+def two_sided_join(spark, sf):
+    """Customers and suppliers of a region: five keys, each hot on both sides, dealt out over grids."""
+    nation = load(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+
+    def side(table, key, home, region):
+        df = load(spark, sf, table).select(key, home).join(nation, F.col(home) == F.col("n_nationkey"))
+        return df.select(key, F.col("n_regionkey").alias(region))
+
+    left, right = side("customer", "c_custkey", "c_nationkey", "region"), side("supplier", "s_suppkey", "s_nationkey", "r")
+    hot = [skew.profile_key(df, k).hot for df, k in ((left, "region"), (right, "r"))]
+    cells = skew.grid_cells(*hot, shuffle_width(spark))
+    pairs = skew.grid_join(skew.deal(left, "region", cells, 0), skew.deal(right, "r", cells, 1), "region", "r", cells)
+    return pairs.select("c_custkey", "s_suppkey", "region")
+
+
+@query("restricted_summary", """SELECT l_orderkey AS account_id, max(l_returnflag) AS operation,
+    round(avg(l_extendedprice), 6) AS monto_dinero_promedio, round(avg(l_quantity), 6) AS balance_promedio,
+    count(*) AS cantidad_transacciones
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 0.9 * max(o_totalprice) FROM orders))
+  GROUP BY l_orderkey""")
+def restricted_summary(spark, sf):
+    """Transactions of the few accounts whose loan is among the largest, restricted before they are summarised."""
+    b = bank(spark, sf)
+    loans = credit.loan_part(b)
+    large = loans.where(F.col("monto_prestamo") > loans.agg(0.9 * F.max("monto_prestamo")).scalar())
+    few = joins.few_keys(large, "acl_id", skew.profile_key(large, "acl_id"), b.account.count())
+    return bank_means(credit.transaction_summary(joins.restrict(b.trans, "account_id", few)))
+
+
 @query("minable_short", f"""WITH {BANK_SQL}
   SELECT holding.* EXCLUDE (held), client_id AS c_id, held AS account_id, held AS ac_id, frecuencia_emision, {LOAN_SQL}
   FROM holding JOIN priced ON held = o_orderkey""")

@@ -62,13 +62,18 @@ def null_counts(df: DataFrame) -> DataFrame:
     return wide.unpivot([], [F.col(quoted(c)) for c in df.columns], "column", "n_null")
 
 
-def _is_text(df: DataFrame, column: str) -> bool:
-    return df.select(F.col(quoted(column))).dtypes[0][1] in ("string", "boolean", "date", "timestamp", "timestamp_ntz")
+_TEXT = ("string", "boolean", "date", "timestamp", "timestamp_ntz")
 
 
-def _number(df: DataFrame, column: str):
+def _texts(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Those of the columns that are no numbers; the schema is read once."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return {c for c in columns if kinds[c] in _TEXT}
+
+
+def _number(column: str, texts: set[str]):
     """The column as numbers: what cannot be read as one counts as missing."""
-    if _is_text(df, column):
+    if column in texts:
         return F.expr(f"try_cast({quoted(column)} AS DOUBLE)")
     return F.col(quoted(column)).cast("double")
 
@@ -80,10 +85,10 @@ def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     text, as in a description for reading: minimum and maximum by text order, mean and
     deviation over the entries that read as numbers.
     """
-    text = any(_is_text(df, c) for c in columns)
-    kind = "string" if text else "double"
+    texts = _texts(df, columns)
+    kind = "string" if texts else "double"
     raw = lambda make: lambda c: make(quoted(c)).cast(kind)
-    number = lambda make: lambda c: make(_number(df, c)).cast(kind)
+    number = lambda make: lambda c: make(_number(c, texts)).cast(kind)
     makers = (raw(F.count), number(F.avg), number(F.stddev_samp), raw(F.min), raw(F.max))
     wide = df.agg(
         *[make(c).alias(f"{i}_{stat}") for i, c in enumerate(columns) for stat, make in zip(STATS, makers)]
@@ -97,10 +102,11 @@ def describe_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def summary_approx(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """describe_long plus approximate quartiles, which need bounded memory only."""
-    kind = "STRING" if any(_is_text(df, c) for c in columns) else "DOUBLE"
+    texts = _texts(df, columns)
+    kind = "STRING" if texts else "DOUBLE"
     wide = df.agg(
         *[
-            F.percentile_approx(_number(df, c), [0.25, 0.5, 0.75], accuracy).alias(f"q{i}")
+            F.percentile_approx(_number(c, texts), [0.25, 0.5, 0.75], accuracy).alias(f"q{i}")
             for i, c in enumerate(columns)
         ]
     )

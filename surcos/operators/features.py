@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surcos.operators.aggregate import distribution
+from surcos.operators.encoder import CategoryEncoder
 from surcos.operators.ranking import global_rank
 from surcos.sources.scratch import materialise
 
@@ -109,22 +110,14 @@ def encoder_stages(
     label: str | None = None,
     unseen: str = "skip",
 ) -> list:
-    """Pipeline stages: index and one-hot the categories, index the label, assemble.
+    """Pipeline stages: one-hot the categories, append the numbers, index the label.
 
-    The feature vector holds the one-hot slots first, then the numbers. Indexers
-    keep their categories on the driver; they are for category columns, not keys.
+    The feature vector holds the one-hot slots first, then the numbers. Categories are
+    numbered by :class:`CategoryEncoder`, whose labels are a table, so there may be any
+    number of them; classes of the label are few and stay on the driver.
     """
-    indexed, vectors = [f"{c}_index" for c in categories], [f"{c}_vec" for c in categories]
-    stages = []
-    if categories:
-        # One stage for all columns counts their categories in one pass.
-        stages = [
-            StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid=unseen),
-            OneHotEncoder(inputCols=indexed, outputCols=vectors),
-        ]
-    if label:
-        stages.append(StringIndexer(inputCol=label, outputCol="label"))
-    return [*stages, VectorAssembler(inputCols=[*vectors, *numerics], outputCol="features")]
+    encoder = CategoryEncoder(inputCols=list(categories), numericCols=list(numerics), outputCol="features", handleInvalid=unseen)
+    return [encoder, StringIndexer(inputCol=label, outputCol="label")] if label else [encoder]
 
 
 def fitted_pipeline(train: DataFrame, stages: Sequence):

@@ -4,13 +4,13 @@ import random
 
 import pytest
 from conftest import rows
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from surcos.operators import features, metrics, models
+from surcos.operators import encoder, features, metrics, models
 from surcos.plans import retail
 
 
@@ -59,6 +59,86 @@ def test_one_hot_vectors_of_many_categories(spark):
     assert [r["v"].numNonzeros() for r in got if r["id"] == 9000] == [0]
 
 
+def library(train, categories, numerics, unseen="skip"):
+    """The same encoding by the library's stages."""
+    indexed, vectors = [f"{c}_i" for c in categories], [f"{c}_vec" for c in categories]
+    return Pipeline(stages=[
+        StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid=unseen),
+        OneHotEncoder(inputCols=indexed, outputCols=vectors), VectorAssembler(inputCols=[*vectors, *numerics], outputCol="features"),
+    ]).fit(train)
+
+
+@pytest.fixture(params=["small", "many"])
+def size(request, monkeypatch):
+    """Few categories are numbered on the driver and give dense vectors, many neither."""
+    if request.param == "many":
+        monkeypatch.setattr(encoder, "SMALL", 3)
+        monkeypatch.setattr(encoder, "DENSE", 2)
+    return request.param
+
+
+def test_encoder_equals_library_stages_and_survives_saving(spark, tmp_path, size):
+    rnd = random.Random(3)
+    data = [(i, rnd.choice(["b", "ä", "z", "b", " "]), rnd.randrange(12), rnd.choice([None, 1.5, 2.0]) or 0.0, "k") for i in range(200)]
+    df = spark.createDataFrame(data, "id int, `a.b` string, g int, x double, value string").repartition(3)
+    stage = encoder.CategoryEncoder(inputCols=["a.b", "g"], numericCols=["x", "id"])
+    model = features.fitted_pipeline(df, [stage])
+    named = df.withColumnRenamed("a.b", "ab")
+    theirs = library(named, ["ab", "g"], ["x", "id"]).transform(named)
+    ours = model.transform(df)
+    assert ours.columns == [*df.columns, "features"]
+    assert rows(ours, "id", "features") == rows(theirs, "id", "features")
+    assert [s.replace("a.b", "ab") for s in features.slot_names(ours)] == [s for s in features.slot_names(theirs)]
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert rows(again.transform(df), "id", "features") == rows(ours, "id", "features")
+    Pipeline(stages=[stage]).write().overwrite().save(str(tmp_path / "unfitted"))
+    refitted = Pipeline.load(str(tmp_path / "unfitted")).fit(df)
+    assert rows(refitted.transform(df), "id", "features") == rows(ours, "id", "features")
+
+
+def test_encoder_with_unseen_and_missing_values(spark, size):
+    train = spark.createDataFrame([(i, "abcde"[i % 5 if i < 9 else 0], 1.0) for i in range(20)], "id int, c string, x double")
+    other = spark.createDataFrame([(1, "a", 2.0), (2, "new", 3.0), (3, None, 4.0), (4, "e", 5.0)], "id int, c string, x double")
+    fit = lambda unseen: encoder.CategoryEncoder(inputCols=["c"], numericCols=["x"], handleInvalid=unseen).fit(train)
+    expected = library(train, ["c"], ["x"]).transform(other)
+    assert rows(fit("skip").transform(other), "id", "features") == rows(expected, "id", "features")
+    kept = {r["id"]: list(r["features"].toArray()) for r in fit("keep").transform(other).collect()}
+    assert kept == {1: [1, 0, 0, 0, 2], 2: [0, 0, 0, 0, 3], 3: [0, 0, 0, 0, 4], 4: [0, 0, 0, 0, 5]}
+    for row in (2, 3):
+        with pytest.raises(Exception, match="unseen value in c"):
+            fit("error").transform(other.where(f"id = {row}")).collect()
+    for bad in ("CAST(NULL AS DOUBLE)", "double('NaN')"):
+        with pytest.raises(Exception, match="null or NaN in x"):
+            fit("skip").transform(other.withColumn("x", F.expr(bad))).collect()
+
+
+def test_encoder_without_rows_or_categories(spark, size):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", 3.0)], "id int, c string, x double")
+    constant = encoder.CategoryEncoder(inputCols=["c"], numericCols=["x"]).fit(df).transform(df)
+    assert [list(r["features"].toArray()) for r in constant.orderBy("id").collect()] == [[2.0], [3.0]]
+    numbers = encoder.CategoryEncoder(numericCols=["x"]).fit(df).transform(df)
+    assert [list(r["features"].toArray()) for r in numbers.orderBy("id").collect()] == [[2.0], [3.0]]
+    empty = df.where("false")
+    assert encoder.CategoryEncoder(inputCols=["c"], numericCols=["x"]).fit(empty).transform(df).collect() == []
+
+
+def test_encoder_of_many_categories_keeps_them_off_the_driver(spark, tmp_path):
+    n = 120_000
+    df = spark.range(2 * n).selectExpr("id", f"concat('name ', id % {n}) AS name", "id % 3 AS g", "id * 0.5 AS x")
+    model = encoder.CategoryEncoder(inputCols=["name", "g"], numericCols=["x"]).fit(df)
+    assert model.n_slots == n - 1 + 2 + 1 and model.slot_names() is None
+    got = model.transform(df)
+    assert len(got.schema["features"].json()) < 1000
+    one = got.where("id = 17").first()
+    at = model.labels.where("column = 'name' AND value = 'name 17'").first()["index"]
+    assert one["features"].size == model.n_slots and one["features"][int(at)] == 1.0 and one["features"][n + 1] == 8.5
+    model.write().save(str(tmp_path / "m"))
+    again = encoder.CategoryEncoderModel.load(str(tmp_path / "m"))
+    spelled = lambda m: m.transform(df).select("id", F.to_json(F.struct("features")))
+    assert spelled(model).exceptAll(spelled(again)).count() == 0 and spelled(again).count() == 2 * n
+
+
 def test_many_clusters(spark):
     df = spark.range(8000).selectExpr("id", "id % 2000 AS cluster", "CAST(id % 2000 AS DOUBLE) * 10 AS x", "CAST(id DIV 2000 AS DOUBLE) AS y")
     centres = metrics.group_centres(df, "cluster", ["x", "y"])
