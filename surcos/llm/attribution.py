@@ -17,7 +17,8 @@ character spans, in order and without overlap; what lies outside of all of them
 counted as section -1 with null ends.
 
 Defined cases: a null or empty text has one empty section 0 with no tokens; given spans
-beyond the text are cut to it; a null array is an empty one; repeated rows are counted alike.
+beyond the text are cut to it; a null array is an empty one; a null span, or one without a
+start or an end, is an empty one, which has no tokens and null ends; repeated rows are counted alike.
 """
 
 from __future__ import annotations
@@ -99,6 +100,10 @@ def count(text: str, ids: np.ndarray, lengths: np.ndarray, spans, rule: str):
     return sorted(rows) + ([(-1, None, None, outside)] if outside else [])
 
 
+def _span(s: dict | None) -> tuple[int, int]:
+    return (0, 0) if s is None or None in (s["start"], s["end"]) else (s["start"], s["end"])
+
+
 def section_tokens(
     docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: str | None = None,
     rule: str = "most", ranks=None,
@@ -122,7 +127,7 @@ def section_tokens(
                 rows, of = [], []
                 listed = part.column("_spans").to_pylist()
                 for i, t in enumerate(part.column("_text").to_pylist()):
-                    own = listed[i] if listed[i] is None else [(s["start"], s["end"]) for s in listed[i]]
+                    own = listed[i] if listed[i] is None else list(map(_span, listed[i]))
                     found = count(t or "", ids_of(t or "", enc), lengths, own, rule)
                     rows += found
                     of += [i] * len(found)

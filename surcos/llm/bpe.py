@@ -6,10 +6,13 @@ against ``MAX_RANK_BYTES``); tasks need no file. Ids travel as little-endian uns
 
 Long texts are encoded in pieces. A piece may only begin at a blank that stands between
 two plain letters: no match of the pattern holds a letter followed by a blank, so the
-matches, and with them the ids, are those of the whole text.
+matches, and with them the ids, are those of the whole text. Long runs of white space, on
+which the library's backtracking overflows, are taken out before it sees them: by the
+pattern such a run is one match up to its last character, at the end of the text as a whole.
 
 Defined cases: a null text is an empty one; an empty text has no ids and decodes to no
-bytes; a text without any safe boundary is encoded whole; repeated rows are encoded alike.
+bytes; a text without any safe boundary is encoded whole, but for its runs of white space of
+``RUN`` characters and more; repeated rows are encoded alike.
 Columns to keep come back inside the struct ``doc``, so their names cannot clash.
 """
 
@@ -33,6 +36,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 PIECE = 1 << 16  # characters after which the next safe boundary ends a piece
 MAX_RANK_BYTES = 64 << 20
+RUN = 1 << 12  # characters of white space that are encoded without the pattern
+# What the pattern's library takes for white space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{RUN},}}")
 _SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
@@ -77,10 +84,20 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def _ids(text: str, enc: tiktoken.Encoding) -> list[np.ndarray]:
+    return [np.array(enc.encode_ordinary(p), "<u4") for p in (pieces(text) if len(text) > PIECE else [text])]
+
+
 def ids_of(text: str, enc: tiktoken.Encoding) -> np.ndarray:
-    if len(text) <= PIECE:
+    if len(text) < RUN:
         return np.array(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), "<u4") for p in pieces(text)])
+    out, start = [], 0
+    for run in _LONG_RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += _ids(text[start : run.start()], enc)
+        out.append(np.array(enc._encode_single_piece(text[run.start() : stop]), "<u4"))
+        start = stop
+    return np.concatenate([*out, *_ids(text[start:], enc)])
 
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks=None) -> DataFrame:
