@@ -331,6 +331,17 @@ def test_bpe_pieces_change_nothing(enc, monkeypatch):
         assert bpe.ids_of(text, enc).tolist() == enc.encode_ordinary(text)
 
 
+def test_long_runs_of_white_space_do_not_overflow(enc):
+    piece = lambda t: enc._encode_single_piece(t)
+    for c in (" ", "\t", "\n", "\u00a0", "\u3000"):
+        n = 3_000_000 if c in " \n" else 1_100_000
+        assert bpe.ids_of("a" + c * n + "b", enc).tolist() == enc.encode_ordinary("a") + piece(c * (n - 1)) + enc.encode_ordinary(c + "b")
+        assert bpe.ids_of("a" + c * n, enc).tolist() == enc.encode_ordinary("a") + piece(c * n)
+    for edge in (bpe.RUN - 1, bpe.RUN, bpe.RUN + 1):
+        for text in (" " * edge, "x" + " \n" * (edge // 2) + " y" + "\t" * edge + "'s" + " " * edge + "\x1c1", "é" * 70 + "\n" * edge + " z " * 5000):
+            assert bpe.ids_of(text, enc).tolist() == enc.encode_ordinary(text)
+
+
 def test_bpe_query_and_empty(spark, docs, empty, enc):
     got = {r["doc_id"]: r for r in QUERIES["op9_byte_bpe"](spark, SF).collect()}
     for r in docs.collect():
@@ -348,7 +359,6 @@ def test_token_files(spark, request, which, tmp_path):
     tokenfiles.write(table, path, shard_ids=5000)
     got = tokenfiles.read(spark, path).orderBy("start").collect()
     tok = Tokenizer.from_file(tokenfiles.TOKENIZER)
-    tok.encode_special_tokens = True
     texts = collections.defaultdict(list)
     for r in table.collect():
         texts[r["doc_id"]].append(tok.encode(r["text"] or "", add_special_tokens=False).ids + [tokenfiles.END])
@@ -363,6 +373,66 @@ def test_token_files(spark, request, which, tmp_path):
     assert not any(texts.values())
 
 
+@pytest.fixture(scope="module")
+def speller():
+    with open(tokenfiles.TOKENIZER, "rb") as f:
+        return tokenfiles.Speller(f.read())
+
+
+def spelled(speller, texts):
+    ids, begin = tokenfiles.encode(pa.array(texts, pa.string()), speller)
+    return [ids[a:b].tolist() for a, b in zip(begin, begin[1:])]
+
+
+def test_special_tokens_are_those_of_the_library(speller):
+    assert spelled(speller, ["a <|endoftext|> b"]) == [[320, 49407, 321]]
+    odd = ["x<|endoftext|>y<|startoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", " <|endoftext|>", "é<|endoftext|>É"]
+    assert spelled(speller, odd) == [speller.tok.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_words_by_pieces_equal_the_library(speller, monkeypatch):
+    """Random words of the letters that are cut here and of some that are not, known and unknown ones."""
+    import random
+
+    rnd = random.Random(8)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x180)]] + list("0123456789'smtdlvre" * 3)
+    strange = list("\u0130\u0149\u017f\u00d7\u00f7\u0301\u1e9e\u00a0\u2019\u01c4Σσςǆﬁ½²☃\x01\x7f\x85\U0001f600")
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 300)
+    for pool in (letters, letters + strange):
+        texts = ["".join(rnd.choice(pool) if rnd.random() < 0.9 else " " for _ in range(rnd.randrange(60))) for _ in range(500)]
+        assert spelled(speller, texts) == [speller.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert speller.merges is not None and len(speller.known) <= max(300, len(speller.length))
+
+
+def test_runs_of_one_id_are_compressed():
+    for n in (5000, 5001, 4099):
+        base, rules, seq = tokenfiles.compress(np.full(n, 9, "u4"))
+        assert len(rules) >= 5 and len(seq) < 200
+    mixed = np.concatenate([np.full(k % 7 + 1, k % 3, "u4") for k in range(3000)])
+    base, rules, seq = tokenfiles.compress(mixed)
+    assert any(a == b for a, b in rules.tolist()) and len(seq) < 0.2 * len(mixed)
+    shard = tokenfiles.Shard(tokenfiles.pack(mixed, np.array([len(mixed)])))
+    assert (shard.ids(0, len(mixed)) == mixed).all()
+    pairs = collections.Counter(zip(seq.tolist(), seq[1:].tolist()))
+    assert max(n for (a, b), n in pairs.items() if a != b) < 2 * tokenfiles.LEAST
+
+
+def test_reading_a_stretch_uses_its_blocks_alone():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 70_000, 30_000).astype("u4")
+    ids[::3] = 11
+    counts = rng.multinomial(len(ids), np.ones(500) / 500)
+    shard = tokenfiles.Shard(tokenfiles.pack(ids, counts))
+    assert shard.seq.dtype == np.dtype("<u4") and (shard.counts == counts).all()
+    ends = np.cumsum(counts)
+    for k in (0, 1, 250, 499):
+        assert (shard.document(k) == ids[ends[k] - counts[k] : ends[k]]).all()
+    for a, b in rng.integers(0, len(ids), (200, 2)):
+        assert (shard.ids(a, b) == ids[a:b]).all()
+    small = tokenfiles.Shard(tokenfiles.pack(ids % 500, counts))
+    assert small.seq.dtype == np.dtype("<u2") and (small.ids(7, 29_999) == ids[7:29_999] % 500).all()
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(2)
     phrase = rng.integers(0, 300, 40)
@@ -428,6 +498,13 @@ def test_section_spans_and_rules(spark, enc):
         rows = attribution.section_tokens(table, spans="s", rule=rule).where("doc.doc_id = 1").collect()
         assert sum(r["n_tokens"] for r in rows) == len(enc.encode_ordinary(text))
         assert {r["section"] for r in rows} <= {0, 1, 2, -1}
+    holes = spark.createDataFrame(
+        [(1, text, [None, (0, 4), (None, 6), (5, None), (6, 99)]), (2, text, [None]), (3, text, [(0, 4), (6, 99)])],
+        "doc_id long, text string, s array<struct<start:int,end:int>>")
+    got = {(r["doc"]["doc_id"], r["section"]): (r["start"], r["end"], r["n_tokens"]) for r in attribution.section_tokens(holes, spans="s").collect()}
+    assert [got[1, k] for k in (0, 2, 3)] == [(None, None, 0)] * 3 and got[2, 0] == (None, None, 0)
+    assert (got[1, 1], got[1, 4], got[1, -1]) == (got[3, 0], got[3, 1], got[3, -1])
+    assert got[2, -1][2] == len(enc.encode_ordinary(text))
     crossing = [np.array([2]), np.array([6]), np.array([0, 3, 10])]
     assert [int(attribution.allocate(*crossing, r)[0]) for r in ("first", "most", "last")] == [0, 1, 1]
     assert int(attribution.allocate(np.array([1]), np.array([5]), np.array([0, 3, 10]), "most")[0]) == 0
