@@ -12,6 +12,7 @@ from surcos.checks.standins import (
 from surcos.operators import aggregate
 from surcos.operators.timeseries import daily_totals
 from surcos.plans import credit, telecom
+from surcos.sources.tables import fresh_name, retire_versions
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -29,6 +30,17 @@ def account_summary(spark, sf):
     return bank_means(credit.transaction_summary(bank(spark, sf).trans))
 
 
+@query("appended_summary", f"""WITH {BANK_SQL}
+  SELECT act_id AS account_id, operation, {MEANS}, cantidad_transacciones FROM turnover""")
+def appended_summary(spark, sf):
+    """The summary of all transactions, brought up to date by three appends of a part of them each."""
+    trans, name = bank(spark, sf).trans, fresh_name(spark, "turnover")
+    for part in range(3):
+        summary = credit.append_transactions(spark, name, trans.where(F.pmod(F.xxhash64(*trans.columns), F.lit(3)) == part))
+    retire_versions(spark, name)
+    return bank_means(summary)
+
+
 @query("distribution_one_key", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def distribution_one_key(spark, sf):
     return aggregate.distribution(load(spark, sf, "orders"), "o_orderpriority")

@@ -160,6 +160,16 @@ def describe_table(spark, sf):
     return tables.describe(spark, name).select("col_name", "data_type")
 
 
+@query("replaced_version", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def replaced_version(spark, sf):
+    """A name that shows its second version after a switch; the first is retired."""
+    name = tables.fresh_name(spark, "versioned")
+    tables.replace_version(load(spark, sf, "nation"), name)
+    shown = tables.replace_version(load(spark, sf, "supplier"), name)
+    tables.retire_versions(spark, name)
+    return shown
+
+
 @query("preview")
 def preview(spark, sf):
     return tables.preview(clean.pick(load(spark, sf, "orders"), ["o_orderkey", "o_totalprice"]), 20)

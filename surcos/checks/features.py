@@ -137,6 +137,23 @@ def _purchases(spark, sf):
     )
 
 
+@query("roc_bounded", """WITH b AS (
+    SELECT least(floor((value - lo) / (hi - lo) * 800), 799) AS bin, count(*) FILTER (WHERE event_type = 'purchase') AS pos,
+           count(*) FILTER (WHERE event_type <> 'purchase') AS neg, min(value) AS low, max(value) AS high
+    FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events) WHERE value IS NOT NULL GROUP BY bin),
+  c AS (SELECT *, sum(pos + neg) OVER (ORDER BY bin DESC) AS cum, sum(pos + neg) OVER () AS total FROM b),
+  g AS (SELECT floor((cum - 1) * 49 / total) AS grp, sum(pos) AS pos, sum(neg) AS neg, min(low) AS low, max(high) AS high
+        FROM c GROUP BY grp)
+  SELECT round(CAST(sum(neg) OVER w / sum(neg) OVER () AS DOUBLE), 9) AS fpr, round(CAST(sum(pos) OVER w / sum(pos) OVER () AS DOUBLE), 9) AS tpr,
+         low AS score, CASE WHEN low < high THEN round(CAST(pos * neg / (2 * sum(pos) OVER () * sum(neg) OVER ()) AS DOUBLE), 12) ELSE 0 END AS lost
+  FROM g WINDOW w AS (ORDER BY grp)
+  UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE, NULL, 0.0::DOUBLE""")
+def roc_bounded(spark, sf):
+    """At most 50 points of the curve, and what each group of scores can cost the area."""
+    curve = metrics.roc_bounded(_purchases(spark, sf), "label", "value", points=50, fine=16)
+    return rounded(rounded(curve, 9, "fpr", "tpr"), 12, "lost")
+
+
 @query("roc_curve", f"""WITH {ROC_SQL}
   SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, score FROM curve
   UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE, NULL""")

@@ -87,6 +87,14 @@ def model_roc(spark, sf):
     return metrics.roc_curve(models.scored(model.transform(train)), "label", "probability")
 
 
+@query("model_roc_chart")
+def model_roc_chart(spark, sf):
+    """The same curve in at most 200 points, for a chart."""
+    model, _ = fitted(spark, sf, models.logistic())
+    train, _ = models.holdout(loans(spark, sf), "loan_id")
+    return metrics.roc_bounded(models.scored(model.transform(train)), "label", "probability", points=200)
+
+
 @query("model_comparison")
 def model_comparison(spark, sf):
     _, table = models.compare_models(loans(spark, sf), credit.stages(), credit.classifiers(), "loan_id")

@@ -30,6 +30,42 @@ def key_summary(
     )
 
 
+def summary_partials(
+    df: DataFrame, key: str, *, largest: Sequence[str], averages: Sequence[str]
+) -> DataFrame:
+    """What :func:`key_summary` needs of some rows, per key: maxima, sums, numbers of values and rows.
+
+    Partials of more rows are added by :func:`merge_partials`, so a summary follows a table
+    that grows without reading its old rows again.
+    """
+    return df.groupBy(key).agg(
+        *[F.max(c).alias(f"max_{c}") for c in largest],
+        *[f(c).alias(f"{name}_{c}") for c in averages for name, f in (("sum", F.sum), ("n", F.count))],
+        F.count("*").alias("rows"),
+    )
+
+
+def merge_partials(one: DataFrame, *more: DataFrame, key: str) -> DataFrame:
+    """Partials of the rows of all tables together, a row per key."""
+    rows = one
+    for other in more:
+        rows = rows.unionByName(other)
+    parts = [c for c in one.columns if c != key]
+    return rows.groupBy(key).agg(*[(F.max if c.startswith("max_") else F.sum)(c).alias(c) for c in parts])
+
+
+def finish_partials(
+    partials: DataFrame, key: str, *, largest: dict[str, str], averages: dict[str, str], count: str
+) -> DataFrame:
+    """The summary that partials stand for, with the names of :func:`key_summary`."""
+    return partials.select(
+        key,
+        *[F.col(f"max_{c}").alias(a) for c, a in largest.items()],
+        *[F.try_divide(F.col(f"sum_{c}"), F.col(f"n_{c}")).alias(a) for c, a in averages.items()],
+        F.col("rows").alias(count),
+    )
+
+
 def distribution(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Rows per key combination; null is a group of its own."""
     return df.groupBy(*keys).agg(F.count("*").alias(name))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surcos.operators.ranking import ordered_codes
 from surcos.operators.skew import (
     KeyProfile, deal, grid_cells, grid_join, hot_keys, profile_key, salt, salted_join,
 )
@@ -216,18 +217,24 @@ def client_totals(
     Every sale counts once per product row and move, exactly as if the joined
     rows had been built: each is weighted by how often it would repeat.
     ``averages`` maps a sale measure to the name of its mean; ``names`` are the
-    largest label, mean stock, moved quantity, largest target and row count.
+    largest label, mean stock, moved quantity, largest target and row count. Labels are
+    coded in their order, so that all aggregates are numbers and none needs a sort; coding
+    them runs Spark jobs over the products.
     """
-    side = _per_product(products, moves, **roles)
+    codes = ordered_codes(products, roles["label"])
+    named = products.join(codes, F.col(roles["label"]) == F.col("value"), "left").drop("value")
+    side = _per_product(named, moves, **(roles | {"label": "code"}))
     w = sales.join(side, F.col(sale) == F.col("_key"), "left").withColumn(
         "_w", F.coalesce("_rows", F.lit(1))
     )
     label, stock, moved, target, count = names
-    return w.groupBy(client).agg(
-        F.max("_label").alias(label),
+    totals = w.groupBy(client).agg(
+        F.max("_label").alias("_code"),
         *[_weighted_mean(c).alias(a) for c, a in averages.items()],
         F.try_divide(F.sum("_stock"), F.sum("_stocks")).alias(stock),
         F.sum("_moved").alias(moved),
         F.max("_target").alias(target),
         F.sum("_w").alias(count),
     )
+    decoded = totals.join(codes.withColumnsRenamed({"value": label, "code": "_c"}), F.col("_code") == F.col("_c"), "left")
+    return decoded.select(client, label, *averages.values(), stock, moved, target, count)

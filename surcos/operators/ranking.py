@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from surcos.sources.scratch import materialise
 
 _POS, _RANGE = "_pos", "_range"
+SMALL = 50_000  # distinct values that are put in order on the driver
 _ROW_BITS = 33  # monotonically_increasing_id: task number above, row in task below
 
 
@@ -65,3 +66,20 @@ def running_totals(df: DataFrame, order: Sequence[Column], measures: Sequence[st
             for m in measures
         ],
     )
+
+
+def ordered_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the distinct values of a column numbered in their order; nulls have no code.
+
+    The greatest code is that of the greatest value, so a maximum of text becomes one of
+    numbers, which needs no sort. Up to ``SMALL`` values are ordered on the driver, more by a
+    range sort. Runs Spark jobs.
+    """
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    few = [r["value"] for r in values.limit(SMALL + 1).collect()]
+    if len(few) > SMALL:
+        return materialise(global_rank(values, [F.asc("value")], "code"), "codes")
+    # Text is in order of its bytes, as in a sort of the engine.
+    few.sort(key=lambda v: v.encode() if isinstance(v, str) else v)
+    kind = values.schema["value"].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(few)], f"value {kind}, code bigint")

@@ -13,17 +13,18 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surcos.functions.scalar import FREQUENCIES, binary_label, code_map, gender_from_digits
 from surcos.operators import models
-from surcos.operators.aggregate import key_summary
+from surcos.operators.aggregate import finish_partials, key_summary, merge_partials, summary_partials
 from surcos.operators.clean import as_category, drop_nulls, pick
 from surcos.operators.features import encoder_stages
 from surcos.operators.joins import HOT_LOANS, few_keys, minable_table, restrict
 from surcos.operators.skew import profile_key
 from surcos.sources.scratch import materialise
+from surcos.sources.tables import replace_version
 
 # Names of the analysis' columns and labels.
 YES, NO = "Candidato", "No candidato"
@@ -65,15 +66,29 @@ class Bank:
     trans: DataFrame
 
 
+SUMMARY = {
+    "largest": {"operation": "operation"},
+    "averages": {"amount": "monto_dinero_promedio", "balance": "balance_promedio"},
+    "count": "cantidad_transacciones",
+}
+
+
 def transaction_summary(trans: DataFrame) -> DataFrame:
     """Per account: largest operation, mean amount and balance, number of transactions."""
-    return key_summary(
-        trans,
-        "account_id",
-        largest={"operation": "operation"},
-        averages={"amount": "monto_dinero_promedio", "balance": "balance_promedio"},
-        count="cantidad_transacciones",
-    )
+    return key_summary(trans, "account_id", **SUMMARY)
+
+
+def append_transactions(spark: SparkSession, name: str, trans: DataFrame) -> DataFrame:
+    """Add transactions to the kept partials ``name`` and give the summary of all so far.
+
+    Only the new rows are summarised; their partials and the kept ones become the next
+    version of ``name``, so a failed append changes nothing and may be run again.
+    """
+    new = summary_partials(trans, "account_id", largest=SUMMARY["largest"], averages=SUMMARY["averages"])
+    if spark.catalog.tableExists(name):
+        new = merge_partials(spark.table(name), new, key="account_id")
+    kept = replace_version(new, name)
+    return finish_partials(kept, "account_id", **SUMMARY)
 
 
 def client_part(bank: Bank) -> DataFrame:

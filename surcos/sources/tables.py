@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,39 @@ def replace_table(df: DataFrame, name: str, bucket: tuple[str, int] | None = Non
     return df.sparkSession.table(name)
 
 
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """The written versions of a versioned table, oldest first."""
+    database, _, stem = name.rpartition(".")
+    listed = spark.catalog.listTables(database or None)
+    own = re.compile(re.escape(stem.lower()) + r"__v\d{20}_[0-9a-f]{8}")
+    return sorted((f"{database}." if database else "") + t.name for t in listed if own.fullmatch(t.name.lower()))
+
+
+def replace_version(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a new version of ``name`` and then let the view ``name`` show it.
+
+    Until the write has ended the view shows the version before, so a job that fails leaves
+    that one, and readers that have planned on it go on. The switch is one catalog change.
+    Versions stay until :func:`retire_versions`; one that a failed job has begun goes there too.
+    """
+    spark = df.sparkSession
+    version = f"{name}__v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    df.write.saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    return spark.table(name)
+
+
+def retire_versions(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
+    """Drop all but the last ``keep`` versions of ``name`` and the one it shows; gives those dropped."""
+    # The view's text names its version.
+    text = spark.sql(f"SHOW CREATE TABLE {name}").first()[0].lower()
+    versions = _versions(spark, name)
+    old = [v for v in versions[: len(versions) - keep] if v.rpartition(".")[2].lower() not in text]
+    for version in old:
+        spark.sql(f"DROP TABLE {version}")
+    return old
+
+
 def create_empty(spark: SparkSession, name: str, schema: str | StructType) -> DataFrame:
     """Create an empty typed table."""
     return replace_table(spark.createDataFrame([], schema), name)

@@ -107,3 +107,15 @@ def test_first_and_last_are_cut_before_the_shuffle(spark):
     assert rows(order.last_n(df, 2)) == [("a", 7), ("a", 8), ("b", 1)]
     plan = order.last_n(df, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_codes_are_in_the_order_of_the_values(spark, monkeypatch, small):
+    monkeypatch.setattr(ranking, "SMALL", small)
+    words = ["b", "B", "ä", "z", "", "b", None, "\U0001f600", "\uffee", "a b"]
+    got = rows(ranking.ordered_codes(spark.createDataFrame([(w,) for w in words], "w string"), "w"), "code", "value")
+    assert [v for _, v in got] == sorted({w for w in words if w is not None}, key=str.encode)
+    assert [c for c, _ in got] == list(range(8))
+    numbers = rows(ranking.ordered_codes(spark.createDataFrame([(3,), (-1,), (None,), (10,)], "n int"), "n"), "code", "value")
+    assert numbers == [(0, -1), (1, 3), (2, 10)]
+    assert ranking.ordered_codes(spark.createDataFrame([], "n int"), "n").collect() == []

@@ -179,6 +179,33 @@ def scored(spark):
     return spark.createDataFrame(data, "label double, prediction double, score double").repartition(4)
 
 
+
+def area(points):
+    at = sorted((r["fpr"], r["tpr"]) for r in points)
+    return sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(at, at[1:]))
+
+
+@pytest.mark.parametrize("limit", [2, 5, 20, 60])
+def test_bounded_roc_keeps_the_area_within_its_bound(scored, limit):
+    got = metrics.roc_bounded(scored, "label", "score", points=limit, fine=4).collect()
+    exact = metrics.auc_score(scored, "label", "score").first()["auc"]
+    assert len(got) <= limit
+    assert abs(area(got) - exact) <= sum(r["lost"] for r in got) + 1e-12
+    corners = {(r["fpr"], r["tpr"]) for r in got}
+    assert {(0.0, 0.0), (1.0, 1.0)} <= corners
+    truth = {(r["fpr"], r["tpr"]) for r in metrics.roc_curve(scored, "label", "score").collect()}
+    assert corners <= truth
+
+
+def test_bounded_roc_is_exact_for_few_scores(spark, scored):
+    got = metrics.roc_bounded(scored, "label", "score", points=500)
+    assert rows(got.drop("lost")) == rows(metrics.roc_curve(scored, "label", "score"))
+    assert {r["lost"] for r in got.collect()} == {0.0}
+    odd = spark.createDataFrame([(1.0, None), (0.0, 0.5), (None, 0.5), (1.0, 0.5)], "label double, score double")
+    assert [tuple(r) for r in metrics.roc_bounded(odd, "label", "score").orderBy("fpr").collect()] == [(0.0, 0.0, None, 0.0), (1.0, 1.0, 0.5, 0.0)]
+    assert metrics.roc_bounded(odd.where("false"), "label", "score").count() == 1
+
+
 def evaluator(column):
     return BinaryClassificationEvaluator(rawPredictionCol=column, labelCol="label", numBins=0)
 

@@ -322,6 +322,11 @@ def test_client_summary_equals_aggregated_fan_out(spark):
     assert [[x and pytest.approx(x) if isinstance(x, float) else x for x in r] for r in b] == [list(r) for r in a]
 
 
+def test_client_summary_needs_no_sort_aggregation(spark):
+    plan = retail.client_summary(shop(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
+
+
 def test_fan_out_size(spark):
     s = shop(spark)
     expected = retail.joined(s).groupBy("product_id").agg(

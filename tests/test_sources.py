@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from surcos.plans import telecom
+from surcos.plans import credit, telecom
 from surcos.sources import delimited, scratch, tables
 
 
@@ -114,3 +114,58 @@ def test_scratch_is_in_the_checkpoint_folder(spark):
     if base:
         assert df.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(base.lstrip("/"))
     assert rows(df) == rows(spark.range(10).select((F.col("id") * 2).alias("x")))
+
+
+def test_a_failed_replacement_leaves_the_version_before(spark):
+    name = tables.fresh_name(spark, "safe")
+    tables.replace_version(spark.range(3), name)
+    reader = spark.table(name)  # planned on the first version
+    broken = spark.range(2).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        tables.replace_version(broken, name)
+    assert spark.table(name).count() == reader.count() == 3
+    assert tables.replace_version(spark.range(5).withColumn("x", F.lit(1)), name).columns == ["id", "x"]
+    assert spark.table(name).count() == 5 and reader.count() == 3
+    assert reader.columns == ["id"]
+    gone = tables.retire_versions(spark, name)
+    assert len(gone) >= 1 and tables.retire_versions(spark, name) == []
+    assert spark.table(name).count() == 5
+    with pytest.raises(Exception):
+        reader.count()
+
+
+def test_versions_kept_and_names_alike(spark):
+    name = tables.fresh_name(spark, "kept")
+    for n in (1, 2, 3):
+        tables.replace_version(spark.range(n), name)
+        tables.replace_version(spark.range(7), f"{name}_other")
+    assert len(tables.retire_versions(spark, name, keep=2)) == 1
+    assert len(tables.retire_versions(spark, name)) == 1
+    assert (spark.table(name).count(), spark.table(f"{name}_other").count()) == (3, 7)
+
+
+def test_appended_summary_equals_the_summary_of_all(spark):
+    parts = [
+        [(1, "a", 1.0, None), (2, None, 2.0, 1.0), (None, "z", 1.0, 1.0)],
+        [],
+        [(1, "c", None, 3.0), (1, "b", 4.0, 5.0), (3, None, None, None), (None, "y", 3.0, None)],
+    ]
+    kind = "account_id long, operation string, amount double, balance double"
+    name = tables.fresh_name(spark, "partials")
+    for k, part in enumerate(parts):
+        got = credit.append_transactions(spark, name, spark.createDataFrame(part, kind))
+        so_far = spark.createDataFrame([r for p in parts[: k + 1] for r in p], kind)
+        expected = credit.transaction_summary(so_far)
+        assert got.columns == expected.columns and rows(got) == rows(expected)
+
+
+def test_a_failed_append_changes_nothing(spark):
+    kind = "account_id long, operation string, amount double, balance double"
+    name = tables.fresh_name(spark, "partials")
+    one = spark.createDataFrame([(1, "a", 1.0, 2.0)], kind)
+    before = rows(credit.append_transactions(spark, name, one))
+    bad = one.withColumn("amount", F.raise_error(F.lit("torn")).cast("double"))
+    with pytest.raises(Exception, match="torn"):
+        credit.append_transactions(spark, name, bad)
+    after = credit.append_transactions(spark, name, one.where("false"))
+    assert rows(after) == before
