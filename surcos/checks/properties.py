@@ -12,6 +12,7 @@ from surcos.checks.standins import BANK_SQL, load
 from surcos.operators import metrics, models, split
 from surcos.operators.forecast import ar_forecast
 from surcos.operators.timeseries import lag_arrays
+from surcos.sources import tables
 from surcos.sources.scratch import materialise
 
 _SERIES = "SELECT DISTINCT o_orderpriority AS series_id, true AS centred, true AS orthogonal FROM orders"
@@ -69,6 +70,29 @@ def tree_tested(spark, sf):
     return _tested(spark, sf, models.decision_tree())
 
 
+@query("scored_rows", f"""WITH {BANK_SQL},
+  classes AS (SELECT candidato, row_number() OVER (ORDER BY count(*) DESC, candidato) - 1 AS idx
+              FROM model WHERE NOT {_TESTED} GROUP BY candidato)
+  SELECT loan_id, CAST(idx AS DOUBLE) AS label, count(*) AS n, true AS agrees
+  FROM model JOIN classes ON classes.candidato = model.candidato WHERE {_TESTED} GROUP BY loan_id, idx""")
+def scored_rows(spark, sf):
+    """Keys and labels of the scored rows, and whether each prediction is that of its probability."""
+    _, results = fitted(spark, sf, models.logistic())
+    agrees = F.col("prediction") == (F.col("probability") > 0.5).cast("double")
+    rows = models.scored(results, "loan_id").groupBy("loan_id", "label")
+    return rows.agg(F.count("*").alias("n"), F.min(agrees).alias("agrees"))
+
+
+@query("preview_rows", "SELECT least(20, count(*)) AS n, CAST(0 AS BIGINT) AS strangers FROM orders")
+def preview_rows(spark, sf):
+    """How many rows a preview has, and how many of them the table has not."""
+    table = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    known = table.select(F.col("o_orderkey").alias("_k"), F.col("o_totalprice").alias("_t")).distinct().withColumn("_known", F.lit(1))
+    same = F.col("o_orderkey").eqNullSafe(F.col("_k")) & F.col("o_totalprice").eqNullSafe(F.col("_t"))
+    shown = tables.preview(table, 20).join(known, same, "left")
+    return shown.agg(F.count("*").alias("n"), F.count_if(F.col("_known").isNull()).alias("strangers"))
+
+
 @query("importances_sum", "SELECT true AS whole, false AS negative FROM orders LIMIT 1")
 def importances_sum(spark, sf):
     model, results = fitted(spark, sf, models.decision_tree(10, 32))

@@ -29,7 +29,7 @@ from surcos.sources.scratch import materialise
 
 SMALL = 10_000  # categories of all columns together that are numbered on the driver
 NAMED = 1_000  # slots up to which a vector carries their names
-DENSE = 64  # slots up to which vectors are dense
+DENSE = 64  # categories and numbers up to which vectors are dense
 _LABELS = "column string, value string, n bigint, index bigint"
 _VECTOR = StructType([StructField("v", VectorUDT())])
 
@@ -39,31 +39,33 @@ def category_labels(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Values are compared as text, nulls left out. All columns are counted in one pass. Runs Spark jobs.
     """
+    return _labels(df, columns)[0]
+
+
+def _labels(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, list[str]] | None]:
+    """The label table, and the labels themselves if there are at most ``SMALL``."""
     spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], _LABELS)
+        return spark.createDataFrame([], _LABELS), {}
     counts = profile(df, columns).where(F.col("value").isNotNull())
     few = counts.limit(SMALL + 1).collect()
     if len(few) <= SMALL:
-        at = dict.fromkeys(columns, 0)
+        held: dict[str, list[str]] = {c: [] for c in columns}
         rows = []
         for r in sorted(few, key=lambda r: (-r["n"], r["value"].encode())):
-            rows.append((r["column"], r["value"], r["n"], at[r["column"]]))
-            at[r["column"]] += 1
-        return spark.createDataFrame(rows, _LABELS)
+            rows.append((r["column"], r["value"], r["n"], len(held[r["column"]])))
+            held[r["column"]].append(r["value"])
+        return spark.createDataFrame(rows, _LABELS), held
     ranked = materialise(global_rank(counts, [F.asc("column"), F.desc("n"), F.asc("value")], "rank"), "categories")
     first = ranked.groupBy(F.col("column").alias("_c")).agg(F.min("rank").alias("first"))
     # One row for each column.
     labels = ranked.join(F.broadcast(first), F.col("column") == F.col("_c"))
-    return materialise(labels.select("column", "value", "n", (F.col("rank") - F.col("first")).alias("index")), "labels")
+    return materialise(labels.select("column", "value", "n", (F.col("rank") - F.col("first")).alias("index")), "labels"), None
 
 
-def vector(slots: list[tuple[int, Column]], numbers: list[Column]) -> Column:
+def sparse_vector(slots: list[tuple[int, Column]], numbers: list[Column]) -> Column:
     """One-hot slots, (how many, which one or null) for each group, followed by numbers."""
     size = sum(n for n, _ in slots) + len(numbers)
-    if size <= DENSE:
-        hot = [F.coalesce((which == i).cast("double"), F.lit(0.0)) for n, which in slots for i in range(n)]
-        return array_to_vector(F.array(*hot, *numbers).cast("array<double>"))
     before, entries = 0, []
     for n, which in slots:
         entries.append(F.when((which >= 0) & (which < n), F.struct((which + before).cast("int").alias("i"), F.lit(1.0).alias("v"))))
@@ -100,9 +102,14 @@ class CategoryEncoder(Estimator, _EncoderParams, DefaultParamsReadable, DefaultP
 
     def _fit(self, dataset: DataFrame) -> CategoryEncoderModel:
         columns = list(self.getInputCols())
-        labels = category_labels(dataset, columns)
-        found = {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.count("*").alias("n")).collect()}
-        model = CategoryEncoderModel(labels, {c: found.get(c, 0) for c in columns})
+        labels, held = _labels(dataset, columns)
+        if held is not None:
+            sizes = {c: len(held[c]) for c in columns}
+        else:
+            found = {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.count("*").alias("n")).collect()}
+            sizes = {c: found.get(c, 0) for c in columns}
+        model = CategoryEncoderModel(labels, sizes)
+        model.held = held
         return self._copyValues(model)
 
 
@@ -116,7 +123,7 @@ class CategoryEncoderModel(Model, _EncoderParams, MLReadable, MLWritable):
     def __init__(self, labels: DataFrame | None = None, sizes: dict[str, int] | None = None):
         super().__init__()
         self.labels, self.sizes = labels, sizes or {}
-        self.names: list[str] | None = None
+        self.held: dict[str, list[str]] | None = None
 
     def _slots(self, column: str) -> int:
         return max(self.sizes[column] - 1, 0)
@@ -127,43 +134,65 @@ class CategoryEncoderModel(Model, _EncoderParams, MLReadable, MLWritable):
 
     @property
     def labelsArray(self) -> list[list[str]]:
-        """The labels of every column in order, for columns of few categories: it collects them."""
-        rows = self.labels.orderBy("index").collect()
-        return [[r["value"] for r in rows if r["column"] == c] for c in self.getInputCols()]
+        """The labels of every column in order, for columns of few categories: it holds them."""
+        if self.held is None:
+            rows = self.labels.orderBy("index").collect()
+            self.held = {c: [r["value"] for r in rows if r["column"] == c] for c in self.getInputCols()}
+        return [self.held[c] for c in self.getInputCols()]
 
     def slot_names(self) -> list[str] | None:
         """Names of the slots, or None if there are more than ``NAMED``."""
-        if self.names is None and self.n_slots <= NAMED:
-            hot = zip(self.getInputCols(), self.labelsArray)
-            self.names = [f"{c}_vec_{v}" for c, values in hot for v in values[:-1]] + list(self.getOrDefault("numericCols"))
-        return self.names
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        unseen, slots, rows = self.getHandleInvalid(), [], dataset
+        if self.n_slots > NAMED:
+            return None
+        hot = zip(self.getInputCols(), self.labelsArray)
+        return [f"{c}_vec_{v}" for c, values in hot for v in values[:-1]] + list(self.getOrDefault("numericCols"))
+
+    def _checked(self, known: Column, column: str) -> Column:
+        """An error for a value that is not known."""
+        wrong = F.concat(F.lit(f"unseen value in {column}: "), F.coalesce(F.col(quoted(column)).cast("string"), F.lit("null")))
+        return F.when(F.coalesce(known, F.lit(False)), True).otherwise(F.raise_error(wrong).cast("boolean"))
+
+    def _dense(self, rows: DataFrame, numbers: list[Column]) -> tuple[DataFrame, Column]:
+        """Few slots: each is a comparison with its label, without joins."""
+        unseen, hot = self.getHandleInvalid(), []
+        for column, labels in zip(self.getInputCols(), self.labelsArray):
+            value = F.col(quoted(column)).cast("string")
+            if unseen != "keep":
+                known = value.isin(labels) if labels else F.lit(False)
+                rows = rows.where(self._checked(known, column) if unseen == "error" else known)
+            hot += [F.coalesce((value == label).cast("double"), F.lit(0.0)) for label in labels[:-1]]
+        return rows, array_to_vector(F.array(*hot, *numbers).cast("array<double>"))
+
+    def _sparse(self, rows: DataFrame, numbers: list[Column]) -> tuple[DataFrame, Column]:
+        """Many slots: the label table is joined to the rows."""
+        unseen, slots = self.getHandleInvalid(), []
         for i, column in enumerate(self.getInputCols()):
             own = self.labels.where(F.col("column") == column).select(F.col("value").alias(f"_value{i}"), F.col("index").alias(f"_index{i}"))
             same = F.col(quoted(column)).cast("string") == F.col(f"_value{i}")
             rows = rows.join(own, same, "inner" if unseen == "skip" else "left").drop(f"_value{i}")
             index = F.col(f"_index{i}")
             if unseen == "error":
-                wrong = F.concat(F.lit(f"unseen value in {column}: "), F.coalesce(F.col(quoted(column)).cast("string"), F.lit("null")))
-                index = F.coalesce(index, F.raise_error(wrong).cast("bigint"))
+                rows = rows.where(self._checked(index.isNotNull(), column))
             slots.append((self._slots(column), index))
+        return rows, sparse_vector(slots, numbers)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
         numbers = []
         for column in self.getOrDefault("numericCols"):
             value = F.col(quoted(column)).cast("double")
             missing = F.raise_error(F.lit(f"null or NaN in {column}")).cast("double")
             numbers.append(F.when(value.isNull() | F.isnan(value), missing).otherwise(value))
+        few = sum(self.sizes.values()) + len(numbers) <= DENSE
+        rows, encoded = (self._dense if few else self._sparse)(dataset, numbers)
         out, names = self.getOutputCol(), self.slot_names()
-        encoded = rows.withColumn(out, vector(slots, numbers))
         attributes = {"num_attrs": self.n_slots}
         if names is not None:
             hot = self.n_slots - len(numbers)
             kinds = {"binary": names[:hot], "numeric": names[hot:]}
             start = {"binary": 0, "numeric": hot}
             attributes["attrs"] = {k: [{"idx": start[k] + j, "name": n} for j, n in enumerate(v)] for k, v in kinds.items() if v}
-        encoded = encoded.withMetadata(out, {"ml_attr": attributes})
-        return encoded.select(*[F.col(quoted(c)) for c in dataset.columns], out)
+        made = rows.withColumn(out, encoded).withMetadata(out, {"ml_attr": attributes})
+        return made.select(*[F.col(quoted(c)) for c in dataset.columns], out)
 
     def write(self) -> MLWriter:
         return _Writer(self)
