@@ -20,7 +20,8 @@ band agrees, at the threshold with probability ``MISS`` at most: (1 - 0.85**8)**
 Defined cases: a null or empty text, or one of blanks, has an empty set and no links; with
 fewer than five words the whole sequence is the one shingle; repeated rows are members of
 one class; a null doc_id is linked with nothing, its component is null and it is kept.
-Two classes that share their least doc_id count as one node.
+Rows that share a doc_id and differ in content belong to the class of their own content: a
+class is known by its set and numbered, and only its component is told by the least doc_id.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def sketches(docs: DataFrame, by: Plan, text: str = "text", doc_id: str = "doc_i
                 n, keys, bands, bits = [], [], [], []
                 for s in shingle_sets(part.column("_text")):
                     n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(_set_key(s) if len(s) else None)
                     band, low = sketch(minima(s, by.hashes), by) if len(s) else (None, None)
                     bands.append(band)
                     bits.append(low)
@@ -203,32 +204,36 @@ def _similar(a: np.ndarray, b: np.ndarray, by: Plan) -> np.ndarray:
     return unequal <= by.max_unequal
 
 
-def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Full sets ``s`` of the classes in ``ids``; ``docs`` (doc_id, _text) are read once for these."""
+def _set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Full sets ``s`` of the classes in ``wanted`` (cls, set_key, class_id); ``docs`` (doc_id, _text) are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                sets = [s.astype("i8") for s in shingle_sets(part.column("_text"))]
+                sets = shingle_sets(part.column("_text"))
+                keys = pa.array([_set_key(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"]
+                    [keys, pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64()))], ["set_key", "s"]
                 )
 
-    small = ids.count() * 16 <= MAX_BROADCAST
-    wanted = docs.join(F.broadcast(ids) if small else ids, "doc_id")
-    # Of rows that share a doc_id and differ in text, those with the size of the class are its members.
+    wanted = materialise(wanted, "wanted")
+    ids = wanted.select(F.col("class_id").alias("doc_id")).distinct()
+    small = wanted.count() * 16 <= MAX_BROADCAST
+    made = docs.join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(run, "set_key binary, s array<bigint>")
+    # A doc_id may have rows of several contents: each is the set of the class that its key names.
     return materialise(
-        wanted.mapInArrow(run, "doc_id bigint, s array<bigint>")
-        .join(classes.select("doc_id", "n_shingles"), "doc_id").where(F.size("s") == F.col("n_shingles"))
-        .dropDuplicates(["doc_id"]).select("doc_id", "s"),
-        "sets",
+        made.join(wanted.select("set_key", "cls"), "set_key").dropDuplicates(["cls"]).select("cls", "s"), "sets"
     )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, by: Plan) -> DataFrame:
     """Those candidate pairs (a, b) of classes that are links."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     pairs = materialise(pairs, "candidates")
@@ -238,10 +243,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, by: Plan) -> DataFrame:
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """Members of the buckets with several classes: ``value``, ``doc_id`` and the ``leader``, the least id."""
-    members = classes.select("doc_id", F.explode("bands").alias("value"))
+    """Members of the buckets with several classes: ``value``, ``cls`` and the ``leader``, the least."""
+    members = classes.select("cls", F.explode("bands").alias("value"))
     leaders = materialise(
-        members.groupBy("value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"),
+        members.groupBy("value").agg(F.min("cls").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"),
         "leaders",
     )
     return materialise(members.join(leaders, "value"), "shared")
@@ -249,9 +254,9 @@ def _shared(classes: DataFrame) -> DataFrame:
 
 def _leader_pairs(shared: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
     """Candidates of each class with the leaders of its buckets."""
-    met = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    one = classes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
-    two = classes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
+    met = shared.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
+    one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("xb"))
     near = _unequal(F.col("xa"), F.col("xb"), by.longs) <= by.max_unequal
     fit = by.sizes_fit(F.least("na", "nb"), F.greatest("na", "nb"))
     met = materialise(met, "met")
@@ -267,9 +272,9 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
     that it shares, and not if links found before already join it.
     """
     placed = materialise(
-        shared.join(found, shared["doc_id"] == found["node"], "left")
-        .select("value", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        .join(classes.select("doc_id", "n_shingles"), "doc_id"),
+        shared.join(found, shared["cls"] == found["node"], "left")
+        .select("value", "cls", F.coalesce("component", "cls").alias("component"))
+        .join(classes.select("cls", "n_shingles"), "cls"),
         "placed",
     )
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") * 8 / TILE_BYTES))
@@ -281,8 +286,8 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
         .select("value", tiles.cast("int").alias("tiles")),
         "mixed",
     )
-    open_ = placed.join(mixed, "value").join(classes.select("doc_id", "bits", "bands"), "doc_id").join(sets, "doc_id")
-    tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    open_ = placed.join(mixed, "value").join(classes.select("cls", "bits", "bands"), "cls").join(sets, "cls")
+    tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     dealt = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keyed = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
 
@@ -290,7 +295,7 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
         value, low, high = key
         bits = np.stack(group["bits"].to_numpy()).astype("i8").view("u8")
         bands = np.stack(group["bands"].to_numpy())
-        ids, comp, n = (group[c].to_numpy("i8") for c in ("doc_id", "component", "n_shingles"))
+        ids, comp, n = (group[c].to_numpy("i8") for c in ("cls", "component", "n_shingles"))
         tiles, full = group["tile"].to_numpy(), group["s"].to_numpy()
         at = np.flatnonzero(tiles == low)
         to = at if low == high else np.flatnonzero(tiles == high)
@@ -319,38 +324,72 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
+    return _components_of(_sketched(docs, percent, text, doc_id), docs, percent, text, doc_id).drop("set_key")
+
+
+def _sketched(docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
+    return materialise(sketches(docs, plan(percent), text, doc_id), "sketches")
+
+
+def _components_of(made: DataFrame, docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
+    """What :func:`near_copies` gives, with the ``set_key`` of each row."""
     by = plan(percent)
-    made = materialise(sketches(docs, by, text, doc_id), "sketches")
     linked = made.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    first = materialise(linked.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    # Numbered as written, so that the numbers are fixed.
+    first = materialise(
+        linked.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
+        .withColumn("cls", F.monotonically_increasing_id()),
+        "classes",
+    )
     classes = materialise(
         linked.join(first, ["set_key"]).where("doc_id = class_id")
-        .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "bits"),
+        .dropDuplicates(["cls"]).select("cls", "set_key", "class_id", "n_shingles", "bands", "bits"),
         "class-sketches",
     )
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     shared = _shared(classes)
-    sets = _sets(shared.select("doc_id").distinct(), texts, classes)
+    several = shared.select("cls").distinct()
+    sets = _sets(several.join(first, "cls").select("cls", "set_key", "class_id"), texts)
     links = _confirmed(_leader_pairs(shared, classes, by), sets, by)
     more = _across_links(shared, classes, sets, components(links), by)
-    found = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
-    of_class = materialise(
-        first.join(found, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id")),
-        "class-components",
-    )
-    alone = made.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = linked.join(of_class, "set_key").select("doc_id", "n_shingles", "component_id")
-    return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = components(links.unionByName(more)).withColumnRenamed("node", "cls")
+    named = materialise(first.join(found, "cls"), "class-components")
+    least = materialise(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component-ids")
+    of_class = materialise(named.join(least, "component").select("set_key", "component_id"), "named-classes")
+    grouped = first.select("set_key", "class_id").join(of_class, "set_key", "left").select(
+        "set_key", F.coalesce("component_id", "class_id").alias("component_id"))
+    of_set = materialise(grouped, "set-components")
+    columns = ["doc_id", "n_shingles", "component_id", "set_key"]
+    alone = made.where("doc_id IS NULL OR set_key IS NULL").withColumn("component_id", F.col("doc_id")).select(columns)
+    joined = linked.join(of_set, "set_key").select(columns)
+    rows = joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept", "set_key")
+
+
+def _key_of(texts: pd.Series) -> pd.Series:
+    # One text at a time, as a batch may hold long ones.
+    sets = (shingle_sets(pa.array([t], pa.string()))[0] for t in texts)
+    return pd.Series([_set_key(s) if len(s) else b"" for s in sets], dtype=object)
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = KEEP_PERCENT) -> DataFrame:
     """The documents whose row is kept, columns unchanged.
 
-    Of repeated rows of a kept doc_id one remains, the least; rows without doc_id all remain.
+    Of rows that share a kept doc_id and the set one remains, the least; rows of other content
+    that share the doc_id are judged for themselves. Rows without doc_id all remain.
     """
-    rows = near_copies(docs, text, doc_id, percent).where("kept AND doc_id IS NOT NULL")
-    kept = materialise(rows.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    stays = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"))
-    repeated = stays.where("_rows > 1").groupBy("_kept").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    alone = stays.where("_rows = 1").drop("_kept", "_rows")
-    return alone.unionByName(repeated.select("_row.*")).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    made = _sketched(docs, percent, text, doc_id)
+    own = F.coalesce("set_key", F.lit(b"")).alias("_key")
+    rows = _components_of(made, docs, percent, text, doc_id).where("kept AND doc_id IS NOT NULL")
+    stay = materialise(rows.select(F.col("doc_id").alias("_kept"), own).distinct(), "kept")
+    of_id = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    ids = materialise(of_id.join(stay.select("_kept").distinct(), "_kept", "left_semi"), "kept-ids")
+    of_kept = docs.join(ids, F.col(f"`{doc_id}`").cast("long") == F.col("_kept"))
+    alone = of_kept.where("_rows = 1").drop("_kept", "_rows")
+    several = of_kept.where("_rows > 1").select(
+        "_kept",
+        F.pandas_udf(_key_of, "binary")(F.col(f"`{text}`")).alias("_key"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+    )
+    firsts = several.join(stay, ["_kept", "_key"], "left_semi").groupBy("_kept", "_key").agg(F.min("_row").alias("_row"))
+    return alone.unionByName(firsts.select("_row.*")).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

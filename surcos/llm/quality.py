@@ -5,6 +5,10 @@ judged by its statistic vector: for each language and source the minimum covaria
 determinant (MCD) gives the centre and the scatter of the most concentrated part of
 the vectors, and a document far from the centre by Mahalanobis distance is rejected.
 
+The search for that part starts twice in each group, from the deviations of each statistic
+by itself and from the signs of all of them together, and goes on in each until the
+determinant of the scatter falls no more; the smaller determinant is taken.
+
 All of it is column expressions, grouped sums and joins. A group's sums are merged
 before the shuffle, so a source that holds a third of the corpus costs no more than
 another. Statistics are held as integers and added exactly: reruns agree.
@@ -24,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from surcos.llm.words import NOT_BLANK, words
-from surcos.sources.scratch import materialise
+from surcos.sources.scratch import materialise, release
 
 WINDOW = 5  # words; a window found twice or more is a repetition
 MIN_WORDS = 10
@@ -37,12 +41,14 @@ SYMBOLS = "[^#*$%&|<>]+"  # all but the symbols that are counted
 FEATURES = {"length": 0.08, "symbols": 0.05, "capitals": 0.05, "repeats": 0.12, "dup_lines": 0.15}
 UNIT = 1000  # steps per unit of a statistic
 SUPPORT = 0.75  # part of a group that the estimate rests on, at least
-STEPS = 4  # concentration steps
+STEPS = 50  # concentration steps, at most; a group rests when its determinant falls no more
+FALL = 1e-9  # least fall of the determinant's logarithm that counts
 CUTOFF = 1e-5  # share of a normal population that lies beyond the limit
 MIN_GROUP = 50
 _P = len(FEATURES)
 _Q = [f"_q_{n}" for n in FEATURES]
-_GROUP = "_group"
+_GROUP = "_group"  # of rows and estimates: struct of the group and the start
+_STARTS = ("deviations", "signs")
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -170,6 +176,9 @@ def _centred(df: DataFrame, share_of: str, values: Column) -> DataFrame:
     return reach.groupBy(_GROUP).agg(*at)
 
 
+_ESTIMATE = [*[f"_m{j}" for j in range(_P)], *[f"_i{i}{j}" for i in range(_P) for j in range(i + 1)], "_log_det"]
+
+
 def _factor(params: DataFrame, cov) -> DataFrame:
     """Keep the means and add ``_i{i}{j}``: the inverse of the scatter's Cholesky factor."""
     out = params
@@ -185,7 +194,8 @@ def _factor(params: DataFrame, cov) -> DataFrame:
             for k in range(j, i):
                 rest = rest - F.col(f"_l{i}{k}") * F.col(f"_i{k}{j}")
             out = out.withColumn(f"_i{i}{j}", rest / F.col(f"_l{i}{i}"))
-    return out.select(_GROUP, *[f"_m{j}" for j in range(_P)], *[f"_i{i}{j}" for i in range(_P) for j in range(i + 1)])
+    log_det = -2 * sum((F.ln(f"_i{i}{i}") for i in range(1, _P)), F.ln("_i00"))
+    return out.select(_GROUP, *_ESTIMATE[:-1], log_det.alias(_ESTIMATE[-1]))
 
 
 def _distance() -> Column:
@@ -201,19 +211,51 @@ def _distance() -> Column:
 
 
 def _initial(rows: DataFrame) -> DataFrame:
-    """Centre at the medians; scatter diagonal, from the median deviations."""
+    """Both starts of each group: centre at the medians, scatter from the median deviations.
+
+    One scatter is diagonal. The other has the correlations of the rows' directions, each
+    row counted with length one, in which a far row weighs no more than a near one.
+    """
     step = F.array(*_Q)
     mid = materialise(_centred(rows, "_v", step), "mcd-median")
     off = F.array(*[F.abs(F.col(q) - F.col(f"_m{j}")) for j, q in enumerate(_Q)])
     mad = _centred(rows.join(mid, _GROUP), "_v", off).select(
         _GROUP, *[F.col(f"_m{j}").alias(f"_s{j}") for j in range(_P)]
     )
-    both = mid.join(mad, _GROUP).select(
-        _GROUP, *[(F.col(f"_m{j}") / UNIT).alias(f"_m{j}") for j in range(_P)], *[f"_s{j}" for j in range(_P)]
-    )
     floors = list(FEATURES.values())
-    wide = lambda j: F.pow(1.4826 * F.col(f"_s{j}") / UNIT, 2) + floors[j] ** 2
-    return _factor(both, lambda i, j: wide(i) if i == j else F.lit(0.0))
+    width = [F.sqrt(F.pow(1.4826 * F.col(f"_s{j}") / UNIT, 2) + floors[j] ** 2) for j in range(_P)]
+    both = materialise(
+        mid.join(mad, _GROUP).select(
+            _GROUP, *[(F.col(f"_m{j}") / UNIT).alias(f"_m{j}") for j in range(_P)],
+            *[w.alias(f"_w{j}") for j, w in enumerate(width)],
+        ),
+        "mcd-widths",
+    )
+    scaled = rows.join(both, _GROUP).select(
+        _GROUP, *[((F.col(q) / UNIT - F.col(f"_m{j}")) / F.col(f"_w{j}")).alias(f"_z{j}") for j, q in enumerate(_Q)]
+    )
+    long = F.sqrt(sum((F.pow(f"_z{j}", 2) for j in range(1, _P)), F.pow("_z0", 2)))
+    turned = scaled.withColumn("_long", long).select(
+        _GROUP,
+        *[F.coalesce(F.round(UNIT * F.try_divide(f"_z{j}", "_long")), F.lit(0)).cast("long").alias(f"_u{j}") for j in range(_P)],
+    )
+    cells = [(i, j) for i in range(_P) for j in range(i + 1)]
+    # Whole steps, so that sums do not depend on their order.
+    sums = turned.groupBy(_GROUP).agg(
+        F.count("*").alias("_n"), *[F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")).alias(f"_c{i}{j}") for i, j in cells]
+    )
+    signs = materialise(both.join(sums, _GROUP), "mcd-signs")
+
+    def start(name: str, cov) -> DataFrame:
+        made = _factor(signs, lambda i, j: F.col(f"_w{i}") * F.col(f"_w{j}") * cov(i, j))
+        return made.withColumn(_GROUP, F.struct(F.col(_GROUP)["of"].alias("of"), F.lit(name).alias("start")))
+
+    # A tenth of the diagonal keeps the scatter of directions that lie in a plane regular.
+    direction = lambda i, j: (
+        0.9 * _P * F.col(f"_c{i}{j}") / F.col("_n") / UNIT**2 + F.lit(0.1 if i == j else 0.0)
+    )
+    plain = start(_STARTS[0], lambda i, j: F.lit(1.0 if i == j else 0.0))
+    return plain.unionByName(start(_STARTS[1], direction))
 
 
 def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -246,11 +288,29 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     return _factor(sums.withColumns({f"_m{i}": mean(i) / UNIT for i in range(_P)}), cov)
 
 
+def _rest(rows: DataFrame, started: DataFrame) -> DataFrame:
+    """Concentration steps from each start until its determinant falls no more; the last that fell."""
+    best = materialise(_concentrate(rows, started).withColumn("_open", F.lit(True)), "mcd-step")
+    for _ in range(STEPS - 1):
+        made = _concentrate(rows, best.where("_open").select(_GROUP, *_ESTIMATE))
+        new = made.select(F.col(_GROUP).alias("_of"), F.struct(*_ESTIMATE).alias("_new"))
+        falls = F.coalesce(F.col("_new")["_log_det"] < F.col("_log_det") - FALL, F.lit(False))
+        better = best.join(new, F.col(_GROUP) == F.col("_of"), "left").select(
+            _GROUP, *[F.when(falls, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in _ESTIMATE], falls.alias("_open")
+        )
+        before, best = best, materialise(better, "mcd-step")
+        release(before)
+        if best.where("_open").isEmpty():
+            break
+    return best
+
+
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Centre and factored scatter of each group of documents that pass the base rules.
 
     ``stats`` is what :func:`statistics` gives and should be written down: it is read
-    some ten times, its narrow columns only. Each step writes one row per group.
+    twice, its narrow columns only. Steps read the vectors, and write one row per group and
+    start. The result is a written table of a row per language and source.
     """
     keys = _keys(F.col("doc")[lang], F.col("doc")[source])
     named = stats.where(~F.col("base_failed")).select(
@@ -268,11 +328,26 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFra
         ),
         "mcd-placed",
     )
-    rows = materialise(named.join(placed, "_k0").select(_GROUP, *_Q), "mcd-rows")
-    params = materialise(_initial(rows), "mcd-start")
-    for _ in range(STEPS):
-        params = materialise(_concentrate(rows, params), "mcd-step")
-    return placed.join(params, _GROUP)
+    start = lambda name: F.struct(F.col(_GROUP).alias("of"), F.lit(name).alias("start")).alias(_GROUP)
+    rows = materialise(named.join(placed, "_k0").select(start(_STARTS[0]), *_Q), "mcd-rows")
+    started = materialise(_initial(rows), "mcd-start")
+    twice = F.explode(F.array(*[F.lit(name) for name in _STARTS])).alias("_start")
+    both = materialise(
+        rows.select("*", twice).withColumn(_GROUP, F.struct(F.col(_GROUP)["of"].alias("of"), F.col("_start").alias("start"))).drop("_start"),
+        "mcd-both",
+    )
+    rested = _rest(both, started)
+    # Of equal determinants the first start's.
+    chosen = rested.groupBy(F.col(_GROUP)["of"].alias("_of")).agg(
+        F.min_by(F.struct(*_ESTIMATE), F.struct("_log_det", F.col(_GROUP)["start"])).alias("_best")
+    )
+    fitted = materialise(
+        placed.join(chosen, F.col(_GROUP) == F.col("_of")).select("_k0", *[F.col("_best")[c].alias(c) for c in _ESTIMATE[:-1]]),
+        "mcd-fitted",
+    )
+    for table in (sizes, placed, rows, both, started, rested):
+        release(table)
+    return fitted
 
 
 def judge(stats: DataFrame, fitted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -290,9 +365,9 @@ def judge(stats: DataFrame, fitted: DataFrame, lang: str = "lang", source: str =
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that neither the base rules nor the distance reject, columns unchanged.
 
-    Texts are read twice, for the estimate and for the verdict; only numbers are written.
+    Documents are written once with their statistics, which the estimate reads and the verdict
+    reads again. Only numbers of a row per language and source meet them there.
     """
-    stats = statistics(docs, text)
-    narrow = stats.withColumn("doc", F.struct(F.col("doc")[lang].alias(lang), F.col("doc")[source].alias(source)))
-    fitted = fit(materialise(narrow, "quality"), lang, source)
+    stats = materialise(statistics(docs, text), "quality")
+    fitted = fit(stats, lang, source)
     return judge(stats, fitted, lang, source).where("kept").select("doc.*")

@@ -22,7 +22,8 @@ compared with all members in tiles. Equal vectors are one class from the start.
 Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components
 link with nothing; vectors of different lengths are not compared; a repeated row is another
 vector; a row without vec_id links with nothing and has a null component and is kept.
-Two classes that share their least vec_id count as one node.
+Rows that share a vec_id and differ in content belong to the class of their own content: a
+class is known by its hashes and numbered, and only its component is told by the least vec_id.
 """
 
 from __future__ import annotations
@@ -371,19 +372,24 @@ def near_vectors(
     keyed = given.withColumn("k1", F.when(good, F.xxhash64("v"))).withColumn("k2", F.when(good, F.xxhash64(F.lit(1), "v")))
     names = materialise(keyed.select("vec_id", "k1", "k2"), "vectors")
     first = materialise(
-        names.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector-classes"
+        names.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+        .withColumn("id", F.monotonically_increasing_id()),  # fixed as written
+        "vector-classes",
     )
     classes = materialise(
-        keyed.join(first, ["k1", "k2"]).where("vec_id = id").dropDuplicates(["id"]).select("id", "n", "v"), "class-vectors"
+        keyed.join(first, ["k1", "k2"]).where("vec_id = least").dropDuplicates(["id"]).select("id", "n", "v"), "class-vectors"
     )
     n = classes.count()
     links = _links(classes, n, cosine, window)
     found = components(links)
     linked = classes.join(found, classes["id"] == found["node"]).select("id", "n", "component", "v")
     counts = _link_counts(materialise(linked, "linked-vectors"), cosine)
+    members = materialise(first.select("id", "least").join(found.withColumnRenamed("node", "id"), "id"), "vector-members")
+    ids = materialise(members.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    named = materialise(members.join(ids, "component").select("id", "component_id"), "vector-ids")
     of_class = materialise(
-        first.join(found.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").select(
-            "k1", "k2", F.coalesce("component", "id").alias("component_id"),
+        first.join(named, "id", "left").join(counts, "id", "left").select(
+            "k1", "k2", F.coalesce("component_id", "least").alias("component_id"),
             (F.coalesce("n_other", F.lit(0)) + F.col("n") - 1).alias("n_links")),
         "vector-components",
     )

@@ -92,19 +92,33 @@ def vector(s):
 
 def robust(x):
     """Squared distances of the rows of one group, by the method of the operator."""
-    floor = np.diag(np.square(list(quality.FEATURES.values())))
+    floor = np.square(list(quality.FEATURES.values()))
     rank = lambda v, share: np.sort(v)[math.ceil(share * len(v)) - 1]
     mid = np.array([rank(c, 0.5) for c in x.T])
     mad = np.array([rank(np.abs(c - m), 0.5) for c, m in zip(x.T, mid)])
-    centre, cov = mid / quality.UNIT, np.diag((1.4826 * mad / quality.UNIT) ** 2) + floor
-    for step in range(quality.STEPS + 1):
+    width = np.sqrt((1.4826 * mad / quality.UNIT) ** 2 + floor)
+    z = (x / quality.UNIT - mid / quality.UNIT) / width
+    size = np.linalg.norm(z, axis=1, keepdims=True)
+    u = np.rint(quality.UNIT * np.divide(z, size, out=np.zeros_like(z), where=size > 0)) / quality.UNIT
+    scatters = np.eye(len(width)), 0.9 * len(width) * u.T @ u / len(x) + 0.1 * np.eye(len(width))
+
+    def distances(centre, cov):
         off = x / quality.UNIT - centre
-        d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
-        if step == quality.STEPS:
-            return d2
-        bins = np.floor(64 * np.log2(1 + d2))
-        inner = x[bins <= rank(bins, quality.SUPPORT)] / quality.UNIT
-        centre, cov = inner.mean(axis=0), quality.SCALE * np.cov(inner.T, bias=True) + floor
+        return np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
+
+    found = []
+    for scatter in scatters:
+        centre, cov, best = mid / quality.UNIT, scatter * np.outer(width, width), math.inf
+        for _ in range(quality.STEPS):
+            bins = np.floor(64 * np.log2(1 + distances(centre, cov)))
+            inner = x[bins <= rank(bins, quality.SUPPORT)] / quality.UNIT
+            new = inner.mean(axis=0), quality.SCALE * np.cov(inner.T, bias=True) + np.diag(floor)
+            log_det = np.linalg.slogdet(new[1])[1]
+            if log_det >= best - quality.FALL:
+                break
+            (centre, cov), best = new, log_det
+        found.append((best, centre, cov))
+    return distances(*min(found, key=lambda f: f[0])[1:])
 
 
 def test_quality_statistics_and_verdicts(spark, docs, odd):
@@ -284,6 +298,25 @@ def test_near_copies_of_a_drifting_group(spark, monkeypatch):
     assert len(set(component.values())) < 30
 
 
+@pytest.mark.parametrize("turn", [0, 1, 2])
+def test_near_copies_of_rows_that_share_an_id(spark, turn):
+    """One id with two texts, each of which has a near copy: no link is lost, whatever the order of rows."""
+    one, two = (" ".join(f"{t}{k}" for k in range(60)) for t in "ab")
+    given = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (1, one), (4, "alone")]
+    given = given[turn * 2 :] + given[: turn * 2]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(1 + turn)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_copies(table).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+    same(minhash.keep_first(table).collect(), [(1, one), (1, two), (4, "alone")])
+
+
+def test_near_copies_keep_the_rows_of_other_content(spark):
+    """A text that shares the id of another and is itself a copy of a third goes, the other stays."""
+    one, two = (" ".join(f"{t}{k}" for k in range(60)) for t in "ab")
+    table = spark.createDataFrame([(5, one), (5, two), (2, two), (5, "")], "doc_id long, text string")
+    same(minhash.keep_first(table).collect(), [(5, one), (2, two), (5, "")])
+
+
 def test_near_copies_keep_one_of_each(odd, empty):
     kept = minhash.keep_first(odd)
     assert kept.columns == odd.columns

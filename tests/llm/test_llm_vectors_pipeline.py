@@ -75,6 +75,15 @@ def test_awkward_vectors(spark):
     check(table.repartition(4), rows)
 
 
+@pytest.mark.parametrize("turn", [0, 1, 2])
+def test_vectors_that_share_an_id(spark, turn):
+    """The vectors of one id differ; each has a near copy of another id."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.1]), (3, [1.0, 0.0, 0.1]), (4, [0.0, 0.0, 1.0])]
+    table = spark.createDataFrame(rows[turn:] + rows[:turn], "vec_id long, embedding array<double>").repartition(1 + turn)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(table).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def cone(n, mean, dim=64, seed=6):
     """Unit vectors, a third around one direction at the given mean cosine; 150 of those with a partner at 0.91."""
     rng = np.random.default_rng(seed)
