@@ -9,9 +9,10 @@ from surcos.checks.relational import MEANS, bank_means, rounded
 from surcos.checks.standins import (
     BANK_SQL, CALLS_SQL, FREQUENCY, INVOICES_SQL, STATUSES, bank, calls, invoices, load,
 )
-from surcos.operators import aggregate
+from surcos.operators import aggregate, quantiles
 from surcos.operators.timeseries import daily_totals
 from surcos.plans import credit, telecom
+from surcos.sources.scratch import materialise
 from surcos.sources.tables import fresh_name, retire_versions
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -145,7 +146,26 @@ def series_describe(spark, sf):
                quantile_cont(l_extendedprice, 0.75) AS c FROM lineitem),
        (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS p)""")
 def quartiles_exact(spark, sf):
-    return rounded(aggregate.quartiles_exact(load(spark, sf, "lineitem"), "l_extendedprice"), 6, "value")
+    return rounded(quantiles.quartiles_exact(load(spark, sf, "lineitem"), "l_extendedprice"), 6, "value")
+
+
+@query("daily_quantiles", """SELECT event_type, p, count(value) AS n, true AS within
+  FROM events, (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS p)
+  GROUP BY event_type, p HAVING count(value) > 0""")
+def daily_quantiles(spark, sf):
+    """Quartiles per key from merged daily summaries: is the rank of each within the stated error?"""
+    table = load(spark, sf, "events")
+    days = table.withColumn("day", F.to_date("ts"))
+    keys = ["event_type"]
+    stored = materialise(quantiles.quantile_states(days, [*keys, "day"], "value"), "daily-quantiles")
+    merged = quantiles.merge_quantile_states(stored.drop("day"), keys)
+    read = materialise(quantiles.quantiles_of(merged, keys), "quantiles")
+    named = read.select(F.col("event_type").alias("_k"), "p", F.col("value").alias("_q"), "n", "error")
+    ranks = table.join(named, F.col("event_type").eqNullSafe(F.col("_k"))).groupBy("event_type", "p", "n", "error").agg(
+        F.count_if(F.col("value") < F.col("_q")).alias("below"), F.count_if(F.col("value") <= F.col("_q")).alias("upto"))
+    wanted = F.col("p") * F.col("n")
+    within = (F.col("below") <= wanted + F.col("error")) & (F.col("upto") >= wanted - F.col("error"))
+    return ranks.select("event_type", "p", "n", within.alias("within"))
 
 
 @query("min_max", """SELECT min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from surcos.operators.clean import quoted
-from surcos.operators.ranking import running_totals
 
 STATS = ("count", "mean", "stddev", "min", "max")
 
@@ -160,7 +159,7 @@ def describe_groups(df: DataFrame, key: str, column: str) -> DataFrame:
 
     Exact percentiles keep the distinct values of a group in memory, so this is
     for groups of bounded size such as a series with one row per day. For a whole
-    table column use :func:`quartiles_exact`.
+    table column use :func:`surcos.operators.quantiles.quartiles_exact`.
     """
     q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (
@@ -181,37 +180,6 @@ def describe_groups(df: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def quartiles_exact(
-    df: DataFrame, column: str, probabilities: Sequence[float] = (0.25, 0.5, 0.75)
-) -> DataFrame:
-    """(p, value): exact interpolated quantiles of a column of any size.
-
-    Values are counted, put in global order and numbered by running totals; each
-    quantile then picks the two values around its position. No task sees more
-    than its range of the values.
-    """
-    counts = distribution(df.where(F.col(column).isNotNull()), column, name="_n")
-    ranked = running_totals(counts, [F.col(column).asc()], ["_n"])
-    total = ranked.agg(F.sum("_n").alias("t"))
-    rows = ranked.select(
-        F.col(column).cast("double").alias("_v"),
-        (F.col("cum__n") - F.col("_n")).alias("_first"),
-        (F.col("cum__n") - 1).alias("_last"),
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"),
-    ).withColumn("_at", F.col("p") * (total.scalar() - 1))
-    lower, upper = F.floor("_at"), F.ceil("_at")
-
-    def value_at(position):
-        return F.max(F.when(position.between(F.col("_first"), F.col("_last")), F.col("_v")))
-
-    return rows.groupBy("p").agg(
-        (
-            value_at(lower)
-            + (value_at(upper) - value_at(lower)) * F.max(F.col("_at") - lower)
-        ).alias("value")
-    )
-
-
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with ``<column>_min`` and ``<column>_max``."""
     return df.agg(

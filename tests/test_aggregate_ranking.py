@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from surcos.operators import aggregate, order, ranking
+from surcos.operators import aggregate, order, quantiles, ranking
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +42,7 @@ def test_describe_matches_spark(numbers):
 def test_exact_quantiles(numbers):
     x = np.array([r["x"] for r in numbers.collect() if r["x"] is not None])
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-    got = dict(rows(aggregate.quartiles_exact(numbers, "x", probs)))
+    got = dict(rows(quantiles.quartiles_exact(numbers, "x", probs)))
     for p in probs:
         assert got[p] == pytest.approx(np.quantile(x, p))
     grouped = aggregate.describe_groups(numbers.where("g = 'a'"), "g", "x").first()
@@ -51,6 +52,66 @@ def test_exact_quantiles(numbers):
     assert approx["x", "50%"] == pytest.approx(np.quantile(x, 0.5), abs=1)
 
 
+@pytest.mark.parametrize("shape", ["even", "ties", "skewed", "wide"])
+def test_selection_narrows_down(spark, monkeypatch, shape):
+    """Many rounds, forced by coarse sketches and few gathered rows, give the exact values."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "GATHERED", 8)
+    rng = np.random.default_rng(5)
+    x = {
+        "even": rng.permutation(3000).astype(float),
+        "ties": rng.integers(0, 7, 3000).astype(float),
+        "skewed": np.concatenate([np.zeros(1900), rng.lognormal(0, 4, 1100)]),
+        "wide": np.concatenate([[-np.inf] * 3, rng.normal(size=2995) * 1e300, [np.inf] * 2]),
+    }[shape]
+    probs = (0.0, 0.001, 0.25, 0.3333, 0.5, 0.75, 0.999, 1.0)
+    table = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "`x.y` double").repartition(3)
+    got = dict(rows(quantiles.quartiles_exact(table, "x.y", probs)))
+    order = np.sort(x)
+    for p in probs:
+        low, high = order[math.floor(p * (len(x) - 1))], order[math.ceil(p * (len(x) - 1))]
+        at = p * (len(x) - 1) - math.floor(p * (len(x) - 1))
+        assert got[p] == pytest.approx(low if low == high else low + (high - low) * at, nan_ok=True)
+
+
+def test_quantiles_without_values_and_with_nan(spark):
+    none = spark.createDataFrame([(None,)], "x double")
+    assert rows(quantiles.quartiles_exact(none, "x", (0.5,))) == [(0.5, None)]
+    some = spark.createDataFrame([(1.0,), (math.nan,), (3.0,)], "x double")
+    got = dict(rows(quantiles.quartiles_exact(some, "x", (0.0, 0.5, 1.0))))
+    assert got[0.0] == 1.0 and got[0.5] == 3.0 and math.isnan(got[1.0])
+
+
+def test_selection_of_many_values(spark):
+    table = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    got = dict(rows(quantiles.quartiles_exact(table, "x", (0.5,))))[0.5]
+    assert got == np.median((np.arange(200_000) * 7919 % 200_003).astype(float))
+
+
+def _within(x, value, p, error):
+    below, upto = (x < value).sum(), (x <= value).sum()
+    return below <= p * len(x) + error and upto >= p * len(x) - error
+
+
+def test_quantile_states_merge_within_their_error(spark):
+    """Daily summaries merged by week and then altogether, against all rows; null keys are a group."""
+    rng = np.random.default_rng(2)
+    given = [(k, d, float(v)) for k, size in (("a", 9000), (None, 700), ("b", 3)) for d, v in
+             zip(rng.integers(0, 28, size).tolist(), rng.lognormal(0, 2, size))]
+    given += [("a", 3, None), ("c", 1, None), ("b", 2, math.nan)]
+    table = spark.createDataFrame(given, "k string, day int, v double").withColumn("week", F.floor(F.col("day") / 7))
+    days = quantiles.quantile_states(table, ["k", "week", "day"], "v", points=32)
+    weeks = quantiles.merge_quantile_states(days, ["k", "week"])
+    all_ = quantiles.merge_quantile_states(weeks, ["k"])
+    got = quantiles.quantiles_of(all_, ["k"], (0.0, 0.1, 0.25, 0.5, 0.77, 1.0)).collect()
+    assert {r["k"] for r in got} == {"a", "b", None} and len(got) == 18
+    for r in got:
+        x = np.array([v for k, _, v in given if k == r["k"] and v is not None and not math.isnan(v)])
+        assert r["n"] == len(x) and _within(x, r["value"], r["p"], r["error"])
+        assert r["k"] != "a" or r["error"] < len(x) / 8
+    assert all(len(r["points"]) == 33 for r in all_.collect())
+
+
 def test_histogram(spark, numbers):
     x = np.array([r["x"] for r in numbers.collect() if r["x"] is not None])
     counts, edges = np.histogram(x, 7)

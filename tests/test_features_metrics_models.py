@@ -10,7 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from surcos.operators import encoder, features, metrics, models
+from surcos.operators import encoder, features, ledger, metrics, models
 from surcos.plans import retail
 
 
@@ -299,6 +299,40 @@ def test_comparison_table(training):
     assert all(r["auc"] > 0.7 for r in table.collect())
 
 
+def test_comparison_goes_on_where_it_ended(spark, training, tmp_path, monkeypatch):
+    """A run that fails at its third fit of four leaves two, and the next run fits the other two only."""
+    fits, own = [], type(models.logistic())._fit
+
+    def counted(self, dataset):
+        fits.append(self.getMaxIter())
+        if len(fits) == 3:
+            raise RuntimeError("ended")
+        return own(self, dataset)
+
+    monkeypatch.setattr(type(models.logistic()), "_fit", counted)
+    estimators = {"short": models.logistic(maxIter=2), "long": models.logistic(maxIter=20)}
+    run = lambda df, given=estimators: ledger.compare_resumable(
+        df, stages(), given, "id", str(tmp_path), rounds=2, parallelism=1
+    )
+    with pytest.raises(RuntimeError, match="ended"):
+        run(training)
+    trained, table = run(training)
+    assert len(fits) == 5 and len(rows(table)) == 4
+    again, same = run(training.repartition(7))
+    assert len(fits) == 5 and rows(same) == rows(table)
+    _, plain = models.compare_models(training, stages(), estimators, "id", rounds=2)
+    assert [r[:2] for r in rows(plain)] == [r[:2] for r in rows(table)]
+    assert [r[2] for r in rows(plain)] == pytest.approx([r[2] for r in rows(table)])
+    for name, t in again.items():
+        score = metrics.balanced_accuracy(t.results, "label", "prediction").first()["auc"]
+        assert score == pytest.approx(max(t.auc)) and t.auc == trained[name].auc
+    before = len(fits)
+    run(training, {**estimators, "long": models.logistic(maxIter=21)})
+    assert len(fits) == before + 2  # another parameter
+    run(training.where("id <> 3"))
+    assert len(fits) == before + 6  # another table
+
+
 def test_model_reports(spark, training):
     model = features.fitted_pipeline(training, [*stages(), models.boosted_trees(rounds=3)])
     result = model.transform(training)
