@@ -1,16 +1,19 @@
-"""Secret scans: candidates by shape, false positives removed by a random forest.
+"""Secret scans: candidates by shape or context, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` letters, digits and ``+ / _ = -`` with a digit
-in it. The forest sees its length, how likely its character transitions are in the
-corpus's words, how much of it dictionary words cover, signs of a path, its make-up, and
-the words beside it. Transitions and dictionary come from counts over all texts; of the
+A candidate by shape is a run of at least ``SHORTEST`` letters, digits and ``+ / _ = -`` with
+a digit in it. A candidate by context is what stands after a naming word (``password``,
+``api_key`` and such, with up to 12 more letters, digits, ``_`` or ``-``) and ``=`` or ``:``: at
+least ``LEAST`` characters of any kind but blanks and quotes, up to the next of these. Where
+both begin at one place, or a run holds the naming word and its ``=``, context decides. The
+forest sees its length, how likely its character transitions are in the corpus's words, how
+much of it dictionary words cover, signs of a path, its make-up, and the words beside it. Transitions and dictionary come from counts over all texts; of the
 counts only the transition table (37 x 37) and the ``DICTIONARY`` most frequent words
 reach the driver.
 
 Labelled findings are the training data. Without a table of them, :func:`findings` makes
 some: for at most ``MAX_DOCS`` documents, digests of their text are set as keys, tokens and
 passwords (true) and as checksums and identifiers (false), and the documents' own words are
-joined to paths, names and numbers (false).
+joined to paths, names, numbers and calls, or set alone after a naming word (false).
 
 Everything is column expressions and Spark's own forest: no Python runs on executors.
 
@@ -33,9 +36,22 @@ from pyspark.sql import functions as F
 from surcos.llm.words import words
 from surcos.sources.scratch import materialise
 
-SHORTEST = 16
+SHORTEST, LEAST = 16, 8
 _SET = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_SET}])(?=[A-Za-z+/_=-]*+[0-9])[{_SET}]{{{SHORTEST},}}+"
+_VALUE = r"[^\x09-\x0D\x20\"'`]"
+NAME = (
+    r"(?i:token|secret|passw|pwd|api[ _.-]?key|access[ _.-]?key|private|credential|auth(?!ors?[^a-z])|bearer|client[ _.-]?id|signing)"
+    r"[A-Za-z0-9_-]{0,12}"
+)
+# The short tests, which both kinds must pass, leave few places at which the long look back is tried.
+_ANY = rf"(?<![A-Za-z0-9+/_-])(?={_VALUE}{{{LEAST}}})"
+_CONTEXT = (
+    rf"(?<=[=:][\x20\t]{{0,3}}[\"'`]?)(?<={NAME}[\"'`]?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"'`]?){_VALUE}++"
+)
+_SHAPE = (
+    rf"(?<!=)(?=[A-Za-z+/_=-]*+[0-9])(?![A-Za-z0-9_-]{{0,24}}?{NAME}={_VALUE}{{{LEAST}}})[{_SET}]{{{SHORTEST},}}+"
+)
+CANDIDATE = f"{_ANY}(?:{_CONTEXT}|{_SHAPE})"
 DICTIONARY = 5000
 MAX_DOCS = 2000
 TREES, DEPTH, SEED = 40, 8, 11
@@ -49,7 +65,7 @@ NAMING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|a
 BENIGN = r"(?i)(commit|sha-?\d|md5|checksum|digest|etag|revision|uuid|build|version|hash)"
 FEATURES = (
     "length", "transitions", "coverage", "path", "url", "digits", "capitals", "hex", "distinct", "naming",
-    "benign", "assigned", "quoted", "digit_runs",
+    "benign", "assigned", "quoted", "digit_runs", "symbols", "kinds",
 )
 
 
@@ -73,17 +89,19 @@ def _class(c: Column) -> Column:
     return F.instr(F.lit(_LETTERS), c)
 
 
+def _steps(low: Column) -> Column:
+    """Numbers of the n - 1 transitions of n characters; linear in n, where a substring at each place is not."""
+    kinds = F.transform(F.split(low, ""), _class)
+    return F.zip_with(F.slice(kinds, F.lit(1), F.length(low) - 1), F.slice(kinds, F.lit(2), F.length(low) - 1), lambda a, b: a * _N + b)
+
+
 def language(docs: DataFrame, text: str = "text") -> tuple[list[float], list[str]]:
     """Log probabilities of character transitions in the words of all texts, and the most frequent words."""
     plain = docs.select(F.explode(words(F.lower(F.regexp_replace(text, r"[^\p{L}\s]+", " ")))).alias("word"))
     counts = materialise(plain.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     frequent = counts.where(F.length("word") >= 3).orderBy(F.desc("n"), "word").limit(DICTIONARY)
     known = [r["word"] for r in frequent.select("word").collect()]
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length("word") - 1),
-        lambda i: _class(F.substr("word", i, F.lit(1))) * _N + _class(F.substr("word", i + 1, F.lit(1))),
-    )
-    steps = counts.where(F.length("word") >= 2).select(F.explode(pairs).alias("step"), "n").groupBy("step").agg(F.sum("n").alias("n"))
+    steps = counts.where(F.length("word") >= 2).select(F.explode(_steps(F.col("word"))).alias("step"), "n").groupBy("step").agg(F.sum("n").alias("n"))
     seen = {r["step"]: r["n"] for r in steps.collect()}  # at most 37 * 37 rows
     table = []
     for a in range(_N):
@@ -96,10 +114,6 @@ def with_features(rows: DataFrame, table: list[float], known: list[str]) -> Data
     """Add the columns of ``FEATURES``, all doubles."""
     c, low = F.col("candidate"), F.lower("candidate")
     log = F.lit(table)
-    steps = F.transform(
-        F.sequence(F.lit(1), F.length(c) - 1),
-        lambda i: F.get(log, _class(F.substr(low, i, F.lit(1))) * _N + _class(F.substr(low, i + 1, F.lit(1)))),
-    )
     share = lambda pattern: F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
     parts = F.regexp_extract_all(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"), F.lit("[A-Za-z]{3,}"), F.lit(0))
     covered = F.aggregate(
@@ -109,7 +123,7 @@ def with_features(rows: DataFrame, table: list[float], known: list[str]) -> Data
     flag = lambda test: F.coalesce(test, F.lit(False)).cast("double")
     made = {
         "length": F.length(c).cast("double"),
-        "transitions": F.aggregate(steps, F.lit(0.0), lambda total, x: total + x) / (F.length(c) - 1),
+        "transitions": F.aggregate(_steps(low), F.lit(0.0), lambda total, k: total + F.get(log, k)) / (F.length(c) - 1),
         "coverage": covered / F.length(c),
         "path": F.regexp_count(c, F.lit("/")) / F.length(c),
         "url": flag(F.col("before").rlike(r"(://|[./~\\])\S*$") | c.rlike(r"^/|/.*/.*/")),
@@ -122,6 +136,8 @@ def with_features(rows: DataFrame, table: list[float], known: list[str]) -> Data
         "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "digit_runs": F.regexp_count(c, F.lit("[0-9]+")) / F.length(c),
+        "symbols": share("[A-Za-z0-9]+"),
+        "kinds": sum((flag(c.rlike(k)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0.0)),
     }
     return rows.withColumns({name: made[name].cast("double") for name in FEATURES})
 
@@ -137,6 +153,8 @@ def findings(docs: DataFrame, text: str = "text", most: int = MAX_DOCS) -> DataF
     salted = lambda k: F.concat("t", F.lit(str(k)))
     sha1, sha2, md5 = (lambda k: F.sha1(salted(k))), (lambda k: F.sha2(salted(k), 256)), (lambda k: F.md5(salted(k)))
     coded = lambda k: F.regexp_replace(F.base64(F.unhex(sha2(k))), "[^A-Za-z0-9+/=]", "")
+    letters = lambda k: F.regexp_replace(coded(k), "[^A-Za-z]", "")
+    alone = lambda k: F.coalesce(F.get(F.filter("w", lambda x: F.length(x) >= LEAST), F.lit(k)), F.concat(w(k), w(k + 1)))
     date = F.concat(F.lit("20"), F.lpad(F.pmod("h", F.lit(28)).cast("string"), 2, "0"))
     cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     made = [  # label, before, candidate, after
@@ -149,6 +167,19 @@ def findings(docs: DataFrame, text: str = "text", most: int = MAX_DOCS) -> DataF
         (1, cat(w(0), ' "client_secret": "'), sha2(7), F.lit('", ')),
         (1, cat(w(0), " ", w(1), " "), cat("ghp_", F.substring(coded(8), 1, 36)), cat(" ", w(2))),
         (1, cat(w(0), " ", w(1), ' "'), sha1(9), cat('" ', w(2))),
+        (1, cat(w(0), ' password = "'), cat(F.substring(coded(16), 1, 4), "!", F.substring(coded(16), 5, 3), "#", F.substring(coded(16), 8, 3)), F.lit('" ')),
+        (1, cat(w(0), " pwd: "), F.substring(letters(17), 1, 12), cat(" ", w(1))),
+        (1, cat(w(0), " secret='"), F.substring(md5(18), 1, 10), F.lit("'\n")),
+        (1, cat(w(0), " db_password="), cat(F.initcap(w(1)), "$", F.substring(F.regexp_replace(sha2(19), "[a-f]", ""), 1, 4)), cat(" ", w(2))),
+        (0, cat(w(0), " password: "), alone(0), cat(" ", w(1))),
+        (0, cat(w(0), " token: "), cat(alone(1), ","), cat(" ", w(1))),
+        (0, cat(w(0), " secret = "), cat(w(1), "-", w(2), "-", w(3)), cat(" ", w(4))),
+        (0, cat(w(0), " auth = "), cat("get_", w(1), "(", w(2), ")"), cat("\n", w(3))),
+        (0, cat(w(0), " api_key = "), cat("config.", w(1), ".", w(2)), cat("\n", w(3))),
+        (0, cat(w(0), ' password: "'), cat("${", F.upper(w(1)), "_PASSWORD}"), F.lit('" ')),
+        (0, cat(w(0), " secret="), cat("<your-", w(1), "-here>"), cat(" ", w(2))),
+        (0, cat(w(0), " pwd: "), F.repeat(F.lit("*"), F.length(w(1)) + LEAST), cat(" ", w(2))),
+        (0, cat(w(0), " credentials: "), cat("https://", w(1), ".example.com/", w(2)), cat(" ", w(3))),
         (0, cat(w(0), " commit "), sha1(11), cat(" ", w(1))),
         (0, cat(w(0), " sha256:"), sha2(12), cat(" ", w(1))),
         (0, cat(w(0), " checksum = "), md5(13), cat("\n", w(1))),
@@ -163,7 +194,9 @@ def findings(docs: DataFrame, text: str = "text", most: int = MAX_DOCS) -> DataF
     rows = F.array(*[
         F.struct(b.alias("before"), c.alias("candidate"), a.alias("after"), F.lit(float(y)).alias("label")) for y, b, c, a in made
     ])
-    return some.select("t", "h", plain.alias("w")).select(F.inline(rows)).where(F.length("candidate") >= SHORTEST)
+    named = F.col("before").rlike(f"{NAME}[\"'`]?[\\x20\\t]{{0,3}}[=:][\\x20\\t]{{0,3}}[\"'`]?$")
+    least = F.when(named, LEAST).otherwise(SHORTEST)
+    return some.select("t", "h", plain.alias("w")).select(F.inline(rows)).where(F.length("candidate") >= least)
 
 
 def fit(labelled: DataFrame, table: list[float], known: list[str]) -> PipelineModel | None:

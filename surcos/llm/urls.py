@@ -37,6 +37,27 @@ SOFT = (
 )
 SOFT_HITS = 2
 
+MAX_TERMS, MAX_TERM = 100_000, 200
+
+
+def vocabulary(table: DataFrame, term: str = "term", weight: str = "weight", whole: int = SOFT_HITS) -> tuple[tuple, tuple]:
+    """Strict and soft terms of a table, for :func:`judge`: strict is a weight of ``whole`` or more, soft one above zero.
+
+    Terms are trimmed and lose their ASCII case; of repeated ones the largest weight counts;
+    null and empty terms, and those without a weight above zero, are left out. Every executor
+    holds the vocabulary, so more than ``MAX_TERMS`` terms, or one of more than ``MAX_TERM``
+    characters, are refused.
+    """
+    upper = F.trim(F.col(f"`{term}`").cast("string"))
+    low = F.translate(upper, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    given = table.select(low.alias("t"), F.col(f"`{weight}`").cast("double").alias("w"))
+    best = given.where("t <> '' AND w > 0 AND NOT isnan(w)").groupBy("t").agg(F.max("w").alias("w"))
+    rows = best.select(F.left("t", F.lit(MAX_TERM + 1)).alias("t"), "w").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS or any(len(r["t"]) > MAX_TERM for r in rows):
+        raise ValueError(f"a vocabulary has at most {MAX_TERMS} terms of at most {MAX_TERM} characters")
+    rows.sort(key=lambda r: r["t"])
+    return tuple(r["t"] for r in rows if r["w"] >= whole), tuple(r["t"] for r in rows if r["w"] < whole)
+
 
 def automaton(strict=STRICT, soft=SOFT) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -51,6 +72,8 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 
 def hits(url: str, found: ahocorasick.Automaton) -> set[int]:
     """Numbers of the terms that stand between boundaries."""
+    if not len(found):
+        return set()
     low = url.translate(_UPPER)
     word = lambda i: 0 <= i < len(low) and low[i].isascii() and low[i].isalnum()
     return {k for end, (k, n) in found.iter(low) if not word(end - n) and not word(end + 1)}
