@@ -43,15 +43,14 @@ NAME = (
     r"(?i:token|secret|passw|pwd|api[ _.-]?key|access[ _.-]?key|private|credential|auth(?!ors?[^a-z])|bearer|client[ _.-]?id|signing)"
     r"[A-Za-z0-9_-]{0,12}"
 )
-# The short tests, which both kinds must pass, leave few places at which the long look back is tried.
-_ANY = rf"(?<![A-Za-z0-9+/_-])(?={_VALUE}{{{LEAST}}})"
+# The short looks back leave few places at which the long one is tried.
 _CONTEXT = (
-    rf"(?<=[=:][\x20\t]{{0,3}}[\"'`]?)(?<={NAME}[\"'`]?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"'`]?){_VALUE}++"
+    rf"(?<=[=:][\x20\t]{{0,3}}[\"'`]?)(?<={NAME}[\"'`]?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"'`]?){_VALUE}{{{LEAST},}}+"
 )
 _SHAPE = (
     rf"(?<!=)(?=[A-Za-z+/_=-]*+[0-9])(?![A-Za-z0-9_-]{{0,24}}?{NAME}={_VALUE}{{{LEAST}}})[{_SET}]{{{SHORTEST},}}+"
 )
-CANDIDATE = f"{_ANY}(?:{_CONTEXT}|{_SHAPE})"
+CANDIDATE = f"(?<![A-Za-z0-9+/_-])(?:{_CONTEXT}|{_SHAPE})"
 DICTIONARY = 5000
 MAX_DOCS = 2000
 TREES, DEPTH, SEED = 40, 8, 11
