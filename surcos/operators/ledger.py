@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surcos.operators.clean import quoted
 from surcos.operators.metrics import balanced_accuracy
-from surcos.operators.models import Trained, holdout
+from surcos.operators.models import PLAIN, TASK_ROWS, Trained, fits_at_once, holdout
 
 _FIT = "model string, round int, auc double"
 
@@ -41,11 +41,11 @@ def _done(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
+def _written(df: DataFrame, folder: str, **options: str) -> DataFrame:
     """The table in ``folder``, written first unless a run before has ended writing it."""
     spark = df.sparkSession
     if not _done(spark, folder):
-        df.write.mode("overwrite").parquet(folder)
+        df.write.mode("overwrite").options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -74,7 +74,7 @@ def compare_resumable(
     }
     missing = [task for task, place in places.items() if not _done(spark, f"{place}/score")]
 
-    encoded = {}
+    size, encoded = df.count(), {}
     for r in sorted({r for _, r in missing}):
         train, test = holdout(df, key, f"#{r}")
         saved = f"{base}/round-{r}/encoder"
@@ -84,7 +84,8 @@ def compare_resumable(
         encoder = PipelineModel.load(saved)
         rows = encoder.transform(train)
         slim = rows.select([c for c in ("label", "features") if c in rows.columns])
-        encoded[r] = encoder, _written(slim, f"{base}/round-{r}/train"), _written(encoder.transform(test), f"{base}/round-{r}/test")
+        plain = PLAIN if size > TASK_ROWS else {}
+        encoded[r] = encoder, _written(slim, f"{base}/round-{r}/train", **plain), _written(encoder.transform(test), f"{base}/round-{r}/test")
 
     def fit(task: tuple[str, int]) -> None:
         (name, r), place = task, places[task]
@@ -93,9 +94,9 @@ def compare_resumable(
         score = balanced_accuracy(model.transform(test), "label", "prediction").first()["auc"] or 0.0
         PipelineModel([*encoder.stages, model]).write().overwrite().save(f"{place}/model")
         entry = spark.createDataFrame([(name, r, float(score))], _FIT)
-        entry.coalesce(1).write.mode("overwrite").parquet(f"{place}/score")
+        entry.write.mode("overwrite").parquet(f"{place}/score")
 
-    with ThreadPoolExecutor(parallelism) as pool:
+    with ThreadPoolExecutor(fits_at_once(df, size, parallelism)) as pool:
         list(pool.map(inheritable_thread_target(spark)(fit), missing))
 
     table = spark.read.schema(_FIT).parquet(*[f"{place}/score" for place in places.values()])

@@ -285,6 +285,45 @@ def test_rounds_keep_best_or_last(training):
     assert score(last) == pytest.approx(last.auc[-1])
 
 
+@pytest.mark.parametrize("fit", ["holdout", "comparison", "ledger"])
+def test_tasks_of_a_fit_hold_a_bounded_number_of_like_rows(spark, tmp_path, monkeypatch, fit):
+    seen, plain = [], models.DecisionTreeClassifier._fit
+
+    def watched(self, dataset):
+        per_task = dataset.groupBy(F.spark_partition_id()).count()
+        seen.append(per_task.agg(F.max("count"), F.sum("count")).first())
+        return plain(self, dataset)
+
+    monkeypatch.setattr(models.DecisionTreeClassifier, "_fit", watched)
+    for module in (models, ledger):
+        monkeypatch.setattr(module, "TASK_ROWS", 1000)
+    names = [f"x{i}" for i in range(30)]
+    like = spark.range(0, 150_000, 1, 1).select(
+        "id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"), *[(F.col("id") % 3 + i + 0.5).alias(c) for i, c in enumerate(names)])
+    steps, tree = features.encoder_stages([], names, label="y"), models.decision_tree(1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 6 << 20)
+    try:
+        if fit == "holdout":
+            _, results = models.fit_holdout(like, steps, tree, "id")
+            assert results.where("prediction <> label").count() == 0
+        elif fit == "comparison":
+            _, table = models.compare_models(like, steps, {"tree": tree}, "id", rounds=1)
+            assert [r["auc"] for r in table.collect()] == [1.0]
+        else:
+            ledger.compare_resumable(like, steps, {"tree": tree}, "id", str(tmp_path), rounds=1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (most, total), = seen
+    assert total > 100_000 and most * 30 * 8 <= 2 * (6 << 20)
+
+
+def test_small_training_tables_stay_as_they_are(training):
+    assert models.training_rows(training, models.TASK_ROWS) is training
+    cores = training.sparkSession.sparkContext.defaultParallelism
+    assert models.fits_at_once(training, 100, 4) == 4 and models.fits_at_once(training, 4 * cores * models.TASK_ROWS, 4) == 1
+
+
 def test_a_useless_model_is_still_returned(training):
     constant = training.withColumn("x", F.lit(0.0)).withColumn("noise", F.lit(0.0)).withColumn("g", F.expr("if(id % 2 = 0, 'a', 'b')"))
     got = models.train_rounds(constant, stages(), models.logistic(regParam=100.0, elasticNetParam=1.0), "id", rounds=2)
