@@ -44,7 +44,8 @@ from surcos.sources.scratch import materialise
 LONGEST = 5  # words of an edge
 LEAST = 100
 TOP = 2000
-CHUNK = 1 << 19  # words counted together; a word's number in a chunk fits 21 bits
+CHUNK = 1 << 18  # words counted together; a word's number in a chunk fits 21 bits
+PART = 1 << 20  # bytes of texts that are cut into words together: a task holds many times as much
 SLOT_BITS = 24
 _BITS = 21
 _CLASS = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
@@ -111,7 +112,7 @@ def _given(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART):
             yield Words(part.column("text"), part.column("lang"))
 
 
@@ -176,6 +177,7 @@ def edges(given: DataFrame, least: int = LEAST, bits: int = SLOT_BITS) -> DataFr
                 ]
                 phrase = pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()), null_handling="skip")
                 tongue = words.langs.take(pa.array(low >> 2 * _BITS))
+                del spelled, after, a, b, c, d, e, order, high, low
                 columns = [tongue.cast(pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "run", "f"])
 
