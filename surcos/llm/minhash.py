@@ -208,6 +208,11 @@ def _set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes among ``members`` (cls, repeated), with what names their sets."""
+    return classes.select("cls", "set_key", "class_id").join(members.select("cls").distinct(), "cls", "left_semi")
+
+
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Full sets ``s`` of the classes in ``wanted`` (cls, set_key, class_id); ``docs`` (doc_id, _text) are read once."""
 
@@ -236,7 +241,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, by: Plan) -> DataFrame:
     right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    pairs = materialise(pairs, "candidates")
     return materialise(
         pairs.join(left, "a").join(right, "b").where(by.alike(common, union)).select("a", "b"), "confirmed"
     )
@@ -263,13 +267,47 @@ def _leader_pairs(shared: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
     return met.join(one, "a").join(two, "b").where(fit & near).select("a", "b")
 
 
-def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, by: Plan) -> DataFrame:
+def _tiled(open_: DataFrame) -> DataFrame:
+    """Members with ``tiles`` dealt out, a row for each pair of tiles (``low``, ``high``) that theirs is in."""
+    tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    dealt = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+
+
+def _near_members(placed: DataFrame, mixed: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
+    """The members (value, cls) of mixed buckets that are near one of another component, by bit counts."""
+
+    def compare(key, group):
+        _, low, high = key
+        bits = np.stack(group["bits"].to_numpy()).astype("i8").view("u8")
+        comp, n, tiles = (group[c].to_numpy("i8") for c in ("component", "n_shingles", "tile"))
+        at = np.flatnonzero(tiles == low)
+        to = at if low == high else np.flatnonzero(tiles == high)
+        near = np.zeros(len(group), bool)
+        for i in range(0, len(at), 64):
+            p = at[i : i + 64]
+            few, many = np.minimum(n[p, None], n[None, to]), np.maximum(n[p, None], n[None, to])
+            ok = (comp[p, None] != comp[None, to]) & by.sizes_fit(few, many)
+            if ok.any():
+                ok &= _similar(bits[p], bits[to], by)
+                near[p] |= ok.any(axis=1)
+                near[to] |= ok.any(axis=0)
+        return group.loc[near, ["value", "cls"]]
+
+    open_ = placed.join(mixed, "value").join(classes.select("cls", "bits"), "cls")
+    found = _tiled(open_).groupBy("value", "low", "high").applyInPandas(compare, "value bigint, cls bigint")
+    return materialise(found.distinct(), "near-members")
+
+
+def _across_links(shared: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame, by: Plan) -> DataFrame:
     """Links (a, b) between different components of a bucket, those that join components.
 
     Buckets of one component need no more work. In the others members are dealt into
     tiles of bounded count and bytes, and every pair of tiles is compared in one group:
-    by bit counts first, then on the full sets. A pair is looked at in the first bucket
-    that it shares, and not if links found before already join it.
+    by bit counts first, then on the full sets. Most members share a bucket by chance and
+    are near none, ever more of them in a larger corpus: bit counts find those first, so
+    that only near members meet with their full sets. A pair is looked at in the first
+    bucket that it shares, and not if links found before already join it.
     """
     placed = materialise(
         shared.join(found, shared["cls"] == found["node"], "left")
@@ -286,10 +324,10 @@ def _across_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, found:
         .select("value", tiles.cast("int").alias("tiles")),
         "mixed",
     )
-    open_ = placed.join(mixed, "value").join(classes.select("cls", "bits", "bands"), "cls").join(sets, "cls")
-    tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    dealt = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keyed = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    near = _near_members(placed, mixed, classes, by)
+    sets = _sets(_named(near, classes), texts)
+    open_ = placed.join(near, ["value", "cls"]).join(mixed, "value").join(classes.select("cls", "bits", "bands"), "cls")
+    keyed = _tiled(open_.join(sets, "cls"))
 
     def compare(key, group):
         value, low, high = key
@@ -348,10 +386,10 @@ def _components_of(made: DataFrame, docs: DataFrame, percent: int, text: str, do
     )
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     shared = _shared(classes)
-    several = shared.select("cls").distinct()
-    sets = _sets(several.join(first, "cls").select("cls", "set_key", "class_id"), texts)
-    links = _confirmed(_leader_pairs(shared, classes, by), sets, by)
-    more = _across_links(shared, classes, sets, components(links), by)
+    pairs = materialise(_leader_pairs(shared, classes, by), "candidates")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    links = _confirmed(pairs, _sets(_named(ends, classes), texts), by)
+    more = _across_links(shared, classes, texts, components(links), by)
     found = components(links.unionByName(more)).withColumnRenamed("node", "cls")
     named = materialise(first.join(found, "cls"), "class-components")
     least = materialise(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component-ids")
