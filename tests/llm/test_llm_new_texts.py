@@ -207,6 +207,13 @@ def collocated(rows, least, top):
     return out
 
 
+def test_texts_are_cut_into_words_a_part_at_a_time():
+    texts = ["some words of a text " * 500] * 400
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 400)], ["text", "lang"])
+    parts = [len(w.letters) for w in phrases._read([batch])]
+    assert sum(parts) == sum(len("".join(t.split())) for t in texts) and max(parts) <= phrases.PART
+
+
 @pytest.mark.parametrize("bits", [phrases.SLOT_BITS, 15, 3])
 def test_collocations_equal_plain_python_however_few_slots(spark, docs, odd, bits):
     both = docs.select("text", "lang").unionByName(odd.select("text", "lang"))
