@@ -9,8 +9,9 @@ chance collisions, so it is corrected, (E - 2**-b) / (1 - 2**-b); pairs whose es
 
 Exact copies of a set are one class before any pairing. Within a bucket classes are first
 compared with the bucket's leader only. What these links do not join into one component
-is then compared across components, in tiles of bounded size, by bit counts: no pair of
-different components is left out, and no pair inside a component need be looked at.
+is then compared across components, by bit counts: buckets of up to ``FEW`` members many
+at a time, larger ones in tiles of bounded size. No pair of different components is left
+out, and no pair inside a component need be looked at.
 
 The threshold is a parameter, in percent; :class:`Plan` derives from it the rows and bands,
 the bound of the estimate and the sizes that can still be alike. A link is missed only if no
@@ -51,6 +52,7 @@ MISS = 3e-7
 MOST_HASHES = 448  # minima of a set, unless bands of one row need more
 SLACK = 5
 MAX_BROADCAST = 16 << 20  # bytes of ids; beyond, both sides are shuffled
+FEW, GROUP = 64, 4096  # members of a bucket that is compared along with others, and about how many in all
 TILE, TILE_BYTES = 1024, 24 << 20  # members of a bucket, and bytes of their sets, that are compared at a time
 _MASK = 0x5555555555555555
 
@@ -213,6 +215,10 @@ def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.select("cls", "set_key", "class_id").join(members.select("cls").distinct(), "cls", "left_semi")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+
+
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Full sets ``s`` of the classes in ``wanted`` (cls, set_key, class_id); ``docs`` (doc_id, _text) are read once."""
 
@@ -267,6 +273,35 @@ def _leader_pairs(shared: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
     return met.join(one, "a").join(two, "b").where(fit & near).select("a", "b")
 
 
+def _few_pairs(placed: DataFrame, few: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the buckets ``few`` and are near, by bit counts.
+
+    A group holds many whole buckets, as a group for each costs more than its comparisons.
+    """
+
+    def compare(group):
+        group = group.sort_values("value")
+        bits = np.stack(group["bits"].to_numpy()).astype("i8").view("u8")
+        value, ids, comp, n = (group[c].to_numpy("i8") for c in ("value", "cls", "component", "n_shingles"))
+        out = [np.empty((0, 2), "i8")]
+        for behind in range(1, len(group)):
+            x = np.flatnonzero(value[behind:] == value[:-behind])
+            if not len(x):
+                break
+            fit = (comp[x] != comp[x + behind]) & by.sizes_fit(np.minimum(n[x], n[x + behind]), np.maximum(n[x], n[x + behind]))
+            x = x[fit]
+            v = bits[x] ^ bits[x + behind]
+            unequal = np.bitwise_count((v | v >> np.uint64(1)) & np.uint64(_MASK)).sum(axis=1, dtype="i8")
+            x = x[unequal <= by.max_unequal]
+            out.append(np.sort(np.column_stack([ids[x], ids[x + behind]]), axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    groups = (few.agg(F.sum("n")).first()[0] or 0) // GROUP + 1
+    members = placed.join(few.select("value"), "value").join(classes.select("cls", "bits"), "cls")
+    found = members.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups))).applyInPandas(compare, "a bigint, b bigint")
+    return materialise(found.distinct(), "near-pairs")
+
+
 def _tiled(open_: DataFrame) -> DataFrame:
     """Members with ``tiles`` dealt out, a row for each pair of tiles (``low``, ``high``) that theirs is in."""
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
@@ -302,11 +337,12 @@ def _near_members(placed: DataFrame, mixed: DataFrame, classes: DataFrame, by: P
 def _across_links(shared: DataFrame, classes: DataFrame, texts: DataFrame, found: DataFrame, by: Plan) -> DataFrame:
     """Links (a, b) between different components of a bucket, those that join components.
 
-    Buckets of one component need no more work. In the others members are dealt into
-    tiles of bounded count and bytes, and every pair of tiles is compared in one group:
+    Buckets of one component need no more work. Of the others most have few members: their near
+    pairs are confirmed each once, however many buckets it shares. In larger ones members are dealt
+    into tiles of bounded count and bytes, and every pair of tiles is compared in one group:
     by bit counts first, then on the full sets. Most members share a bucket by chance and
     are near none, ever more of them in a larger corpus: bit counts find those first, so
-    that only near members meet with their full sets. A pair is looked at in the first
+    that only near members meet with their full sets. There a pair is looked at in the first
     bucket that it shares, and not if links found before already join it.
     """
     placed = materialise(
@@ -321,12 +357,15 @@ def _across_links(shared: DataFrame, classes: DataFrame, texts: DataFrame, found
         .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
              F.min("component").alias("c1"), F.max("component").alias("c2"))
         .where("c1 <> c2")
-        .select("value", tiles.cast("int").alias("tiles")),
+        .select("value", "n", tiles.cast("int").alias("tiles")),
         "mixed",
     )
-    near = _near_members(placed, mixed, classes, by)
-    sets = _sets(_named(near, classes), texts)
-    open_ = placed.join(near, ["value", "cls"]).join(mixed, "value").join(classes.select("cls", "bits", "bands"), "cls")
+    pairs = _few_pairs(placed, mixed.where(F.col("n") <= FEW), classes, by)
+    many = mixed.where(F.col("n") > FEW).select("value", "tiles")
+    near = _near_members(placed, many, classes, by)
+    sets = _sets(_named(_ends(pairs).unionByName(near.select("cls")), classes), texts)
+    links = _confirmed(pairs, sets, by)
+    open_ = placed.join(near, ["value", "cls"]).join(many, "value").join(classes.select("cls", "bits", "bands"), "cls")
     keyed = _tiled(open_.join(sets, "cls"))
 
     def compare(key, group):
@@ -357,7 +396,8 @@ def _across_links(shared: DataFrame, classes: DataFrame, texts: DataFrame, found
                     out.append((min(ids[j], ids[k]), max(ids[j], ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="i8")
 
-    return materialise(keyed.groupBy("value", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "across")
+    across = materialise(keyed.groupBy("value", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "across")
+    return links.unionByName(across)
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -387,8 +427,7 @@ def _components_of(made: DataFrame, docs: DataFrame, percent: int, text: str, do
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     shared = _shared(classes)
     pairs = materialise(_leader_pairs(shared, classes, by), "candidates")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    links = _confirmed(pairs, _sets(_named(ends, classes), texts), by)
+    links = _confirmed(pairs, _sets(_named(_ends(pairs), classes), texts), by)
     more = _across_links(shared, classes, texts, components(links), by)
     found = components(links.unionByName(more)).withColumnRenamed("node", "cls")
     named = materialise(first.join(found, "cls"), "class-components")

@@ -183,6 +183,33 @@ def test_pipeline_near_copies_by_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == up
 
 
+@pytest.mark.parametrize("few", [1, 6, 64])
+def test_small_buckets_need_no_tiles(spark, monkeypatch, few):
+    """Chains of edits, whose buckets have few members each: many are compared at a time, and tiles get the others only."""
+    tiled, seen = minhash._tiled, []
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "_tiled", lambda open_: seen.append(open_.count()) or tiled(open_))
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rng, rows = np.random.default_rng(5), []
+    for g in range(25):
+        text = [f"g{g}w{k}" for k in range(90)]
+        for e in range(10):
+            text = list(text)
+            text[int(rng.integers(90))] = f"edit{e}"
+            text[int(rng.integers(90))] = f"more{e}"
+            rows.append((len(rows) * 37 % 251, " ".join(text)))
+    sets = {i: shingles(t) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    up = {i: i for i in sets}
+    for _ in sets:
+        for a, b in alike:
+            up[a] = up[b] = min(up[a], up[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_copies(table, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == up and 25 < len(set(up.values())) < 200
+    assert len(seen) == 2 and (max(seen) == 0) == (few == 64)
+
+
 def test_bands_follow_the_threshold():
     for percent in (50, 70, 80, 85, 90, 95):
         by = minhash.plan(percent)
