@@ -461,12 +461,17 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     stay = materialise(rows.select(F.col("doc_id").alias("_kept"), own).distinct(), "kept")
     of_id = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     ids = materialise(of_id.join(stay.select("_kept").distinct(), "_kept", "left_semi"), "kept-ids")
-    of_kept = docs.join(ids, F.col(f"`{doc_id}`").cast("long") == F.col("_kept"))
-    alone = of_kept.where("_rows = 1").drop("_kept", "_rows")
-    several = of_kept.where("_rows > 1").select(
-        "_kept",
-        F.pandas_udf(_key_of, "binary")(F.col(f"`{text}`")).alias("_key"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+    same_id = F.col(f"`{doc_id}`").cast("long") == F.col("_kept")
+    alone = docs.join(ids.where("_rows = 1").select("_kept"), same_id).drop("_kept")
+    # Written, as the semi join below would else be moved under this one, and every text cut into words for it.
+    shared_ids = materialise(ids.where("_rows > 1").select("_kept"), "repeated-ids")
+    several = materialise(
+        docs.join(shared_ids, same_id).select(
+            "_kept",
+            F.pandas_udf(_key_of, "binary")(F.col(f"`{text}`")).alias("_key"),
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        ),
+        "repeated",
     )
     firsts = several.join(stay, ["_kept", "_key"], "left_semi").groupBy("_kept", "_key").agg(F.min("_row").alias("_row"))
     return alone.unionByName(firsts.select("_row.*")).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -210,6 +210,20 @@ def test_small_buckets_need_no_tiles(spark, monkeypatch, few):
     assert len(seen) == 2 and (max(seen) == 0) == (few == 64)
 
 
+def test_only_repeated_ids_are_cut_into_words_again(spark):
+    """Without broadcasts the last joins of the stage cut and shuffle no text whose id has one row."""
+    prose = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(3, prose[3]), (4, "other words under the same id")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert "ArrowEvalPython" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in kept.collect()) == sorted(rows[:40] + rows[41:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_bands_follow_the_threshold():
     for percent in (50, 70, 80, 85, 90, 95):
         by = minhash.plan(percent)
