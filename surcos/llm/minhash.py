@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from surcos.llm.components import Forest, components
 from surcos.llm.words import flat_words, slices
-from surcos.sources.scratch import materialise
+from surcos.sources.scratch import materialise, release
 
 WORDS = 5
 PERCENT = 85  # 100 * intersection >= PERCENT * union; op4's threshold
@@ -51,7 +51,8 @@ BITS = 2
 MISS = 3e-7
 MOST_HASHES = 448  # minima of a set, unless bands of one row need more
 SLACK = 5
-MAX_BROADCAST = 16 << 20  # bytes of ids; beyond, both sides are shuffled
+MAX_BROADCAST = 16 << 20  # bytes of ids or keys; beyond, both sides are shuffled
+ID_BYTES, KEY_BYTES = 16, 64  # of an id, and of a set's key with its class, in a broadcast
 FEW, GROUP = 64, 4096  # members of a bucket that is compared along with others, and about how many in all
 TILE, TILE_BYTES = 1024, 24 << 20  # members of a bucket, and bytes of their sets, that are compared at a time
 _MASK = 0x5555555555555555
@@ -219,6 +220,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
 
 
+def _light(table: DataFrame, rows: int, each: int) -> DataFrame:
+    """A join side of ``rows`` rows that is broadcast if it is small, as the other side holds texts or sets."""
+    return F.broadcast(table) if rows * each <= MAX_BROADCAST else table
+
+
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Full sets ``s`` of the classes in ``wanted`` (cls, set_key, class_id); ``docs`` (doc_id, _text) are read once."""
 
@@ -233,12 +239,13 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
     wanted = materialise(wanted, "wanted")
     ids = wanted.select(F.col("class_id").alias("doc_id")).distinct()
-    small = wanted.count() * 16 <= MAX_BROADCAST
-    made = docs.join(F.broadcast(ids) if small else ids, "doc_id").mapInArrow(run, "set_key binary, s array<bigint>")
+    rows = wanted.count()
+    made = docs.join(_light(ids, rows, ID_BYTES), "doc_id").mapInArrow(run, "set_key binary, s array<bigint>")
     # A doc_id may have rows of several contents: each is the set of the class that its key names.
-    return materialise(
-        made.join(wanted.select("set_key", "cls"), "set_key").dropDuplicates(["cls"]).select("cls", "s"), "sets"
-    )
+    named = made.join(_light(wanted.select("set_key", "cls"), rows, KEY_BYTES), "set_key")
+    sets = materialise(named.dropDuplicates(["cls"]).select("cls", "s"), "sets")
+    release(wanted)
+    return sets
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, by: Plan) -> DataFrame:
@@ -259,7 +266,9 @@ def _shared(classes: DataFrame) -> DataFrame:
         members.groupBy("value").agg(F.min("cls").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"),
         "leaders",
     )
-    return materialise(members.join(leaders, "value"), "shared")
+    shared = materialise(members.join(leaders, "value"), "shared")
+    release(leaders)
+    return shared
 
 
 def _leader_pairs(shared: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
@@ -270,7 +279,9 @@ def _leader_pairs(shared: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
     near = _unequal(F.col("xa"), F.col("xb"), by.longs) <= by.max_unequal
     fit = by.sizes_fit(F.least("na", "nb"), F.greatest("na", "nb"))
     met = materialise(met, "met")
-    return met.join(one, "a").join(two, "b").where(fit & near).select("a", "b")
+    pairs = materialise(met.join(one, "a").join(two, "b").where(fit & near).select("a", "b"), "candidates")
+    release(met)
+    return pairs
 
 
 def _few_pairs(placed: DataFrame, few: DataFrame, classes: DataFrame, by: Plan) -> DataFrame:
@@ -397,6 +408,8 @@ def _across_links(shared: DataFrame, classes: DataFrame, texts: DataFrame, found
         return pd.DataFrame(out, columns=["a", "b"], dtype="i8")
 
     across = materialise(keyed.groupBy("value", "low", "high").applyInPandas(compare, "a bigint, b bigint"), "across")
+    for done in (placed, mixed, pairs, near, sets):
+        release(done)
     return links.unionByName(across)
 
 
@@ -410,7 +423,10 @@ def _sketched(docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFram
 
 
 def _components_of(made: DataFrame, docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
-    """What :func:`near_copies` gives, with the ``set_key`` of each row."""
+    """What :func:`near_copies` gives, with the ``set_key`` of each row.
+
+    Tables written on the way go as soon as nothing reads them: the result needs ``made`` and one more.
+    """
     by = plan(percent)
     linked = made.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     # Numbered as written, so that the numbers are fixed.
@@ -420,26 +436,36 @@ def _components_of(made: DataFrame, docs: DataFrame, percent: int, text: str, do
         "classes",
     )
     classes = materialise(
-        linked.join(first, ["set_key"]).where("doc_id = class_id")
-        .dropDuplicates(["cls"]).select("cls", "set_key", "class_id", "n_shingles", "bands", "bits"),
+        # By set and id, which spreads the copies of a set and needs no other shuffle to drop repeated rows.
+        linked.join(first.withColumnRenamed("class_id", "doc_id"), ["set_key", "doc_id"])
+        .dropDuplicates(["set_key", "doc_id"])
+        .select("cls", "set_key", F.col("doc_id").alias("class_id"), "n_shingles", "bands", "bits"),
         "class-sketches",
     )
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     shared = _shared(classes)
-    pairs = materialise(_leader_pairs(shared, classes, by), "candidates")
-    links = _confirmed(pairs, _sets(_named(_ends(pairs), classes), texts), by)
-    more = _across_links(shared, classes, texts, components(links), by)
-    found = components(links.unionByName(more)).withColumnRenamed("node", "cls")
+    pairs = _leader_pairs(shared, classes, by)
+    sets = _sets(_named(_ends(pairs), classes), texts)
+    links = _confirmed(pairs, sets, by)
+    release(sets)
+    joined = components(links)
+    every = links.unionByName(_across_links(shared, classes, texts, joined, by))
+    for done in (pairs, shared, classes, joined):
+        release(done)
+    linked_nodes = components(every)
+    release(every)
+    found = linked_nodes.withColumnRenamed("node", "cls")
     named = materialise(first.join(found, "cls"), "class-components")
     least = materialise(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component-ids")
     of_class = materialise(named.join(least, "component").select("set_key", "component_id"), "named-classes")
     grouped = first.select("set_key", "class_id").join(of_class, "set_key", "left").select(
         "set_key", F.coalesce("component_id", "class_id").alias("component_id"))
     of_set = materialise(grouped, "set-components")
+    for done in (first, linked_nodes, named, least, of_class):
+        release(done)
     columns = ["doc_id", "n_shingles", "component_id", "set_key"]
     alone = made.where("doc_id IS NULL OR set_key IS NULL").withColumn("component_id", F.col("doc_id")).select(columns)
-    joined = linked.join(of_set, "set_key").select(columns)
-    rows = joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = linked.join(of_set, "set_key").select(columns).unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return rows.select("doc_id", "n_shingles", "component_id", "kept", "set_key")
 
 
@@ -460,11 +486,18 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     rows = _components_of(made, docs, percent, text, doc_id).where("kept AND doc_id IS NOT NULL")
     stay = materialise(rows.select(F.col("doc_id").alias("_kept"), own).distinct(), "kept")
     of_id = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    ids = materialise(of_id.join(stay.select("_kept").distinct(), "_kept", "left_semi"), "kept-ids")
-    same_id = F.col(f"`{doc_id}`").cast("long") == F.col("_kept")
-    alone = docs.join(ids.where("_rows = 1").select("_kept"), same_id).drop("_kept")
+    ids = materialise(
+        of_id.join(stay.select("_kept", F.lit(True).alias("_stays")).distinct(), "_kept", "left").select(
+            "_kept", "_rows", F.coalesce("_stays", F.lit(False)).alias("_stays")),
+        "ids",
+    )
+    own_id = F.col(f"`{doc_id}`").cast("long")
+    same_id = own_id == F.col("_kept")
+    # Most ids stay, so those that do not are the fewer to send to the texts.
+    others = materialise(ids.where("NOT _stays OR _rows > 1").select("_kept"), "other-ids")
+    alone = docs.where(own_id.isNotNull()).join(_light(others, others.count(), ID_BYTES), same_id, "left_anti")
     # Written, as the semi join below would else be moved under this one, and every text cut into words for it.
-    shared_ids = materialise(ids.where("_rows > 1").select("_kept"), "repeated-ids")
+    shared_ids = materialise(ids.where("_stays AND _rows > 1").select("_kept"), "repeated-ids")
     several = materialise(
         docs.join(shared_ids, same_id).select(
             "_kept",
@@ -473,5 +506,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
         ),
         "repeated",
     )
+    for done in (rows, ids, shared_ids):
+        release(done)
     firsts = several.join(stay, ["_kept", "_key"], "left_semi").groupBy("_kept", "_key").agg(F.min("_row").alias("_row"))
     return alone.unionByName(firsts.select("_row.*")).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -14,6 +14,7 @@ import corpus_pipeline
 from surcos.llm import minhash, vectors
 from surcos.llm.components import components
 from surcos.llm.shipping import ship
+from surcos.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables not present")
@@ -224,6 +225,43 @@ def test_only_repeated_ids_are_cut_into_words_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def _copies_of_texts():
+    prose = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(100 + i, t) for i, t in enumerate(prose[:9])]
+    rows += [(3, prose[3]), (4, "other words under the same id"), (103, prose[20]), (None, prose[0])]
+    keeps = [(i, t) for i, t in enumerate(prose)] + [(4, "other words under the same id"), (None, prose[0])]
+    return rows, keeps
+
+
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_texts_stay_where_they_are_unless_many_ids_go(spark, monkeypatch, most):
+    """The last join takes a few ids to the texts, whatever the session broadcasts by itself; many shuffle both."""
+    rows, keeps = _copies_of_texts()
+    monkeypatch.setattr(minhash, "MAX_BROADCAST", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftAnti" in plan) and ("rightHint=(strategy=broadcast)" in plan) == (most > 0)
+        assert sorted(map(str, kept.collect())) == sorted(str(r) for r in spark.createDataFrame(keeps, kept.schema).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tables_on_the_way_go_when_they_were_read(spark):
+    rows, keeps = _copies_of_texts()
+    home = f"{scratch._base(spark)}/surcos/{spark.sparkContext.applicationId}"
+    docs = scratch.materialise(spark.createDataFrame(rows, "doc_id long, text string"), "given")
+    there = set(os.listdir(home))
+    left = lambda: sorted(n.rpartition("-")[0] for n in set(os.listdir(home)) - there)
+    kept = minhash.keep_first(docs)
+    assert left() == ["kept", "other-ids", "repeated"] and kept.count() == len(keeps)
+    there = set(os.listdir(home))
+    got = minhash.near_copies(docs)
+    assert left() == ["set-components", "sketches"] and got.count() == len(rows) == docs.count()
+
+
 def test_bands_follow_the_threshold():
     for percent in (50, 70, 80, 85, 90, 95):
         by = minhash.plan(percent)
