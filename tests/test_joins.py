@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from surcos.checks import relational
 from surcos.operators import joins, skew
 from surcos.plans import credit, retail
 
@@ -133,6 +134,60 @@ def test_grid_sides_follow_the_counts():
     assert skew.grid_cells({}, {}, 8) == {}
 
 
+@pytest.mark.parametrize("width", [4, 16])
+def test_packs_meet_as_their_rows_would(spark, monkeypatch, width):
+    for name, value in (("PACK", 8), ("GATHER", 16), ("REPEATS", 4)):
+        monkeypatch.setattr(skew, name, value)
+    rnd = random.Random(4)
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        left = spark.createDataFrame(
+            [(rnd.choice([7] * 60 + [8] * 30 + [None] * 20 + list(range(20))), rnd.choice([None, 1, i])) for i in range(600)], "k int, v int")
+        right = spark.createDataFrame(
+            [(rnd.choice([7] * 30 + [9] * 20 + [None] + list(range(15))), f"w{i % 50}") for i in range(300)], "k2 int, w string")
+        profiles = skew.profile_key(left, "k"), skew.profile_key(right, "k2")
+        cells = skew.grid_cells(profiles[0].hot, profiles[1].hot, width)
+        assert 7 in cells
+        packs = [skew.pack(skew.deal(df, k, cells, axis), k, cells, axis, profiles[axis]) for axis, (df, k) in enumerate(((left, "k"), (right, "k2")))]
+        assert packs[0].where(F.size("_pack_left") > 8).count() == 0 and packs[0].select(F.explode("_pack_left")).count() == left.where("k IS NOT NULL").count()
+        got = skew.unpack(skew.grid_join(*packs, "k", "k2", cells, width), "k", "k2").select("k", "v", "k2", "w")
+        assert rows(got) == rows(left.join(right, F.col("k") == F.col("k2")))
+        none = [skew.pack(df, k, {}, axis, p) for axis, (df, k, p) in enumerate(((left, "k", profiles[0]), (right, "k2", profiles[1])))]
+        assert rows(skew.unpack(skew.grid_join(*none, "k", "k2", {}, width), "k", "k2").select("k", "v", "k2", "w")) == rows(got)
+        empty = [p.limit(0) for p in (left, right)]
+        blank = [skew.profile_key(df, k) for df, k in zip(empty, ("k", "k2"))]
+        assert skew.unpack(skew.grid_join(*[skew.pack(df, k, {}, axis, blank[axis]) for axis, (df, k) in enumerate(zip(empty, ("k", "k2")))], "k", "k2", {}, width), "k", "k2").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_pairs_are_made_by_more_tasks_where_there_are_many():
+    left, right = (skew.KeyProfile({1: n, None: 5 * n}, 9, 6 * n) for n in (1 << 20, 1 << 16))
+    assert skew.pair_tasks(left, right, 24) == 256 and skew.pair_tasks(left, right, 1000) == 1000
+    assert skew.pair_tasks(left, skew.KeyProfile({}, 9, 9), 24) == 24
+
+
+def test_pairs_of_two_sides_are_spread_and_written_in_few_bytes(spark, tmp_path):
+    """Few bytes go into the join, so that adaptive execution would leave all pairs to a task or two."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        spark.range(25).selectExpr("CAST(id AS INT) AS n_nationkey", "CAST(id % 5 AS INT) AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+        spark.range(6000).selectExpr("id AS c_custkey", "CAST(hash(id) % 13 + 12 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+        spark.range(1500).selectExpr("id AS s_suppkey", "CAST(hash(id + 9) % 13 + 12 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+        relational.two_sided_join(spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+        pairs = spark.read.parquet(f"{tmp_path}/pairs")
+        sides = [spark.read.parquet(f"{tmp_path}/{t}.parquet").join(spark.read.parquet(f"{tmp_path}/nation.parquet"), F.col(k) == F.col("n_nationkey")).groupBy("n_regionkey").count().collect()
+                 for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+        counts = [{r["n_regionkey"]: r["count"] for r in side} for side in sides]
+        n = sum(c * counts[1].get(k, 0) for k, c in counts[0].items())
+        assert pairs.count() == n == pairs.distinct().count()
+        by_file = [r["count"] for r in pairs.groupBy(F.input_file_name()).count().collect()]
+        assert max(by_file) < n / 4
+        assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_an_account_of_many_loans_and_dispositions_spreads_over_all_tasks(spark):
     """10^5 of each would be 10^10 rows; here 2,000 of each are 4 million."""
     n, width = 2_000, 32
