@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -7,11 +8,12 @@ from conftest import rows
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from surcos.operators import encoder, features, ledger, metrics, models
 from surcos.plans import retail
+from surcos.sources import scratch
 
 
 @pytest.fixture(scope="module")
@@ -318,6 +320,66 @@ def test_tasks_of_a_fit_hold_a_bounded_number_of_like_rows(spark, tmp_path, monk
     assert total > 100_000 and most * 30 * 8 <= 2 * (6 << 20)
 
 
+def test_a_large_comparison_keeps_one_round_on_disk(spark, training, monkeypatch):
+    """Three rounds lay there at once, train and test parts; now those of one, and what a kept summary reads."""
+    base, seen, plain = os.path.dirname(scratch.scratch_path(spark, "any")), [], models.DecisionTreeClassifier._fit
+
+    def parts():
+        return {f for f in os.listdir(base) if f.startswith(("training-", "encoded-"))}
+
+    def watched(self, dataset):
+        seen.append(len(parts() - there))
+        return plain(self, dataset)
+
+    estimators = {"tree": models.decision_tree(), "lr": models.elastic_logistic()}
+    _, small = models.compare_models(training, stages(), estimators, "id")
+    monkeypatch.setattr(models.DecisionTreeClassifier, "_fit", watched)
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    there = parts()
+    trees, _ = models.compare_models(training, stages(), {"tree": estimators["tree"]}, "id")
+    assert seen == [1, 1, 1] and parts() == there
+    trained, large = models.compare_models(training, stages(), estimators, "id")
+    assert max(seen) == 2 and len(parts() - there) == 1
+    assert [tuple(r)[:2] for r in large.collect()] == [tuple(r)[:2] for r in small.collect()]
+    assert [r["auc"] for r in large.collect()] == pytest.approx([r["auc"] for r in small.collect()])
+    assert trees["tree"].auc == trained["tree"].auc
+    for t in trained.values():
+        score = metrics.balanced_accuracy(t.results, "label", "prediction").first()["auc"]
+        assert score == pytest.approx(max(t.auc))
+    best = trained["lr"].auc.index(max(trained["lr"].auc))
+    train, _ = models.holdout(training, "id", f"#{best}")
+    assert trained["lr"].model.stages[-1].summary.predictions.count() == train.count()
+
+
+@pytest.mark.parametrize("hot", [0, 5, 64])
+def test_narrowed_rows_come_back_as_they_were(spark, tmp_path, hot):
+    names = [f"s{i}" for i in range(max(hot, 8))]
+    attrs = [{"idx": i, "name": n} for i, n in enumerate(names)]
+    # The numbers come first here, the binary slots after them.
+    groups = {"numeric": attrs[: len(names) - hot], "binary": attrs[len(names) - hot:]}
+    meta = {"ml_attr": {"num_attrs": len(names), "attrs": {k: v for k, v in groups.items() if v}}}
+    values = [F.when(F.lit(i >= len(names) - hot), ((F.col("id") * (i + 3)) % 7 % 2).cast("double")).otherwise(F.col("id") / (i + 3)) for i in range(len(names))]
+    df = spark.range(3000).select((F.col("id") % 2).cast("double").alias("label"), array_to_vector(F.array(*values)).alias("features")).withMetadata("features", meta)
+    narrow, back = models.narrowed(df)
+    narrow.write.options(**models.PLAIN).parquet(f"{tmp_path}/narrow")
+    got = back(spark.read.schema(narrow.schema).parquet(f"{tmp_path}/narrow"))
+    assert got.schema["features"].metadata == meta and got.columns == df.columns
+    assert rows(got) == rows(df)
+    size = lambda folder: sum(f.stat().st_size for f in folder.glob("*.parquet"))
+    df.write.options(**models.PLAIN).parquet(f"{tmp_path}/vectors")
+    assert size(tmp_path / "narrow") < size(tmp_path / "vectors")
+    if hot:
+        odd = df.withColumn("features", array_to_vector(F.array(*[F.lit(0.5)] * len(names)))).withMetadata("features", meta)
+        with pytest.raises(Exception, match="neither 0 nor 1"):
+            models.narrowed(odd)[0].collect()
+
+
+def test_vectors_without_named_slots_stay(spark):
+    df = spark.range(3).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    narrow, back = models.narrowed(df)
+    assert narrow is df and back(df) is df
+
+
 def test_small_training_tables_stay_as_they_are(training):
     assert models.training_rows(training, models.TASK_ROWS) is training
     cores = training.sparkSession.sparkContext.defaultParallelism
