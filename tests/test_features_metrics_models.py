@@ -334,7 +334,8 @@ def test_a_large_comparison_keeps_one_round_on_disk(spark, training, monkeypatch
     estimators = {"tree": models.decision_tree(), "lr": models.elastic_logistic()}
     _, small = models.compare_models(training, stages(), estimators, "id")
     monkeypatch.setattr(models.DecisionTreeClassifier, "_fit", watched)
-    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    # Many tasks to a fit, so that one fills the cluster.
+    monkeypatch.setattr(models, "TASK_ROWS", 600 // (8 * spark.sparkContext.defaultParallelism))
     there = parts()
     trees, _ = models.compare_models(training, stages(), {"tree": estimators["tree"]}, "id")
     assert seen == [1, 1, 1] and parts() == there
